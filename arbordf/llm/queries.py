@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .imatch import fingerprints
 from .minhash import near_duplicates
 from .pii import BASE, personal_data
 
@@ -15,6 +16,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents"))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -22,5 +27,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op9_pii": op9_pii}
+QUERIES = {"op1_minhash": op1_minhash, "op6_imatch": op6_imatch, "op9_pii": op9_pii}
 ORACLE_SQL: dict[str, str] = {}
