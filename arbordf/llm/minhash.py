@@ -7,8 +7,9 @@ stops for a document as soon as its slots are all filled, since later draws have
 
 Signatures are cut into bands. Documents with equal sets are one representative. In each bucket of a
 band every member is verified on the full sets against the bucket's least member; the links found are
-contracted to components. Buckets that still hold several components are resolved exactly, with no
-limit on their size, by a prefix filter over the members' full sets (rarest shingles first).
+contracted to components. In buckets that still hold several components the members of different
+components are compared on full sets, in blocks of bounded size, and a link per two components comes
+out; no bucket is capped or left out.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Workspace, semi_join
 from .components import connected_components
@@ -183,20 +183,91 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def prefix_pairs(sets: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components among ``sets``, losing none with a similarity of
-    num / den: two such sets share one of their n - ceil(num * n / den) + 1 rarest shingles, rarest
-    over ``sets``. Shingles that only one component has in its prefixes yield nothing."""
-    rows = sets.withColumn("n", F.expr("int(length(sh) div 8)"))
-    rows = rows.select("id", "n", F.explode(F.expr("transform(sequence(0, n - 1), i -> substring(sh, i * 8 + 1, 8))")).alias("s"))
-    df = rows.groupBy("s").agg(F.count("*").alias("df"))
-    rare = rows.join(df, "s").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "s")))
-    rare = rare.where(F.col("r") <= F.expr(f"n - int(ceil({num} * n / {den})) + 1")).where("df > 1").select("id", "s")
-    rare = rare.join(comps, "id")
-    several = rare.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s")
-    rare = rare.join(several, "s")
-    x, y = rare.toDF("s", "a", "ca"), rare.toDF("s", "b", "cb")
-    return x.join(y, "s").where("ca < cb").select("a", "b").distinct()
+def overlaps(sets: list[np.ndarray], xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Intersection sizes of the sets numbered xs[i], ys[i]: pair by pair if they are few, else by products
+    of 0/1 matrices over the shingles that occur more than once."""
+    if len(xs) <= 2000:
+        out = np.zeros(len(xs), np.int64)
+        for i, (x, y) in enumerate(zip(xs, ys, strict=True)):
+            both = np.concatenate((sets[x], sets[y]))
+            both.sort(kind="stable")
+            out[i] = (both[1:] == both[:-1]).sum()
+        return out
+    used, at = np.unique(np.concatenate((xs, ys)), return_inverse=True)
+    flat = np.concatenate([sets[u] for u in used])
+    row = np.repeat(np.arange(len(used)), [len(sets[u]) for u in used])
+    _, col, count = np.unique(flat, return_inverse=True, return_counts=True)
+    new = np.cumsum(count > 1) - 1
+    row, col = row[count[col] > 1], new[col[count[col] > 1]]
+    total = np.zeros((len(used), len(used)), np.float32)
+    for lo in range(0, int(col.max(initial=-1)) + 1, 8192):
+        part = (col >= lo) & (col < lo + 8192)
+        m = np.zeros((len(used), 8192), np.float32)
+        m[row[part], col[part] - lo] = 1
+        total += m @ m.T
+    return total[at[: len(xs)], at[len(xs) :]].astype(np.int64)
+
+
+def bucket_links(key: int, block: np.ndarray, comp: np.ndarray, keys: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Row numbers of one verified link for each two components of a bucket that have one. Pairs that an
+    earlier band has together are that band's; rows of two blocks are paired across only."""
+    band = int(np.flatnonzero(keys[0] == key)[0])
+    order = np.argsort(comp, kind="stable")
+    size = np.array([len(s) for s in sets])
+    across, found, step = len(np.unique(block)) > 1, {}, 256
+    for i in range(0, len(order), step):
+        for j in range(i, len(order), step):
+            x, y = order[i : i + step], order[j : j + step]
+            todo = comp[x][:, None] < comp[y][None, :]
+            if across:
+                todo &= block[x][:, None] != block[y][None, :]
+            if not todo.any():
+                continue
+            sx, sy = size[x][:, None], size[y][None, :]
+            todo &= den * np.minimum(sx, sy) >= num * np.maximum(sx, sy)
+            for b in range(band):
+                todo &= keys[x, b][:, None] != keys[y, b][None, :]
+            px, py = np.nonzero(todo)
+            if not len(px):
+                continue
+            px, py = x[px], y[py]
+            inter = overlaps(sets, px, py)
+            for k in np.flatnonzero(den * inter >= num * (size[px] + size[py] - inter)):
+                found[comp[px[k]], comp[py[k]]] = (int(px[k]), int(py[k]))
+    return list(found.values())
+
+
+def resolved(rows: DataFrame, num: int, den: int, block_rows: int = 2048, block_mb: int = 32) -> DataFrame:
+    """Links (a, b) between components inside buckets, losing none. rows: (key, rep, comp, keys, sh). A
+    bucket over ``block_rows`` rows or ``block_mb`` is dealt in blocks, and each two blocks meet in one task."""
+    sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.length("sh")) / (block_mb * 2**20))).cast("int").alias("nb"))
+    rows = rows.join(sizes, "key").withColumn("block", F.expr("int(pmod(xxhash64(rep), nb))"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
+
+    def run(batches):
+        at, held = None, []
+
+        def flush():
+            if len(held) < 2 or len({r[3] for r in held}) < 2:
+                return
+            ids, blocks = np.array([r[1] for r in held]), np.array([r[2] for r in held])
+            links = bucket_links(at[0], blocks, np.array([r[3] for r in held]), np.array([r[4] for r in held]), [np.frombuffer(r[5], U) for r in held], num, den)
+            if links:
+                x, y = np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], names=["a", "b"])
+
+        for batch in batches:
+            keys = batch.column("keys").flatten().to_numpy().reshape(len(batch), -1)
+            cols = [batch.column(c).to_pylist() for c in ("key", "lo", "hi", "rep", "block", "comp", "sh")]
+            for n, (key, lo, hi, rep, block, comp, sh) in enumerate(zip(*cols, strict=True)):
+                if at != (key, lo, hi):
+                    yield from flush()
+                    at, held = (key, lo, hi), []
+                held.append((n, rep, block, comp, keys[n].copy(), sh))
+        yield from flush()
+
+    return rows.select("key", "lo", "hi", "rep", "block", "comp", "keys", "sh").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, bands: int = 36, rows: int = 5) -> DataFrame:
@@ -229,10 +300,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     label = ids.select(F.col("doc_id").alias("id")).join(comps.select(F.col("node").alias("id"), "comp"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
     of = members.join(label.withColumnRenamed("id", "rep"), "rep")
     open_keys = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = ws.written(members.join(open_keys, "key", "left_semi").select(F.col("rep").alias("id")).distinct(), "open")
+    rest = ws.written(of.join(open_keys, "key", "left_semi").select("key", "rep", "comp"), "open")
     if not rest.isEmpty():
-        more = ws.written(prefix_pairs(semi_join(sets, rest, "id"), label, num, den), "pairs")
-        links = ws.written(links.unionByName(verified(more, sets, num, den)), "links")
+        full = rest.join(reps.select("rep", "keys"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+        links = ws.written(links.unionByName(resolved(full, num, den)), "links")
         comps = connected_components(links, ws)
     ws.drop(members, ids, sets, links, rest)
 
