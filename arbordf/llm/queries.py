@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .common import table
 from .imatch import fingerprints
 from .minhash import near_duplicates
@@ -17,6 +18,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -32,7 +37,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op6_imatch": op6_imatch, "op7_warc": op7_warc, "op9_pii": op9_pii}
+QUERIES = {"op1_minhash": op1_minhash, "op5_ann": op5_ann, "op6_imatch": op6_imatch, "op7_warc": op7_warc, "op9_pii": op9_pii}
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": """
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
