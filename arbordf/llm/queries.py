@@ -11,6 +11,7 @@ from .common import table
 from .imatch import fingerprints
 from .minhash import near_duplicates
 from .pii import BASE, personal_data
+from .quality import scored
 from .warc import round_trip
 
 
@@ -18,6 +19,11 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "source", "lang", "evidence", "site_rate", "posterior", (F.col("posterior") >= 0.5).alias("kept"))
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
@@ -37,7 +43,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op5_ann": op5_ann, "op6_imatch": op6_imatch, "op7_warc": op7_warc, "op9_pii": op9_pii}
+QUERIES = {"op1_minhash": op1_minhash, "op2_quality": op2_quality, "op5_ann": op5_ann, "op6_imatch": op6_imatch, "op7_warc": op7_warc, "op9_pii": op9_pii}
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": """
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
