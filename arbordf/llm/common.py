@@ -73,3 +73,12 @@ def semi_join(big: DataFrame, ids: DataFrame, key: str, small: int = 1_000_000)
 
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
+
+
+#: A word is a maximal run of characters other than ASCII white space.
+WORD = r"[^ \t\n\x0B\f\r]+"
+
+
+def n_words(c: str = "text") -> Column:
+    """Number of words of a text; 0 for null. Counted on the JVM."""
+    return F.coalesce(F.regexp_count(F.col(c).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
