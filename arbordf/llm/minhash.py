@@ -313,6 +313,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     return out.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def deduplicated(docs: DataFrame, small: int = 1_000_000, **how) -> DataFrame:
+    """The rows of ``docs`` with one document of each group left, that with the least doc_id, and one row of
+    those that repeat a doc_id. Rows with a null doc_id stay. ``how``: as for near_duplicates. The ids to drop
+    are broadcast when a count shows at most ``small`` (16 MB), else joined by a shuffle."""
+    ws = Workspace(docs.sparkSession, "dedup")
+    found = ws.written(near_duplicates(docs, **how), "groups")
+    drop = ws.written(found.where("not kept").select("doc_id").distinct(), "drop")
+    again = ws.written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    few = lambda ids: F.broadcast(ids) if ids.count() <= small else ids
+    out = docs.join(few(drop), "doc_id", "left_anti")
+    if again.isEmpty():
+        return out.select(*docs.columns)
+    twice = few(again)
+    return out.join(twice, "doc_id", "left_anti").unionByName(out.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+
+
 def same_groups(reps: DataFrame, comps: DataFrame) -> DataFrame:
     """(h1, h2, comp) for the sets that more than one document has or that link with another."""
     out = reps.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
