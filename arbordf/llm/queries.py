@@ -14,6 +14,7 @@ from .minhash import near_duplicates
 from .mixing import mixed
 from .pii import BASE, personal_data
 from .quality import scored
+from .secrets import labelled_findings, secrets
 from .warc import round_trip
 
 
@@ -61,7 +62,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op5_ann": op5_ann, "op6_imatch": op6_imatch, "op7_warc": op7_warc, "op8_binpack": op8_binpack, "op9_pii": op9_pii}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"), labelled_findings(spark))
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op5_ann": op5_ann, "op6_imatch": op6_imatch, "op7_warc": op7_warc, "op8_binpack": op8_binpack, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
+
+
 def _weight(level: str) -> str:
     return f"CASE {' '.join(f"WHEN {level} = '{k}' THEN {v}" for k, v in WEIGHTS[level].items())} ELSE 1 END"
 
