@@ -15,6 +15,7 @@ from .mixing import mixed
 from .pii import BASE, personal_data
 from .quality import scored
 from .secrets import labelled_findings, secrets
+from .token_packing import token_rows
 from .warc import round_trip
 
 
@@ -39,6 +40,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "mix_domain", "lang", "source", "n_tokens", "epoch")
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rows(table(spark, sf_dir, "documents"))
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
@@ -66,7 +71,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"), labelled_findings(spark))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op5_ann": op5_ann, "op6_imatch": op6_imatch, "op7_warc": op7_warc, "op8_binpack": op8_binpack, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
+QUERIES = {"op1_minhash": op1_minhash, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op4_tokens": op4_tokens, "op5_ann": op5_ann, "op6_imatch": op6_imatch, "op7_warc": op7_warc, "op8_binpack": op8_binpack, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
 
 
 def _weight(level: str) -> str:
