@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import n_partitions
 from .minhash import GOLDEN, U, WordHashes, mix
 
-LEVELS, SUBSETS, HEX = 10, 16, 4
+LEVELS, SUBSETS = 10, 16
 #: A-Z as a-z; ASCII control characters and punctuation as blanks.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 SALTS = mix(np.arange(1, SUBSETS + 1).astype(U) * U(0x632BE59BD9B4E019))
@@ -30,40 +30,60 @@ def distinct_terms(text: str, words: WordHashes) -> np.ndarray:
     return np.unique(np.fromiter(map(words.__getitem__, w), U, len(w)))
 
 
-def fingerprint(text: str, lexicon: np.ndarray, words: WordHashes) -> str:
-    """LEVELS * SUBSETS groups of HEX hex digits, thickest level first, dashes for a part that keeps none of
-    the text's terms. A text without lexicon terms has "=" and a hash of its characters instead."""
-    t = distinct_terms(text, words)
-    if len(lexicon):
-        t = t[lexicon[np.minimum(np.searchsorted(lexicon, t), len(lexicon) - 1)] == t]
-    if not len(lexicon) or not len(t):
-        return "=" + blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+class LexiconTerms(dict):
+    """Hashes of words that are lexicon terms, 0 for other words; looked up once for each word."""
+
+    def __init__(self, lexicon: np.ndarray):
+        super().__init__()
+        self.lexicon = frozenset(lexicon.tolist())
+        self.words = WordHashes()
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = int(self.words[word])
+        self[word] = h = h if h in self.lexicon else 0
+        return h
+
+
+def part_hashes(text: str, terms: LexiconTerms) -> np.ndarray | None:
+    """A 16-bit hash of the text's terms in each part (rows: levels, thickest first), 0 for a part that
+    keeps none of them; None for a text without lexicon terms."""
+    w = text.encode("utf-8", "surrogatepass").translate(FOLD).split()
+    t = np.unique(np.fromiter(map(terms.__getitem__, w), U, len(w)))
+    t = t[1:] if len(t) and not t[0] else t
+    if not len(t):
+        return None
     with np.errstate(over="ignore"):
         u = mix(t[:, None] ^ SALTS[None, :])
-        value = mix(u + GOLDEN)
-        parts = []
-        for level in range(LEVELS):
-            kept = u < U(1 << (63 - level))
-            total = mix(np.where(kept, value, U(0)).sum(0, dtype=U))
-            parts += [f"{int(h) >> (64 - 4 * HEX):0{HEX}x}" if some else "-" * HEX for h, some in zip(total, kept.any(0), strict=True)]
-    return "".join(parts)
+        # the thinnest level that keeps a term: its leading zero bits, less one
+        level = np.minimum(63 - np.floor(np.log2(u.astype(np.float64) + 0.5)).astype(np.int64), LEVELS)
+        total = np.zeros((LEVELS + 1) * SUBSETS, U)
+        cell = (level * SUBSETS + np.arange(SUBSETS)[None, :]).ravel()
+        np.add.at(total, cell, mix(u + GOLDEN).ravel())
+        total = np.cumsum(total.reshape(LEVELS + 1, SUBSETS)[::-1], axis=0, dtype=U)[::-1][1:]
+        return np.where(total == 0, U(0), np.maximum(mix(total) >> U(48), U(1))).astype(np.uint16)
 
 
-def likeness(a: str, b: str) -> float:
+def likeness(a: np.ndarray | None, b: np.ndarray | None, same: bool) -> float:
     """Share of equal hashes at the thinnest level where at least half the parts keep a term of either text;
     0 to 1, and 1 for equal fingerprints."""
-    if a == b:
+    if same:
         return 1.0
-    if a[0] == "=" or b[0] == "=":
+    if a is None or b is None:
         return 0.0
-    width, none = SUBSETS * HEX, "-" * HEX
-    for level in reversed(range(LEVELS)):
-        x, y = (s[level * width : (level + 1) * width] for s in (a, b))
-        pairs = [(x[i : i + HEX], y[i : i + HEX]) for i in range(0, width, HEX)]
-        full = [p for p in pairs if p != (none, none)]
-        if len(full) * 2 >= SUBSETS or level == 0 and full:
-            return sum(p == q for p, q in full) / len(full)
-    return 0.0
+    full = (a | b) != 0
+    n = full.sum(1)
+    level = LEVELS - 1 - int((n[::-1] * 2 >= SUBSETS).argmax()) if (n * 2 >= SUBSETS).any() else 0
+    return float(((a[level] == b[level]) & full[level]).sum() / n[level]) if n[level] else 0.0
+
+
+def written_out(text: str, parts: np.ndarray | None) -> str:
+    """The fingerprint: LEVELS * SUBSETS groups of four hex digits, thickest level first; for a text without
+    lexicon terms "=" and a hash of its characters instead."""
+    if parts is None:
+        return "=" + blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    return parts.astype(">u2").tobytes().hex()
 
 
 def lexicon_of(docs: DataFrame, low: float = 0.001, high: float = 0.05) -> np.ndarray:
@@ -115,7 +135,7 @@ def fingerprints(docs: DataFrame, low: float = 0.001, high: float = 0.05) -> Dat
     lexicon = docs.sparkSession.sparkContext.broadcast(lexicon_of(docs, low, high))
 
     def run(batches):
-        words, lex, before = WordHashes(), lexicon.value, None
+        terms, before = LexiconTerms(lexicon.value), None
         for batch in batches:
             out = []
             for doc_id, text, copy, pid in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -123,14 +143,16 @@ def fingerprints(docs: DataFrame, low: float = 0.001, high: float = 0.05) -> Dat
                     before = None
                 if before and before[4]:
                     continue
-                fp = fingerprint(text, lex, words)
+                parts = part_hashes(text, terms)
+                fp = written_out(text, parts)
                 if before:
-                    i, t, f = before[:3]
+                    i, t, f, _, _, p = before
                     q = len(t) // 4
                     edited = t[: len(t) - q] + text[:q]
-                    ef = fingerprint(edited, lex, words)
-                    out.append((i, len(t), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), f, ef, likeness(f, ef), likeness(f, fp)))
-                before = (doc_id, text, fp, pid, copy)
+                    ep = part_hashes(edited, terms)
+                    ef = written_out(edited, ep)
+                    out.append((i, len(t), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), f, ef, likeness(p, ep, f == ef), likeness(p, parts, f == fp)))
+                before = (doc_id, text, fp, pid, copy, parts)
             cols = list(zip(*out, strict=True)) or [()] * 7
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
