@@ -39,7 +39,7 @@ class LexiconTerms(dict):
         self.words = WordHashes()
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         h = int(self.words[word])
         self[word] = h = h if h in self.lexicon else 0

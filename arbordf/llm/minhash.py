@@ -41,7 +41,7 @@ class WordHashes(dict):
     """64-bit hashes of words, computed once for each word of a batch."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
         return h

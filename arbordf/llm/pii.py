@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 BASE = ("email", "ip", "card", "phone")
 TYPES = ("O", "email", "ip", "card", "phone", "ssn", "iban", "mac")
 KINDS = TYPES[1:]
@@ -355,7 +357,7 @@ def personal_data(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None =
     model = model or trained()
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             bases, spans = [], []
             for t in batch.column(1).to_pylist():
                 b = base_spans(t) if t and ANCHOR.search(t) else []
@@ -389,9 +391,7 @@ def redacted(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None
     fields = docs.schema
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces(batches):
             texts = []
             for t in batch.column("text").to_pylist():
                 texts.append(redact(t, all_spans(t, base_spans(t), model)) if t and ANCHOR.search(t) else t)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Workspace
+from .common import Workspace, pieces
 
 UPPER = bytes(range(65, 91))
 DIGIT = b"0123456789"
@@ -115,7 +115,7 @@ def with_evidence(rows: DataFrame, model: Model) -> DataFrame:
     """``rows`` (with a string column text) plus evidence double; text is the last column and is kept."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             x = np.array([stats(t) if t else [0.0] * N_STATS for t in batch.column("text").to_pylist()], float).reshape(-1, N_STATS)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.evidence(x))], names=[*batch.schema.names, "evidence"])
 
