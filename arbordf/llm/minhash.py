@@ -309,7 +309,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
     groups = same_groups(reps, comps)
     out = sig.select("doc_id", "n_shingles", "h1", "h2").join(groups, ["h1", "h2"], "left")
-    comp = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
+    comp = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

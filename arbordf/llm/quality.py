@@ -28,6 +28,8 @@ PROSE = bytes(c for c in range(256) if c >= 128 or chr(c).isalnum() or c in b" \
 N_STATS = 12
 #: No evidence outweighs odds of e^EVIDENCE.
 EVIDENCE = 12.0
+#: Columns that scoring adds.
+EXTRA = ("host", "path", "site_rate", "site_logit", "evidence", "posterior")
 
 
 def stats(text: str) -> list[float]:
@@ -161,8 +163,7 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = 20_000, small: int
     ws = Workspace(docs.sparkSession, "quality")
     model = train(docs, labels, sample)
     rates = sites(docs, model, ws).drop("n")
-    extra = ("host", "path", "site_rate", "site_logit", "evidence", "posterior")
-    rows = docs.drop(*extra).withColumn("host", name("source")).withColumn("path", name("lang"))
+    rows = docs.drop(*EXTRA).withColumn("host", name("source")).withColumn("path", name("lang"))
     rows = rows.join(F.broadcast(rates) if rates.count() <= small else rates, ["host", "path"])
     rows = with_evidence(rows, model)
     return rows.withColumn("posterior", 1 / (1 + F.exp(-(F.col("evidence") + F.col("site_logit")))))
@@ -170,4 +171,6 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = 20_000, small: int
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 20_000) -> DataFrame:
     """The rows of ``docs`` whose posterior is at least ``threshold``, with the columns of ``docs``."""
-    return scored(docs, labels, sample).where(F.col("posterior") >= threshold).select(*docs.columns)
+    safe = docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c in EXTRA})
+    kept = scored(safe, labels, sample).where(F.col("posterior") >= threshold)
+    return kept.select(*[F.col(f"__own_{c}").alias(c) if c in EXTRA else c for c in docs.columns])

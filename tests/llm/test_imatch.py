@@ -1,0 +1,63 @@
+import hashlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from arbordf.llm.imatch import LexiconTerms, fingerprints, lexicon_of, likeness, part_hashes
+
+
+def edited(texts):
+    out = []
+    for i, t in enumerate(texts):
+        n, q = texts[(i + 1) % len(texts)], len(t) // 4
+        out.append(t[: len(t) - q] + n[:q])
+    return out
+
+
+@pytest.fixture(scope="module")
+def texts():
+    r = random.Random(5)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(800)]
+    out = [" ".join(r.choice(vocab) for _ in range(r.choice([5, 60, 300]))) for _ in range(150)] + ["", "é", "ab", "same text here", "same text here"]
+    r.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_edits_and_neighbours(spark, texts, parts):
+    rows = [(3 * i - 40, t, "x", 1) for i, t in enumerate(texts)]
+    random.Random(1).shuffle(rows)
+    got = fingerprints(spark.createDataFrame(rows, "doc_id long, text string, pid string, copy int").repartition(parts), 0.001, 0.3).orderBy("doc_id").collect()
+    assert [r.doc_id for r in got] == sorted(r[0] for r in rows)
+    assert [r.n_chars for r in got] == [len(t) for t in texts]
+    assert [r.edited_sha256 for r in got] == [hashlib.sha256(t.encode()).hexdigest() for t in edited(texts)]
+    by_text = {}
+    for t, r in zip(texts, got, strict=True):
+        assert by_text.setdefault(t, r.fingerprint) == r.fingerprint
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    long = [r for r in got if r.n_chars > 300]
+    assert sum(r.near_edited for r in long) / len(long) > 0.3 > sum(r.near_next for r in long) / len(long)
+
+
+def test_lexicon_is_the_band(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = df.select(F.explode(F.array_distinct(F.split("text", " "))).alias("w")).groupBy("w").count()
+    lo, hi = 0.02 * len(texts), 0.08 * len(texts)
+    assert len(lexicon_of(df, 0.02, 0.08)) == words.where((F.col("w") != "") & (F.col("w") != "é") & (F.col("count") >= max(2, lo)) & (F.col("count") <= hi)).count()
+
+
+def test_edges(spark):
+    schema = "doc_id long, text string"
+    assert fingerprints(spark.createDataFrame([], schema)).count() == 0
+    lone = fingerprints(spark.createDataFrame([(5, "abcdefgh")], schema)).collect()
+    assert lone[0].edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and lone[0].near_next == 1.0
+    rows = fingerprints(spark.createDataFrame([(None, None), (1, "word " * 50_000), (1, "word " * 50_000), (2, "")], schema)).collect()
+    assert len(rows) == 4 and sorted(r.n_chars for r in rows) == [0, 0, 250_000, 250_000]
+
+
+def test_likeness_of_nothing():
+    import numpy as np
+
+    empty = LexiconTerms(np.empty(0, np.uint64))
+    assert part_hashes("a b", empty) is None and likeness(None, None, False) == 0 and likeness(None, None, True) == 1

@@ -1,0 +1,135 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from arbordf.llm.minhash import U, WordHashes, bucket_links, chunks, deduplicated, near_duplicates, overlaps, shingle_sets, superminhash
+
+SCHEMA = "doc_id long, text string, lang string, keys int, comp string"
+
+
+def brute(rows, k, num=80, den=100):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    comp = {i: i for i in sets}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                comp[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def corpus(seed=1, groups=12, copies=9, words=60):
+    r = random.Random(seed)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows = []
+    passage = [r.choice(vocab) for _ in range(40)]
+    for _ in range(groups):
+        base = [r.choice(vocab) for _ in range(words)] + (passage if r.random() < 0.5 else [])
+        for _ in range(copies):
+            t = list(base)
+            for _ in range(r.choice([0, 0, 1, 2, 3, 4])):
+                t[r.randrange(len(t))] = r.choice(vocab)
+            rows.append(" ".join(t))
+    rows += ["", None, "one", "one", "Two words", "two WORDS", "a b c", "a\tb\nc", "x " * 500]
+    r.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("k,seed", [(4, 1), (5, 2)])
+def test_equals_brute_force(spark, k, seed):
+    rows = corpus(seed)
+    df = spark.createDataFrame([(i, t, "en", 1, "c") for i, t in rows], SCHEMA)
+    got = {r.doc_id: r for r in near_duplicates(df, shingle=k).collect()}
+    want = brute(rows, k)
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
+
+
+def test_large_buckets_are_resolved_in_blocks(spark, monkeypatch):
+    import arbordf.llm.minhash as m
+
+    whole = m.resolved
+    monkeypatch.setattr(m, "resolved", lambda rows, num, den: whole(rows, num, den, block_rows=5))
+    rows = corpus(7, groups=3, copies=60, words=45)
+    df = spark.createDataFrame([(i, t, "en", 1, "c") for i, t in rows], SCHEMA)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, shingle=4).collect()} == brute(rows, 4)
+
+
+def test_independent_of_partitions(spark):
+    rows = corpus(3)
+    df = spark.createDataFrame([(i, t, "en", 1, "c") for i, t in rows], SCHEMA)
+    a = sorted(map(tuple, near_duplicates(df.repartition(1)).collect()))
+    assert a == sorted(map(tuple, near_duplicates(df.repartition(7, "text")).collect()))
+
+
+def test_nulls_repeats_and_empty_tables(spark):
+    df = spark.createDataFrame([(None, "a b c d e f", None, None, None), (1, "a b c d e f", None, None, None), (1, "a b c d e f", None, None, None), (2, "a b c d e f", None, None, None), (3, None, None, None, None)], SCHEMA)
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_duplicates(df).collect()), key=str)
+    assert got == sorted([(None, None, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)], key=str)
+    assert sorted((r.doc_id for r in deduplicated(df).collect()), key=str) == [1, 3, None]
+    assert deduplicated(df).columns == df.columns
+    empty = spark.createDataFrame([], SCHEMA)
+    assert near_duplicates(empty).count() == deduplicated(empty).count() == 0
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"t{i % 9973}" for i in range(300_000))
+    df = spark.createDataFrame([(1, long, "", 0, ""), (2, long + " tail", "", 0, "")], SCHEMA)
+    assert [r.component_id for r in near_duplicates(df).orderBy("doc_id").collect()] == [1, 1]
+
+
+def test_signature_estimates_similarity():
+    r = np.random.default_rng(1)
+    errors = []
+    for _ in range(60):
+        a = np.unique(r.integers(1, 2**63, 300).astype(U))
+        b = np.unique(np.concatenate((a[:220], r.integers(1, 2**63, 60).astype(U))))
+        sig = superminhash([a, b], 180)
+        errors.append((sig[0] == sig[1]).mean() - len(np.intersect1d(a, b)) / len(np.union1d(a, b)))
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < (0.7 * 0.3 / 180) ** 0.5
+    one = superminhash([np.array([7], U)], 64)
+    assert len(np.unique(one >> U(56))) == 64  # one element fills every slot, each at another draw
+
+
+def test_overlaps_agree():
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 400, 100).astype(U)) for _ in range(60)]
+    x, y = (a.ravel() for a in np.meshgrid(np.arange(60), np.arange(60)))
+    many = overlaps(sets, x, y)
+    assert (many == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(x, y)]).all()
+
+
+def test_chunks_cover_all():
+    sets = shingle_sets(["a b c d e"] * 7 + [""], 2, WordHashes())
+    assert [i for c in chunks(sets, 10) for i in range(len(sets))[c]] == list(range(8))
+
+
+def test_bucket_links_leave_earlier_bands_out():
+    sets = [np.arange(10).astype(U)] * 2
+    keys = np.array([[1, 5], [1, 5]])
+    zero = np.zeros(2, int)
+    assert bucket_links(5, zero, np.array([0, 1]), keys, sets, 80, 100) == []
+    assert bucket_links(1, zero, np.array([0, 1]), keys, sets, 80, 100) == [(0, 1)]
+
+
+def test_chain_component(spark):
+    from arbordf.llm.common import Workspace
+    from arbordf.llm.components import connected_components
+
+    n = 200
+    edges = spark.range(n - 1).select((F.col("id") + 1).alias("a"), F.col("id").alias("b")).union(spark.createDataFrame([(500, 501), (501, 502), (502, 500), (7, 7)], "a long, b long"))
+    got = {r.node: r.comp for r in connected_components(edges, Workspace(spark, "t")).collect()}
+    assert got == {**{i: 0 for i in range(n)}, 500: 500, 501: 500, 502: 500}
+    assert connected_components(spark.createDataFrame([], "a long, b long"), Workspace(spark, "t")).count() == 0
