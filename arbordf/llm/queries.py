@@ -108,7 +108,19 @@ OP3_SQL = f"""
     c AS (SELECT *, whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS copies FROM o)
     SELECT doc_id, domain AS mix_domain, own_lang AS lang, own_source AS source, n_tokens, unnest(range(copies))::INT AS epoch FROM c"""
 
+#: Exact links by counting common shingles over all documents, and their components by a recursive closure.
+OP1_SQL = """
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.y FROM r JOIN l ON r.b = l.x),
+    m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+    SELECT m.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n ON m.doc_id = n.doc_id"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash": OP1_SQL,
     "op3_mixing": OP3_SQL,
     "op7_warc": """
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
