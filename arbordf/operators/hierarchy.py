@@ -1,7 +1,7 @@
 """Hierarchies: a node column for the rows of an adjacency list or of level columns.
 
-Paths are found by pointer doubling: each round joins the rows still unresolved with the ancestor they
-point to and doubles the distance, so a tree of depth d takes about log2(d) joins. A round that resolves
+Paths are found by pointer doubling: a round joins the rows still unresolved with the ancestor they point to,
+twice, and so quadruples the distance; a tree of depth d takes about log4(d) rounds. A round that resolves
 nothing shows that what is left hangs on a cycle or on nothing; those rows drop out, as cycles are cut.
 
 Ranks follow from two orders of the same paths of sibling numbers: depth-first order compares the paths,
@@ -48,10 +48,11 @@ def _text(c: Column, t: DataType) -> Column:
     return F.unix_micros(c).cast("string") if t.simpleString() == "timestamp" else c.cast("string")
 
 
-def ranked(nodes: DataFrame, window_nodes: int = WINDOW_NODES) -> DataFrame:
-    """nodes: (id, root, path, opath). Adds preRank, postRank, isLeaf; ranks start at 1 in every tree."""
+def ranked(nodes: DataFrame, window_nodes: int = WINDOW_NODES, total: int | None = None) -> DataFrame:
+    """nodes: (id, root, path, opath). Adds preRank, postRank, isLeaf; ranks start at 1 in every tree.
+    ``total``: the number of nodes, where it is known already."""
     nodes = nodes.withColumn("_post", F.concat("opath", F.array(F.lit(2**31 - 1))))
-    largest = nodes.groupBy("root").count().agg(F.max("count")).first()[0] or 0
+    largest = total if total is not None and total <= window_nodes else nodes.groupBy("root").count().agg(F.max("count")).first()[0] or 0
     if largest <= window_nodes:
         pre, post = (F.row_number().over(Window.partitionBy("root").orderBy(c)) for c in ("opath", "_post"))
         nodes = nodes.withColumn("preRank", pre).withColumn("postRank", post)
@@ -94,18 +95,22 @@ def adjacency_nodes(df: DataFrame, pred: str, succ: str, start: str | Column | N
     # roots need no order among themselves: ranks start anew in each tree
     rows = rows.where("_up is not null").withColumn("_sib", sib).unionByName(rows.where("_up is null").withColumn("_sib", F.lit(0)))
     state = written(rows.select(F.col("_id").alias("id"), F.col("_up").alias("up"), F.array(_text(F.col("_id"), kt)).alias("path"), F.array(F.col("_sib").cast("int")).alias("opath")))
-    done = state.where("up is null")
-    todo = state.where("up is not null")
+    found = 0
     while True:
-        anc = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("p"), F.col("opath").alias("o"))
-        nxt = written(todo.join(anc, "up").select("id", F.col("up2").alias("up"), F.concat("p", "path").alias("path"), F.concat("o", "opath").alias("opath")))
-        new = nxt.where("up is null")
-        if new.isEmpty():
+        n = state.agg(F.count(F.when(F.col("up").isNull(), 1)).alias("found"), F.count("up").alias("todo")).first()
+        if not n.todo or n.found == found:
             break
-        done = done.unionByName(new)
-        todo = nxt.where("up is not null")
-        state = done.unionByName(todo)
-    return ranked(done.select("id", F.col("path")[0].alias("root"), "path", "opath"))
+        found = n.found
+        state = written(_doubled(_doubled(state)))
+    return ranked(state.where("up is null").select("id", F.col("path")[0].alias("root"), "path", "opath"), total=n.found)
+
+
+def _doubled(state: DataFrame) -> DataFrame:
+    """Every row that still points to an ancestor takes over the ancestor's path and pointer; rows whose
+    ancestor doesn't exist drop out."""
+    anc = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("p"), F.col("opath").alias("o"))
+    near = state.where("up is not null").join(anc, "up").select("id", F.col("up2").alias("up"), F.concat("p", "path").alias("path"), F.concat("o", "opath").alias("opath"))
+    return state.where("up is null").unionByName(near)
 
 
 def hierarchy(df: DataFrame, pred: str, succ: str, start: str | Column | None = None, order: Order = (), node: str = "node", strict: bool = False) -> DataFrame:

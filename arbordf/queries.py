@@ -28,10 +28,11 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def session(spark: SparkSession, sf_dir: str) -> AnalyticsSession:
-    """A session of the dialect with the base tables as views of the directory asked for."""
+def session(spark: SparkSession, sf_dir: str, *sql: str) -> AnalyticsSession:
+    """A session of the dialect with the base tables that ``sql`` names as views of the directory asked for."""
     for name in TABLES:
-        t(spark, sf_dir, name).createOrReplaceTempView(name)
+        if any(name in text for text in sql):
+            t(spark, sf_dir, name).createOrReplaceTempView(name)
     return AnalyticsSession(spark)
 
 
@@ -144,7 +145,7 @@ def h10_rollup_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hv_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hierarchy in a view, joined from outside, with parts that no root reaches."""
-    s = session(spark, sf_dir)
+    s = session(spark, sf_dir, "part")
     s.sql(f"CREATE VIEW heap_view AS SELECT succ, node FROM {HEAP.format(tail='START WHERE succ = 2')}")
     return s.sql("SELECT p_partkey, level(hv.node) AS lvl FROM part LEFT OUTER JOIN heap_view AS hv ON p_partkey = hv.succ")
 
@@ -219,13 +220,13 @@ def sc15_infer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t1_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = session(spark, sf_dir)
+    s = session(spark, sf_dir, "orders")
     s.sql("CREATE VIEW sales AS SELECT o_custkey AS cust @(role = 'key'), o_totalprice @(unit = 'CHF', digits = 2) FROM orders")
     return s.sql("SELECT COLUMN_NAME, ORIGINAL_COLUMN_NAME, ORDINAL_POSITION, DATA_TYPE, ANNOTATION_KEY, ANNOTATION_VALUE FROM describe_table(SELECT cust, o_totalprice FROM sales)")
 
 
 def s1_system_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = session(spark, sf_dir)
+    s = session(spark, sf_dir, "customer")
     s.sql("CREATE DIMENSION VIEW seg AS SELECT c_mktsegment FROM customer")
     s.sql("CREATE CUBE VIEW segs AS SELECT count(*) AS n FROM seg")
     return s.sql("SELECT TABLE_NAME, KIND, BASE_OBJECT_NAME, BASE_OBJECT_TYPE FROM SYS.TABLES AS a JOIN SYS.OBJECT_DEPENDENCIES AS b ON a.TABLE_NAME = b.DEPENDENT_OBJECT_NAME")
@@ -259,11 +260,11 @@ SAME: dict[str, str] = {
 
 
 def same_query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: session(spark, sf_dir).sql(sql)
+    return lambda spark, sf_dir: session(spark, sf_dir, sql).sql(sql)
 
 
 def j3_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session(spark, sf_dir).sql("SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey")
+    return session(spark, sf_dir, "customer orders").sql("SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

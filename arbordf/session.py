@@ -41,8 +41,10 @@ class AnalyticsSession:
         self.node_columns: dict[tuple[str, str], str] = {}
         self.basic, self.erp = BasicConversion(spark, self.table), ErpConversion(spark)
         self._n = itertools.count()
-        nodes.register(spark)
-        scalars.register(spark)
+        if not getattr(spark, "_arbordf_functions", False):
+            nodes.register(spark)
+            scalars.register(spark)
+            spark._arbordf_functions = True
         for provider in filter(None, (p.strip() for p in spark.conf.get(AUTO_REGISTER, "").split(","))):
             self.sql(f"REGISTER ALL TABLES USING {provider} IGNORING CONFLICTS")
 
