@@ -331,7 +331,7 @@ def prepared(sentences: list) -> tuple[list, np.ndarray]:
 
 
 @lru_cache(maxsize=4)
-def trained(n_sentences: int = 240, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def trained(n_sentences: int = 150, rounds: int = 25, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(weights, transitions), fitted on ``n_sentences`` generated sentences by RProp-like ascent with an L2 term."""
     r = random.Random(seed)
     batch, x = prepared([labelled_sentence(r) for _ in range(n_sentences)])
