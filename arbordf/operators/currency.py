@@ -68,15 +68,16 @@ def convert(df: DataFrame, amount: str | Column, source: str | Column, target: s
 
 class BasicConversion:
     """Conversion with options from the session's configuration (keys below PREFIX: table, allow_inverse,
-    do_update, error_handling) and rates kept by table name until ``do_update`` asks for new ones."""
+    do_update, error_handling), or from ``options`` where given there, and rates kept by table name until
+    ``do_update`` asks for new ones."""
 
-    def __init__(self, spark: SparkSession, lookup: Callable[[str], DataFrame] | None = None):
-        self.spark, self.lookup = spark, lookup or spark.table
+    def __init__(self, spark: SparkSession, lookup: Callable[[str], DataFrame] | None = None, options: dict[str, str] | None = None):
+        self.spark, self.lookup, self.options = spark, lookup or spark.table, dict(options or {})
         self._name: str | None = None
         self._rates: DataFrame | None = None
 
     def option(self, key: str, default: str) -> str:
-        return self.spark.conf.get(PREFIX + key, default)
+        return self.options.get(key) or self.spark.conf.get(PREFIX + key, default)
 
     def rates(self) -> DataFrame:
         name, update = self.option("table", "rates"), self.option("do_update", "false").lower() == "true"

@@ -193,7 +193,7 @@ DIRECT = "(amount::DOUBLE * r1::DOUBLE)"
 def c2_cc_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = session(spark, sf_dir)
     s.register("cc_rates", rates(spark))
-    spark.conf.set("spark.sql.currency.basic.table", "cc_rates")
+    s.basic.options["table"] = "cc_rates"
     amounts(spark, sf_dir).createOrReplaceTempView("cc_amounts")
     return s.sql("SELECT src, count(cc(amount, src, tgt, d)) AS n, round(cast(sum(cc(amount, src, tgt, d)) AS double), 2) AS total FROM cc_amounts GROUP BY src")
 
@@ -310,5 +310,8 @@ ORACLE_SQL: dict[str, str] = {
         rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0 AS y FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL) SELECT round(corr(x, y), 6) AS rho FROM a""",
     "t1_describe_table": "SELECT * FROM (VALUES ('cust', 'o_custkey', 1, 'BIGINT', 'role', 'key'), ('o_totalprice', 'o_totalprice', 2, 'DOUBLE', 'unit', 'CHF'), ('o_totalprice', 'o_totalprice', 2, 'DOUBLE', 'digits', '2')) v(COLUMN_NAME, ORIGINAL_COLUMN_NAME, ORDINAL_POSITION, DATA_TYPE, ANNOTATION_KEY, ANNOTATION_VALUE)",
     "s1_s2_system_tables": "SELECT * FROM (VALUES ('seg', 'DIMENSION', 'customer', 'UNKNOWN'), ('segs', 'CUBE', 'seg', 'DIMENSION')) v(TABLE_NAME, KIND, BASE_OBJECT_NAME, BASE_OBJECT_TYPE)",
+    "sc15_infer_schema": """SELECT * FROM (VALUES ('l_orderkey', 1, 'BIGINT', 64), ('l_partkey', 2, 'BIGINT', 64), ('l_suppkey', 3, 'BIGINT', 64), ('l_linenumber', 4, 'INTEGER', 32),
+        ('l_quantity', 5, 'DOUBLE', 53), ('l_extendedprice', 6, 'DOUBLE', 53), ('l_discount', 7, 'DOUBLE', 53), ('l_tax', 8, 'DOUBLE', 53), ('l_returnflag', 9, 'VARCHAR(*)', NULL),
+        ('l_linestatus', 10, 'VARCHAR(*)', NULL), ('l_shipdate', 11, 'TIMESTAMP', NULL)) v(COLUMN_NAME, ORDINAL_POSITION, DATA_TYPE, NUMERIC_PRECISION)""",
     "j3_semi": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
 }

@@ -67,6 +67,13 @@ def test_hierarchy_view_hides_its_node(s):
     assert rows(s.sql("SELECT a.name FROM hv AS a, hv AS b WHERE is_parent(a.node, b.node) AND b.name = 'd'")) == [("b",)]
 
 
+def test_stars_of_set_operations_and_strings(s):
+    s.sql(f"CREATE VIEW hv AS SELECT name, node FROM {H}")
+    assert rows(s.sql("SELECT * FROM hv AS a UNION SELECT b.* FROM hv AS b EXCEPT SELECT 'a' ORDER BY 1")) == [("b",), ("c",), ("d",)]
+    assert rows(s.sql(r"""SELECT 'a\nb', "it's", 'x''y', regexp_replace('a1', '\\d', ''), {{q'q}}"""))[0] == ("a\nb", "it's", "x'y", "a", "q'q")
+    assert rows(s.sql("SELECT name, row_number() OVER (PARTITION BY pred ORDER BY succ DESC) AS r FROM animals WHERE (succ > 1) AND (pred = 1) ORDER BY 2"))[0] == ("c", 1)
+
+
 def meta(df, i=0):
     return dict(df.schema.fields[i].metadata)
 
