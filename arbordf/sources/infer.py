@@ -10,7 +10,7 @@ from ..errors import AnalysisError
 SCHEMA = "COLUMN_NAME STRING, ORDINAL_POSITION INT, IS_NULLABLE BOOLEAN, DATA_TYPE STRING, NUMERIC_PRECISION INT, NUMERIC_PRECISION_RADIX INT, NUMERIC_SCALE INT"
 
 #: SQL names of types.
-SQL_NAMES = {"string": "VARCHAR(*)", "int": "INTEGER", "tinyint": "TINYINT", "smallint": "SMALLINT", "bigint": "BIGINT", "float": "FLOAT", "double": "DOUBLE", "date": "DATE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
+SQL_NAMES = {"string": "VARCHAR(*)", "int": "INTEGER", "tinyint": "TINYINT", "smallint": "SMALLINT", "bigint": "BIGINT", "float": "FLOAT", "double": "DOUBLE", "date": "DATE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
 
 
 def sql_type(t: DataType) -> str:
