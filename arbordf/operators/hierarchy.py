@@ -25,6 +25,8 @@ from .tables import written
 
 #: Trees up to this many nodes are ranked by a window, larger ones by ranges.
 WINDOW_NODES = 5_000_000
+#: Path elements (all rows together) up to which the ancestors' side of a round is broadcast, some 20 MB.
+BROADCAST_CELLS = 1_000_000
 Order = Sequence[str | Column]
 
 
@@ -94,22 +96,25 @@ def adjacency_nodes(df: DataFrame, pred: str, succ: str, start: str | Column | N
     sib = F.row_number().over(Window.partitionBy("_up").orderBy(*_asc(order), F.col("_id")))
     # roots need no order among themselves: ranks start anew in each tree
     rows = rows.where("_up is not null").withColumn("_sib", sib).unionByName(rows.where("_up is null").withColumn("_sib", F.lit(0)))
+    # no root reaches a row that is its own parent
+    rows = rows.where("_up is null or _up <> _id")
     state = written(rows.select(F.col("_id").alias("id"), F.col("_up").alias("up"), F.array(_text(F.col("_id"), kt)).alias("path"), F.array(F.col("_sib").cast("int")).alias("opath")))
     found = 0
     while True:
-        n = state.agg(F.count(F.when(F.col("up").isNull(), 1)).alias("found"), F.count("up").alias("todo")).first()
+        n = state.agg(F.count(F.when(F.col("up").isNull(), 1)).alias("found"), F.count("up").alias("todo"), F.sum(F.size("path")).alias("cells")).first()
         if not n.todo or n.found == found:
             break
         found = n.found
-        state = written(_doubled(_doubled(state)))
+        small = n.cells <= BROADCAST_CELLS
+        state = written(_doubled(_doubled(state, small), small))
     return ranked(state.where("up is null").select("id", F.col("path")[0].alias("root"), "path", "opath"), total=n.found)
 
 
-def _doubled(state: DataFrame) -> DataFrame:
+def _doubled(state: DataFrame, small: bool) -> DataFrame:
     """Every row that still points to an ancestor takes over the ancestor's path and pointer; rows whose
-    ancestor doesn't exist drop out."""
+    ancestor doesn't exist drop out. ``small``: the table was found small enough to broadcast."""
     anc = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("p"), F.col("opath").alias("o"))
-    near = state.where("up is not null").join(anc, "up").select("id", F.col("up2").alias("up"), F.concat("p", "path").alias("path"), F.concat("o", "opath").alias("opath"))
+    near = state.where("up is not null").join(F.broadcast(anc) if small else anc, "up").select("id", F.col("up2").alias("up"), F.concat("p", "path").alias("path"), F.concat("o", "opath").alias("opath"))
     return state.where("up is null").unionByName(near)
 
 
