@@ -127,6 +127,28 @@ def test_tables_and_providers(s, spark, tmp_path):
     assert "t1" not in {r[0] for r in rows(s.sql("SHOW TABLES USING memory"))}
 
 
+def test_tables_register_at_start(s, spark):
+    s.sql("CREATE TABLE auto USING memory AS SELECT 1 AS x")
+    spark.conf.set("spark.arbordf.autoregister", "memory")
+    try:
+        assert rows(AnalyticsSession(spark).sql("SELECT * FROM auto")) == [(1,)]
+    finally:
+        spark.conf.unset("spark.arbordf.autoregister")
+
+
+def test_names_fold_unless_case_matters(s, spark):
+    s.sql("CREATE VIEW Folded AS SELECT 1 AS x")
+    assert rows(s.sql("SELECT * FROM fOLDED")) == [(1,)]
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        strict = AnalyticsSession(spark)
+        strict.sql("CREATE VIEW a AS SELECT 1 AS x")
+        strict.sql("CREATE VIEW A AS SELECT 2 AS x")
+        assert rows(strict.sql("SELECT * FROM A")) == [(2,)]
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", "false")
+
+
 def test_persisted_views(s, spark):
     s.sql("CREATE CUBE VIEW c AS SELECT name FROM animals USING memory")
     assert ("c", "FALSE", "CUBE") in rows(s.sql("SHOW TABLES USING memory"))
