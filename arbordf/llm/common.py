@@ -24,11 +24,20 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches to 8 MB for the session, unless it has a limit already: the usual 10,000 rows of long
+    texts may be more than a worker holds."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(8 << 20))
+
+
 class Workspace:
     """Tables written to the shared folder, so that lineage is cut and a lost executor costs nothing
     but the tasks it ran. ``drop`` removes those that no returned plan reads any more."""
 
     def __init__(self, spark: SparkSession, label: str):
+        small_batches(spark)
         self.spark, self.path = spark, f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
 

@@ -8,6 +8,7 @@ of LEVELS x SUBSETS random parts of the lexicon: a part of level l keeps a term
 
 from __future__ import annotations
 
+import zlib
 from hashlib import blake2b, sha256
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions
+from .common import n_partitions, pieces, small_batches
 from .minhash import GOLDEN, U, WordHashes, mix
 
 LEVELS, SUBSETS = 10, 16
@@ -24,6 +25,12 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else
 SALTS = mix(np.arange(1, SUBSETS + 1).astype(U) * U(0x632BE59BD9B4E019))
 
 
+#: Where a null id stands: before all others.
+FIRST = -(2**63)
+#: Ranges of ids at most, which bounds what the driver holds of them.
+MOST_RANGES = 4096
+
+
 def distinct_terms(text: str, words: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's terms."""
     w = text.encode("utf-8", "surrogatepass").translate(FOLD).split()
@@ -106,43 +113,62 @@ def lexicon_of(docs: DataFrame, low: float = 0.001, high: float = 0.05) -> np.nd
 
 
 def with_next(docs: DataFrame, run, schema: str) -> DataFrame:
-    """Apply ``run`` to iterators of batches (doc_id, text, copy, pid) in which each range of ids (pid) is in
-    ascending order and ends with a copy of the row that follows it in the whole order (after the last
-    row: the first). One shuffle of the rows; the ranges' first ids are gathered, one for each range."""
+    """Apply ``run`` to iterators of batches (doc_id, z, copy, pid), z the text's bytes by zlib, in which each
+    range of ids (pid) is in ascending order and ends with a copy of the row that follows it in the whole
+    order (after the last row: the first). One shuffle of the compressed rows; the ranges' first ids are
+    gathered, one for each range."""
     spark = docs.sparkSession
-    k = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("k", k)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = n_partitions(spark)
-    ranges = 4 * parts
-    cuts = sorted(set(docs.approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if parts else []
-    pid = F.size(F.filter(F.lit([int(c) for c in cuts]).cast("array<long>"), lambda c: c <= F.col("k"))) if cuts else F.lit(0)
-    docs = docs.withColumn("pid", pid)
-    heads = sorted((r.pid, r.head) for r in docs.groupBy("pid").agg(F.min("k").alias("head")).collect())
+    ranges = min(MOST_RANGES, 4 * parts)
+    k = F.coalesce(F.col("doc_id"), F.lit(FIRST))
+    cuts = docs.select(k.alias("k")).approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.25 / ranges)
+    cuts = np.unique(np.array(cuts, np.float64).astype(np.int64))
+
+    def range_of(ids: pa.Array) -> tuple[pa.Array, pa.Array]:
+        key = ids.fill_null(FIRST)
+        return key, pa.array(np.searchsorted(cuts, key.to_numpy(), "right").astype(np.int32))
+
+    def keyed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*range_of(batch.column(0))], names=["k", "pid"])
+
+    def zipped(batches):
+        for batch in pieces(batches):
+            z = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary()), *range_of(batch.column(0))], names=["doc_id", "z", "k", "pid"])
+
+    firsts = docs.select("doc_id").mapInArrow(keyed, "k long, pid int").groupBy("pid").agg(F.min("k").alias("head"))
+    heads = sorted((r.pid, r.head) for r in firsts.collect())
     back = spark.createDataFrame([(h, heads[i - 1][0]) for i, (_, h) in enumerate(heads)], "k long, before int")
     at = F.explode(F.filter(F.array(F.struct(F.col("pid"), F.lit(False).alias("copy")), F.struct(F.col("before").alias("pid"), F.lit(True).alias("copy"))), lambda s: s["pid"].isNotNull())).alias("at")
-    rows = docs.join(F.broadcast(back), "k", "left").select("doc_id", "text", "k", at).select("doc_id", "text", "k", "at.*")
-    rows = rows.repartition(parts, "pid").sortWithinPartitions("pid", "copy", "k", "text")
-    return rows.select("doc_id", "text", "copy", "pid").mapInArrow(run, schema)
+    rows = docs.mapInArrow(zipped, "doc_id long, z binary, k long, pid int")
+    rows = rows.join(F.broadcast(back), "k", "left").select("doc_id", "z", "k", at).select("doc_id", "z", "k", "at.*")
+    rows = rows.repartition(parts, "pid").sortWithinPartitions("pid", "copy", "k", "z")
+    return rows.select("doc_id", "z", "copy", "pid").mapInArrow(run, schema)
 
 
 def fingerprints(docs: DataFrame, low: float = 0.001, high: float = 0.05) -> DataFrame:
     """Fingerprints of each row's text and of its edited text, for every row of ``docs`` (doc_id, text; other
-    columns are ignored; a null text counts as empty; null ids come first; rows with equal ids follow by text).
+    columns are ignored; a null text counts as empty; null ids come first; the order of rows with equal ids
+    depends on their texts alone).
 
     The edited text has its last floor(n_chars / 4) code points replaced by as many first ones (or all)
     of the next row's text. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited and near_next. The next row of a lone row is itself. An empty table gives no rows."""
+    small_batches(docs.sparkSession)
     lexicon = docs.sparkSession.sparkContext.broadcast(lexicon_of(docs, low, high))
 
     def run(batches):
         terms, before = LexiconTerms(lexicon.value), None
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
-            for doc_id, text, copy, pid in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, z, copy, pid in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if before and before[3] != pid:
                     before = None
                 if before and before[4]:
                     continue
+                text = zlib.decompress(z).decode("utf-8", "surrogatepass")
                 parts = part_hashes(text, terms)
                 fp = written_out(text, parts)
                 if before:
