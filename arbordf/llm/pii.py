@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, small_batches
 
 BASE = ("email", "ip", "card", "phone")
 TYPES = ("O", "email", "ip", "card", "phone", "ssn", "iban", "mac")
@@ -355,6 +355,7 @@ def personal_data(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None =
     struct<kind, start, end> in code points, end exclusive, by kind in the order of KINDS, then start.
     A null or empty text has no spans; a null doc_id stays null; repeated rows are treated alike."""
     model = model or trained()
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in pieces(batches):
@@ -388,6 +389,7 @@ def redacted(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None
     """``docs`` with personal data in ``text`` replaced by markers; all columns stay, n_chars follows the
     new text where that column exists. Null texts stay null."""
     model = model or trained()
+    small_batches(docs.sparkSession)
     fields = docs.schema
 
     def run(batches):

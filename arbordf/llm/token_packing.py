@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .binpack import cut, pack
-from .common import n_partitions
+from .common import n_partitions, small_batches
 
 #: Where the public vocabularies lie on this box; a parameter everywhere.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -79,6 +79,7 @@ def token_rows(docs: DataFrame, vocabulary: str = VOCABULARY, row: int = ROW, en
     Null and empty texts are a single end id. Null doc_ids stay null; repeated rows are packed each. An
     empty table gives no rows."""
     data = read_vocabulary(vocabulary)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(chars) // block_chars))
