@@ -288,9 +288,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     some = sig.where("doc_id is not null and n_shingles > 0")
     same = some.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "keys")).alias("m"), F.max("doc_id").alias("hi"))
     reps = ws.written(same.select("h1", "h2", F.col("m.doc_id").alias("rep"), "hi", F.col("m.keys").alias("keys")), "reps")
-    buckets = reps.select("rep", F.explode("keys").alias("key"))
+    buckets = reps.select("rep", F.posexplode("keys").alias("band", "key"))
     leaders = buckets.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
-    members = ws.written(buckets.join(leaders, "key").select("key", "rep", "leader"), "members")
+    members = ws.written(buckets.join(leaders, "key").select("key", "band", "rep", "leader"), "members")
 
     ids = ws.written(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")
     sets = ws.written(full_sets(semi_join(docs, ids, "doc_id"), shingle).dropDuplicates(["id"]), "sets")
@@ -299,7 +299,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     comps = connected_components(links, ws)
     label = ids.select(F.col("doc_id").alias("id")).join(comps.select(F.col("node").alias("id"), "comp"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
     of = members.join(label.withColumnRenamed("id", "rep"), "rep")
-    open_keys = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    # of buckets with the same members (by two hashes and their number) the first band's serves for all
+    same_members = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    spans = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *same_members, F.count("*").alias("m"), F.min("band").alias("band"))
+    open_keys = spans.where("lo <> hi").groupBy("x1", "x2", "m").agg(F.min(F.struct("band", "key")).alias("k")).select("k.key")
     rest = ws.written(of.join(open_keys, "key", "left_semi").select("key", "rep", "comp"), "open")
     if not rest.isEmpty():
         full = rest.join(reps.select("rep", "keys"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
