@@ -1,7 +1,8 @@
 """Document fingerprints by I-Match with randomised lexicons.
 
 The lexicon holds the terms of the whole collection whose document frequency lies in a band, which is a
-band of inverse document frequency. A text's distinct lexicon terms are sorted and hashed once for each
+band of inverse document frequency; of copies and near copies one is counted. Where a text's rarer terms
+outnumber its lexicon terms they join these, and its commoner ones where both are few. A text's distinct lexicon terms are sorted and hashed once for each
 of LEVELS x SUBSETS random parts of the lexicon: a part of level l keeps a term with probability
 2^-(l+1). Long texts still share the hashes of thin parts after an edit, short ones those of thick parts.
 """
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions, pieces, small_batches
+from .common import Workspace, n_partitions, pieces, small_batches
 from .minhash import GOLDEN, U, WordHashes, mix
 
 LEVELS, SUBSETS = 10, 16
@@ -29,36 +30,76 @@ SALTS = mix(np.arange(1, SUBSETS + 1).astype(U) * U(0x632BE59BD9B4E019))
 FIRST = -(2**63)
 #: Ranges of ids at most, which bounds what the driver holds of them.
 MOST_RANGES = 4096
+#: Near copies share a band of BAND_ROWS least hashes of runs of SHINGLE words.
+BANDS, BAND_ROWS, SHINGLE = 12, 3, 4
+RUN_MULTS = mix(np.arange(1, SHINGLE + 1).astype(U) * GOLDEN) | U(1)
+SLOT_MULTS = mix(np.arange(1, BANDS * BAND_ROWS + 1).astype(U) * U(0xD1342543DE82EF95)) | U(1)
+#: Candidate terms that are broadcast at most.
+MOST_TERMS = 1 << 20
+#: Classes of terms, in the lowest two bits of their hashes.
+LEXICON, RARE, COMMON = 1, 2, 3
+
+
+def term_sequence(text: str, words: WordHashes) -> np.ndarray:
+    """64-bit hashes of the text's terms, in order."""
+    w = text.encode("utf-8", "surrogatepass").translate(FOLD).split()
+    return np.fromiter(map(words.__getitem__, w), U, len(w))
 
 
-def distinct_terms(text: str, words: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's terms."""
-    w = text.encode("utf-8", "surrogatepass").translate(FOLD).split()
-    return np.unique(np.fromiter(map(words.__getitem__, w), U, len(w)))
+def digest_of(seq: np.ndarray) -> int:
+    return int.from_bytes(blake2b(seq.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def band_keys(seq: np.ndarray) -> np.ndarray:
+    """Keys by band; near copies share one of them."""
+    k = min(SHINGLE, len(seq))
+    with np.errstate(over="ignore"):
+        runs = np.zeros(len(seq) - k + 1, U)
+        for i in range(k):
+            runs += seq[i : len(seq) - k + 1 + i] * RUN_MULTS[i]
+        runs = np.unique(mix(runs))
+        least = np.min([(runs[at : at + 4096, None] * SLOT_MULTS[None, :]).min(0) for at in range(0, len(runs), 4096)], axis=0)
+        keys = np.zeros(BANDS, U)
+        for column in least.reshape(BANDS, BAND_ROWS).T:
+            keys = mix(keys + GOLDEN ^ column)
+        return keys
 
 
 class LexiconTerms(dict):
-    """Hashes of words that are lexicon terms, 0 for other words; looked up once for each word."""
+    """Hashes of words with their class in the lowest two bits, 0 for words of no class; looked up once for
+    each word. Without ``common`` only lexicon terms have a class."""
 
-    def __init__(self, lexicon: np.ndarray):
+    def __init__(self, lexicon: np.ndarray, common: np.ndarray | None = None):
         super().__init__()
         self.lexicon = frozenset(lexicon.tolist())
+        self.common = None if common is None else frozenset(common.tolist())
         self.words = WordHashes()
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
         h = int(self.words[word])
-        self[word] = h = h if h in self.lexicon else 0
+        kind = LEXICON if h in self.lexicon else 0 if self.common is None else COMMON if h in self.common else RARE
+        self[word] = h = h & ~3 | kind if kind else 0
         return h
 
 
+def chosen(t: np.ndarray) -> np.ndarray:
+    """The terms that a text is hashed by: those of the lexicon; with its rarer terms if these are more; with
+    its common ones if those are less than a quarter of these. An edit that tips a balance leaves the
+    smaller choice within the larger one."""
+    kind = t & U(3)
+    n = [int((kind == U(k)).sum()) for k in (LEXICON, RARE, COMMON)]
+    rare = n[1] > n[0]
+    common = 4 * (n[0] + n[1] * rare) < n[2]
+    return t[(kind == U(LEXICON)) | (kind == U(RARE)) & rare | (kind == U(COMMON)) & common]
+
+
 def part_hashes(text: str, terms: LexiconTerms) -> np.ndarray | None:
     """A 16-bit hash of the text's terms in each part (rows: levels, thickest first), 0 for a part that
-    keeps none of them; None for a text without lexicon terms."""
+    keeps none of them; None for a text without terms."""
     w = text.encode("utf-8", "surrogatepass").translate(FOLD).split()
-    t = np.unique(np.fromiter(map(terms.__getitem__, w), U, len(w)))
-    t = t[1:] if len(t) and not t[0] else t
+    t = chosen(np.unique(np.fromiter(map(terms.__getitem__, w), U, len(w))))
     if not len(t):
         return None
     with np.errstate(over="ignore"):
@@ -87,29 +128,82 @@ def likeness(a: np.ndarray | None, b: np.ndarray | None, same: bool) -> float:
 
 def written_out(text: str, parts: np.ndarray | None) -> str:
     """The fingerprint: LEVELS * SUBSETS groups of four hex digits, thickest level first; for a text without
-    lexicon terms "=" and a hash of its characters instead."""
+    terms "=" and a hash of its characters instead."""
     if parts is None:
         return "=" + blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
     return parts.astype(">u2").tobytes().hex()
 
 
-def lexicon_of(docs: DataFrame, low: float = 0.001, high: float = 0.05) -> np.ndarray:
+def bands_of(docs: DataFrame, low: float = 0.001, high: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the terms that between ``low`` and ``high`` of all documents have (and at least
-    two). There are at most (mean number of distinct terms a document) / low of them, whatever the number
-    of documents, so they fit the driver and a broadcast."""
+    two), and of those that more have. Of copies and near copies only such count as have the least digest
+    in each of their bands' buckets: one of each group at least, and more of it only by chance. Texts without
+    terms don't count.
 
-    def counts(batches):
+    There are at most (mean number of distinct terms a document) / low such terms, whatever the number of
+    documents, so they fit the driver and a broadcast."""
+    spark = docs.sparkSession
+    work = Workspace(spark, "imatch")
+    texts = docs.select(F.col("text").cast("string"))
+
+    def sketched(batches):
         words = WordHashes()
-        for batch in batches:
-            seen = [distinct_terms(t, words) for t in batch.column(0).to_pylist() if t]
-            if seen:
-                t, n = np.unique(np.concatenate(seen), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n)], names=["term", "n"])
+        for batch in pieces(batches):
+            seqs = [q for q in (term_sequence(t, words) for t in batch.column(0).to_pylist() if t) if len(q)]
+            if seqs:
+                t, n = np.unique(np.concatenate([np.unique(q) for q in seqs]), return_counts=True)
+                slot = np.concatenate([np.zeros(len(t), np.int32), np.tile(np.arange(1, BANDS + 1, dtype=np.int32), len(seqs))])
+                key = np.concatenate([t, *map(band_keys, seqs)]).view(np.int64)
+                digest = np.concatenate([np.zeros(len(t), np.int64), np.repeat(np.array([digest_of(q) for q in seqs]), BANDS)])
+                n = np.concatenate([n, np.ones(len(seqs) * BANDS, np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(key), pa.array(n), pa.array(digest)], names=["slot", "key", "n", "digest"])
+
+    rows = texts.mapInArrow(sketched, "slot int, key long, n long, digest long").groupBy("slot", "key").agg(F.sum("n").alias("n"), F.min("digest").alias("digest"))
+    is_term = F.col("slot") == 0
+    rows = work.written(rows.where(~is_term | (F.col("n") > 1)).select(F.when(is_term, F.col("key")).alias("term"), F.when(is_term, F.col("n")).alias("n"), F.when(~is_term, F.col("digest")).alias("digest")), "sketches")
+    firsts = work.written(rows.where("digest is not null").groupBy("digest").count().where(F.col("count") == BANDS).select("digest"), "firsts")
+    n = firsts.count()
+    often = rows.where(F.col("n") >= max(2, low * n)).select("term")
+    names = np.sort(often.toArrow().column(0).to_numpy().astype(np.int64).view(U)) if often.count() <= MOST_TERMS else None
+    kind = np.dtype(np.uint64 if names is None else np.uint16 if len(names) < 1 << 16 else np.uint32)
+    named = None if names is None else spark.sparkContext.broadcast(names)
+
+    def listed(batches):
+        words, seen = WordHashes(), set()
+        index = None if named is None else {h: i for i, h in enumerate(named.value.tolist())}
+        for batch in pieces(batches):
+            digest, terms = [], []
+            for text in batch.column(0).to_pylist():
+                q = term_sequence(text, words) if text else ()
+                if not len(q) or (d := digest_of(q)) in seen:
+                    continue
+                if len(seen) > 300_000:
+                    seen.clear()
+                seen.add(d)
+                q = np.unique(q)
+                if index is not None:
+                    q = np.array([i for h in q.tolist() if (i := index.get(h)) is not None], kind)
+                digest.append(d)
+                terms.append(q.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.int64()), pa.array(terms, pa.binary())], names=["digest", "terms"])
+
+    def counts(batches):
+        for batch in pieces(batches):
+            t, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), return_counts=True)
+            t = (t if named is None else named.value[t]).astype(U).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n)], names=["term", "n"])
+
+    once = texts.mapInArrow(listed, "digest long, terms binary").join(firsts, "digest", "left_semi").dropDuplicates(["digest"])
+    df = once.select("terms").mapInArrow(counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    kept = df.where(F.col("df") >= max(2, low * n)).select("term", (F.col("df") > max(2, high * n)).alias("common")).toArrow()
+    work.drop_all()
+    t, common = kept.column(0).to_numpy().astype(np.int64).view(U), kept.column(1).to_numpy().astype(bool)
+    return np.sort(t[~common]), np.sort(t[common])
 
-    n = docs.count()
-    df = docs.select(F.col("text").cast("string")).mapInArrow(counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
-    kept = df.where((F.col("df") >= max(2, low * n)) & (F.col("df") <= max(2, high * n))).select("term").toArrow()
-    return np.sort(kept.column(0).to_numpy().astype(np.int64).view(U))
+
+def lexicon_of(docs: DataFrame, low: float = 0.001, high: float = 0.05) -> np.ndarray:
+    """The terms within the band alone."""
+    return bands_of(docs, low, high)[0]
 
 
 def with_next(docs: DataFrame, run, schema: str) -> DataFrame:
@@ -157,10 +251,10 @@ def fingerprints(docs: DataFrame, low: float = 0.001, high: float = 0.05) -> Dat
     of the next row's text. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited and near_next. The next row of a lone row is itself. An empty table gives no rows."""
     small_batches(docs.sparkSession)
-    lexicon = docs.sparkSession.sparkContext.broadcast(lexicon_of(docs, low, high))
+    lexicon = docs.sparkSession.sparkContext.broadcast(bands_of(docs, low, high))
 
     def run(batches):
-        terms, before = LexiconTerms(lexicon.value), None
+        terms, before = LexiconTerms(*lexicon.value), None
         for batch in pieces(batches):
             out = []
             for doc_id, z, copy, pid in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from arbordf.llm.imatch import LexiconTerms, fingerprints, lexicon_of, likeness, part_hashes
+from arbordf.llm.imatch import LexiconTerms, bands_of, fingerprints, lexicon_of, likeness, part_hashes
 
 
 def edited(texts):
@@ -61,3 +61,27 @@ def test_likeness_of_nothing():
 
     empty = LexiconTerms(np.empty(0, np.uint64))
     assert part_hashes("a b", empty) is None and likeness(None, None, False) == 0 and likeness(None, None, True) == 1
+
+
+def test_copies_and_small_domains(spark):
+    """A third of the rows are near copies of one text, 3 in 4000 another language of few terms."""
+    r = random.Random(8)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(4000)]
+    own = ["".join(r.choice("xyzuvw") for _ in range(6)) for _ in range(500)]
+    base = r.sample(vocab, 80)
+    texts = []
+    for i in range(4000):
+        if i % 3 == 0:
+            t = [w if r.random() > 0.03 else r.choice(vocab) for w in base]
+        else:
+            t = r.sample(own if i in (1000, 2000, 2500) else vocab, 80)
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lexicon, common = bands_of(df)
+    terms = LexiconTerms(lexicon)
+    assert len([w for w in set(base) if terms[w.encode()]]) > 75 and len(common) < 5
+    got = {x.doc_id: x for x in fingerprints(df).collect()}
+    copies = [got[i] for i in range(0, 4000, 3)]
+    assert not any(x.fingerprint.startswith("=") for x in got.values())
+    assert sum(x.near_edited for x in copies) / len(copies) > 0.3 > 0.05 > sum(x.near_next for x in copies) / len(copies)
+    assert min(got[i].near_edited for i in (1000, 2000, 2500)) > 0.1
