@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -54,3 +55,27 @@ def test_no_python_in_the_plan(spark, findings):
     df = spark.createDataFrame([(1, "a" * 20 + "1", "s", "")], SCHEMA)
     plan = S.secrets(df, findings)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_recall_from_texts(spark, findings):
+    """Secrets of texts, not of findings: keys without digits, passwords with punctuation and short ones."""
+    r = random.Random(21)
+    base62 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    want = [("token = \"", "QwErTyUiOpAsDfGhJkLz", "\""), ("password=", "P@ssw0rd!2024", ""), ("password = \"", "Tr0ub4dor&3xyz", "\""), ("pwd: ", "hun7er2!", ""), ("clientSecretToken = '", "aB3$xY9z", "'"), ("password=", "Kx9&vB2,q7", ";user=joe")]
+    for n in (14, 16, 20, 32, 44):
+        want += [("the key ", "".join(r.choice(base62) for _ in range(n)), " here") for _ in range(100)]
+        want += [("secret = \"", "".join(r.choice(base62[:52]) for _ in range(n)), "\"") for _ in range(20)]
+    df = spark.createDataFrame([(i, f"é some {a}{c}{b} and more", "src1", "") for i, (a, c, b) in enumerate(want)], SCHEMA)
+    rows = S.secrets(df, findings).collect()
+    hit = {(x.doc_id, x.cand): x.is_secret for x in rows}
+    assert all((i, c) in hit for i, (_, c, _) in enumerate(want))
+    assert all(df_text[x.start : x.end] == x.cand for x in rows for df_text in [f"é some {''.join(want[x.doc_id])} and more"])
+    assert all(hit[i, want[i][1]] for i in range(6))
+    named = [hit[i, c] for i, (a, c, _) in enumerate(want) if a.startswith("secret")]
+    assert sum(named) / len(named) > 0.95
+
+
+def test_plain_values_are_no_secrets(spark, findings):
+    texts = ["password: required", "author: somebody", "token = getToken()", "the getElementById and backgroundColor methods", "Wirtschaftsleben und Landschaftsmaler", "token: string, secret = None", "password = \"\" and \"x\""]
+    rows = S.secrets(spark.createDataFrame([(i, t, "src1", "") for i, t in enumerate(texts)], SCHEMA), findings).collect()
+    assert not [x.cand for x in rows if x.is_secret]
