@@ -15,10 +15,12 @@ SPACE = b" \t\n\r\x0b\x0c"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where it is unset
-    (local runs and tests), a temporary folder that is then set for the rest of the session."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where it is unset in a
+    local run, a temporary folder that is then set for the rest of the session. A cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="arbordf-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

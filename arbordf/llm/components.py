@@ -14,7 +14,9 @@ def connected_components(edges: DataFrame, ws: Workspace) -> DataFrame:
     node reachable, for every node that has a link to another. An empty table gives an empty result.
 
     Nothing is gathered on the driver but counts. All aggregations are minima, which combine before the
-    shuffle, so a node with very many links costs a row for each map task."""
+    shuffle, so a node with very many links costs a row for each map task. Joins on a node with very many links
+    or pointers to it are left to adaptive execution, which splits a task's rows of 16 bytes by map task when
+    they exceed ``spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes``."""
     edges = ws.written(edges.where("a <> b").select("a", "b"), "edges")
     done: DataFrame | None = None
     while True:

@@ -5,7 +5,7 @@ permutation of the slots together with ranks that grow along it, so the ranks of
 correlated over the slots and the estimate varies less than with independent hash functions. Drawing
 stops for a document as soon as its slots are all filled, since later draws have larger ranks.
 
-Signatures are cut into bands. Documents with equal sets are one representative. In each bucket of a
+Signatures are cut into bands. Documents with equal sets are one representative, told by the set's digest. In each bucket of a
 band every member is verified on the full sets against the bucket's least member; the links found are
 contracted to components. In buckets that still hold several components the members of different
 components are compared on full sets, in blocks of bounded size, and a link per two components comes
@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from .common import Workspace, semi_join
 from .components import connected_components
@@ -129,6 +131,11 @@ def lists(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
+def digests(sets: list[bytes]) -> np.ndarray:
+    """128-bit digests of sets given as bytes, as rows of two numbers."""
+    return np.frombuffer(b"".join(blake2b(s, digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
+
+
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, n_shingles, h1, h2, keys): set size, a 128-bit digest of the set, bucket keys."""
 
@@ -140,7 +147,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 part = shingle_sets(texts.slice(at, 1000).to_pylist(), k, words)
                 keys = np.concatenate([band_keys(superminhash(part[c], bands * rows), bands, rows) for c in chunks(part)])
                 has = np.array([len(s) > 0 for s in part])
-                digest = np.frombuffer(b"".join(blake2b(s.tobytes(), digest_size=16).digest() for s in part), np.int64).reshape(-1, 2)
+                digest = digests([s.tobytes() for s in part])
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(at, 1000), pa.array([len(s) for s in part], pa.int64()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), lists(keys[has].ravel(), np.concatenate(([0], np.cumsum(has * bands))))],
                     names=["doc_id", "n_shingles", "h1", "h2", "keys"],
@@ -150,16 +157,18 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, sh): the sorted shingle hashes as bytes."""
+    """(h1, h2, sh): the digest of each row's set, as in ``signatures``, and its sorted shingle hashes as bytes."""
 
     def run(batches):
         words = WordHashes()
         for batch in batches:
             for at in range(0, len(batch), 500):
-                part = shingle_sets(batch.column(1).slice(at, 500).to_pylist(), k, words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array([s.tobytes() for s in part], pa.binary())], names=["id", "sh"])
+                part = shingle_sets(batch.column(0).slice(at, 500).to_pylist(), k, words)
+                raw = [s.tobytes() for s in part]
+                digest = digests(raw)
+                yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(raw, pa.binary())], names=["h1", "h2", "sh"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, sh binary")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h1 long, h2 long, sh binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -270,34 +279,27 @@ def resolved(rows: DataFrame, num: int, den: int, block_rows: int = 2048, block_
     return rows.select("key", "lo", "hi", "rep", "block", "comp", "keys", "sh").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, bands: int = 36, rows: int = 5) -> DataFrame:
-    """Group the rows of ``docs`` (doc_id, text; other columns are ignored) whose word-shingle sets have
-    a Jaccard similarity of at least num / den, directly or through others.
-
-    Returns a row for each input row: doc_id, n_shingles, component_id (least doc_id reachable),
-    kept (doc_id = component_id). With 36 bands of 5 a pair at similarity 0.8 shares no bucket with
-    probability 6e-7; every link is confirmed on full sets.
-
-    Null or empty texts have the empty set and link with nothing. Rows with a null doc_id link with
-    nothing, have a null component_id and are kept. Rows that share a doc_id count as one document.
-    An empty table gives an empty result."""
-    spark = docs.sparkSession
-    ws = Workspace(spark, "minhash")
+def grouped(docs: DataFrame, ws: Workspace, shingle: int, num: int, den: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(signatures as written, groups). A group row (h1, h2, comp, label) is a distinct set that several
+    documents have or that links with another: its component and the least doc_id in it."""
     docs = docs.select("doc_id", "text")
     sig = ws.written(signatures(docs, shingle, bands, rows), "sig")
     some = sig.where("doc_id is not null and n_shingles > 0")
     same = some.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "keys")).alias("m"), F.max("doc_id").alias("hi"))
-    reps = ws.written(same.select("h1", "h2", F.col("m.doc_id").alias("rep"), "hi", F.col("m.keys").alias("keys")), "reps")
+    # a set's number: any will do that no other set has, and once written it stays
+    reps = ws.written(same.select("h1", "h2", F.monotonically_increasing_id().alias("rep"), F.col("m.doc_id").alias("low"), "hi", F.col("m.keys").alias("keys")), "reps")
     buckets = reps.select("rep", F.posexplode("keys").alias("band", "key"))
     leaders = buckets.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
     members = ws.written(buckets.join(leaders, "key").select("key", "band", "rep", "leader"), "members")
 
-    ids = ws.written(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    sets = ws.written(full_sets(semi_join(docs, ids, "doc_id"), shingle).dropDuplicates(["id"]), "sets")
+    ids = ws.written(members.select("rep").distinct().join(reps.select("rep", "low", "h1", "h2"), "rep"), "ids")
+    some_docs = semi_join(docs.withColumn("low", F.col("doc_id").cast("long")), ws.written(ids.select("low").distinct(), "lows"), "low")
+    sets = full_sets(some_docs, shingle).join(ids.select("h1", "h2", "rep"), ["h1", "h2"]).dropDuplicates(["h1", "h2"])
+    sets = ws.written(sets.select(F.col("rep").alias("id"), "sh"), "sets")
     first = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = ws.written(verified(first, sets, num, den), "links")
     comps = connected_components(links, ws)
-    label = ids.select(F.col("doc_id").alias("id")).join(comps.select(F.col("node").alias("id"), "comp"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+    label = ids.select(F.col("rep").alias("id")).join(comps.select(F.col("node").alias("id"), "comp"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
     of = members.join(label.withColumnRenamed("id", "rep"), "rep")
     # of buckets with the same members (by two hashes and their number) the first band's serves for all
     same_members = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
@@ -308,31 +310,75 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         full = rest.join(reps.select("rep", "keys"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
         links = ws.written(links.unionByName(resolved(full, num, den)), "links")
         comps = connected_components(links, ws)
-    ws.drop(members, ids, sets, links, rest)
 
-    groups = same_groups(reps, comps)
-    out = sig.select("doc_id", "n_shingles", "h1", "h2").join(groups, ["h1", "h2"], "left")
-    comp = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    of = reps.select("h1", "h2", "rep", "low", "hi").join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
+    of = of.where("comp is not null or hi > low").select("h1", "h2", F.coalesce("comp", "rep").alias("comp"), "low")
+    groups = ws.written(of.join(of.groupBy("comp").agg(F.min("low").alias("label")), "comp").select("h1", "h2", "comp", "label"), "groups")
+    ws.drop(reps, members, ids, sets, links, rest)
+    return sig, groups
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, bands: int = 36, rows: int = 5) -> DataFrame:
+    """Group the rows of ``docs`` (doc_id, text; other columns are ignored) whose word-shingle sets have
+    a Jaccard similarity of at least num / den, directly or through others.
 
+    Returns a row for each input row: doc_id, n_shingles, component_id (least doc_id reachable),
+    kept (doc_id = component_id). With 36 bands of 5 a pair at similarity 0.8 shares no bucket with
+    probability 6e-7; every link is confirmed on full sets. Shingles are told apart by 64-bit hashes, sets
+    by digests of 128 bits.
 
-def deduplicated(docs: DataFrame, small: int = 1_000_000, **how) -> DataFrame:
-    """The rows of ``docs`` with one document of each group left, that with the least doc_id, and one row of
-    those that repeat a doc_id. Rows with a null doc_id stay. ``how``: as for near_duplicates. The ids to drop
-    are broadcast when a count shows at most ``small`` (16 MB), else joined by a shuffle."""
+    Null or empty texts have the empty set and link with nothing. Rows with a null doc_id link with
+    nothing, have a null component_id and are kept. Rows that share a doc_id are documents of their own:
+    each links by its own text alone, so that two of them may be in different groups with one
+    component_id. An empty table gives an empty result."""
+    ws = Workspace(docs.sparkSession, "minhash")
+    sig, groups = grouped(docs, ws, shingle, num, den, bands, rows)
+    return labelled(sig, groups).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def labelled(sig: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``sig`` with component_id and kept."""
+    out = sig.select("doc_id", "n_shingles", "h1", "h2").join(groups.select("h1", "h2", "label"), ["h1", "h2"], "left")
+    comp = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("label", "doc_id")).otherwise(F.col("doc_id"))
+    return out.withColumn("component_id", comp).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+#: Columns with a row's digest, between passes only.
+DIGEST = ("__set_digest_1", "__set_digest_2")
+
+
+def with_digest(docs: DataFrame, k: int) -> DataFrame:
+    def run(batches):
+        words = WordHashes()
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                digest = digests([s.tobytes() for s in shingle_sets(part.column("text").to_pylist(), k, words)])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], names=[*part.schema.names, *DIGEST])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in DIGEST)]))
+
+
+def deduplicated(docs: DataFrame, small: int = 1_000_000, shingle: int = 5, num: int = 80, den: int = 100, bands: int = 36, rows: int = 5) -> DataFrame:
+    """The rows of ``docs`` with one document of each group of near_duplicates left, that with the least doc_id.
+    Rows with a null doc_id stay. Of a group's rows that share its least doc_id the one with the least text
+    stays (of equal texts the one whose columns come first as JSON), and so does one of the rows that repeat
+    a doc_id without any word; rows of one doc_id in different groups stay apart. The ids to drop are
+    broadcast when a count shows at most ``small`` (16 MB), else joined by a shuffle."""
     ws = Workspace(docs.sparkSession, "dedup")
-    found = ws.written(near_duplicates(docs, **how), "groups")
-    drop = ws.written(found.where("not kept").select("doc_id").distinct(), "drop")
-    again = ws.written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    sig, groups = grouped(docs, ws, shingle, num, den, bands, rows)
+    again = ws.written(sig.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
     few = lambda ids: F.broadcast(ids) if ids.count() <= small else ids
-    out = docs.join(few(drop), "doc_id", "left_anti")
+    found = labelled(sig, groups).where("not kept").select("doc_id")
     if again.isEmpty():
-        return out.select(*docs.columns)
-    twice = few(again)
-    return out.join(twice, "doc_id", "left_anti").unionByName(out.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
-
-
-def same_groups(reps: DataFrame, comps: DataFrame) -> DataFrame:
-    """(h1, h2, comp) for the sets that more than one document has or that link with another."""
-    out = reps.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
-    return out.where("comp is not null or hi > rep").select("h1", "h2", F.coalesce("comp", "rep").alias("comp"))
+        return docs.join(few(ws.written(found, "drop")), "doc_id", "left_anti").select(*docs.columns)
+    # repeated ids are decided by row, all others by id
+    drop = ws.written(found.join(again, "doc_id", "left_anti").unionByName(again), "drop")
+    once = docs.join(few(drop), "doc_id", "left_anti").select(*docs.columns)
+    twice = with_digest(docs.join(few(again), "doc_id", "left_semi").select(*docs.columns), shingle)
+    of = groups.toDF(*DIGEST, "__comp", "__label")
+    twice = twice.join(of, list(DIGEST), "left").where(F.coalesce("__label", "doc_id") == F.col("doc_id"))
+    alone = F.when(F.col("__comp").isNull(), F.struct(*DIGEST))
+    first = Window.partitionBy("doc_id", "__comp", alone).orderBy(F.col("text").asc_nulls_first(), F.to_json(F.struct(*docs.columns)))
+    twice = twice.withColumn("__first", F.row_number().over(first)).where("__first = 1")
+    return once.unionByName(twice.select(*docs.columns))

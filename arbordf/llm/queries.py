@@ -53,7 +53,7 @@ def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "pages")).drop("html")
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 def op8_binpack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,16 +108,17 @@ OP3_SQL = f"""
     c AS (SELECT *, whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS copies FROM o)
     SELECT doc_id, domain AS mix_domain, own_lang AS lang, own_source AS source, n_tokens, unnest(range(copies))::INT AS epoch FROM c"""
 
-#: Exact links by counting common shingles over all documents, and their components by a recursive closure.
+#: Exact links between rows by counting common shingles over all rows, and their components by a recursive closure.
 OP1_SQL = """
-    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
-    s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
-    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-    c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-    l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
-    r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.y FROM r JOIN l ON r.b = l.x),
-    m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
-    SELECT m.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n ON m.doc_id = n.doc_id"""
+    WITH RECURSIVE d AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id, text) AS row FROM documents),
+    w AS (SELECT row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+    s AS (SELECT DISTINCT row, doc_id, array_to_string(ws[i:i + 3], ' ') AS sh FROM (SELECT row, doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+    n AS (SELECT row, count(*) AS n FROM s GROUP BY row),
+    c AS (SELECT a.row AS x, b.row AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.row <> b.row AND a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL GROUP BY 1, 2),
+    l AS (SELECT x, y FROM c JOIN n p ON p.row = x JOIN n q ON q.row = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+    r AS (SELECT row AS a, row AS b FROM d UNION SELECT r.a, l.y FROM r JOIN l ON r.b = l.x),
+    m AS (SELECT a AS row, min(doc_id) AS component_id FROM r JOIN d ON d.row = r.b GROUP BY a)
+    SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, coalesce(doc_id = component_id, TRUE) AS kept FROM d JOIN m USING (row) LEFT JOIN n USING (row)"""
 
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash": OP1_SQL,
@@ -126,8 +127,8 @@ ORACLE_SQL: dict[str, str] = {
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, url, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
         f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
-        SELECT page_id, url, payload_bytes, payload_digest,
+        SELECT page_id, payload_bytes, payload_digest,
                CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN page_id <> first THEN first END AS refers_to
+               CASE WHEN page_id <> first THEN first END AS refers_to, url
         FROM f""",
 }

@@ -10,24 +10,33 @@ SCHEMA = "doc_id long, text string, lang string, keys int, comp string"
 
 
 def brute(rows, k, num=80, den=100):
-    sets = {}
-    for i, t in rows:
+    """Sorted (doc_id, set size, least doc_id reachable) of every row."""
+    sets = []
+    for _, t in rows:
         w = (t or "").encode().lower().split()
-        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
-    comp = {i: i for i in sets}
+        sets.append({tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set())
+    comp = list(range(len(rows)))
 
     def find(x):
         while comp[x] != x:
             x = comp[x]
         return x
 
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
-            if a < b and sets[a] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 comp[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    low = {}
+    for n, (i, _) in enumerate(rows):
+        low[find(n)] = min(low.get(find(n), i), i)
+    return sorted((i, len(sets[n]), low[find(n)]) for n, (i, _) in enumerate(rows))
+
+
+def found(df, **how):
+    rows = near_duplicates(df, **how).collect()
+    assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
+    return sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows)
 
 
 def corpus(seed=1, groups=12, copies=9, words=60):
@@ -51,10 +60,7 @@ def corpus(seed=1, groups=12, copies=9, words=60):
 def test_equals_brute_force(spark, k, seed):
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, "en", 1, "c") for i, t in rows], SCHEMA)
-    got = {r.doc_id: r for r in near_duplicates(df, shingle=k).collect()}
-    want = brute(rows, k)
-    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
-    assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
+    assert found(df, shingle=k) == brute(rows, k)
 
 
 def test_large_buckets_are_resolved_in_blocks(spark, monkeypatch):
@@ -64,7 +70,7 @@ def test_large_buckets_are_resolved_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(m, "resolved", lambda rows, num, den: whole(rows, num, den, block_rows=5))
     rows = corpus(7, groups=3, copies=60, words=45)
     df = spark.createDataFrame([(i, t, "en", 1, "c") for i, t in rows], SCHEMA)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, shingle=4).collect()} == brute(rows, 4)
+    assert found(df, shingle=4) == brute(rows, 4)
 
 
 def test_independent_of_partitions(spark):
@@ -74,6 +80,22 @@ def test_independent_of_partitions(spark):
     assert a == sorted(map(tuple, near_duplicates(df.repartition(7, "text")).collect()))
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_repeated_ids_with_other_texts(spark, parts):
+    # numbers of three shards of their own: every id occurs with several texts
+    rows = [(i % 40, t) for i, t in corpus(11, groups=10, copies=9)] + [(5, "a"), (5, "b"), (7, "a z"), (8, "b z"), (7, "a"), (8, "b")]
+    df = spark.createDataFrame([(i, t, "en", 1, "c") for i, t in rows], SCHEMA).repartition(parts, "text")
+    assert found(df, shingle=4) == brute(rows, 4)
+
+
+def test_dedup_by_row_where_ids_repeat(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, "b"), (5, "a"), (7, "a z"), (8, "b"), (9, "c"), (9, "C"), (9, "c"), (3, ""), (3, None), (3, "x"), (4, long + " tail"), (4, long), (6, long)]
+    df = spark.createDataFrame([(i, t, "en", 1, "c") for i, t in rows], SCHEMA)
+    left = sorted(((r.doc_id, r.text) for r in deduplicated(df).collect()), key=str)
+    assert left == sorted([(5, "a"), (5, "b"), (7, "a z"), (9, "C"), (3, None), (3, "x"), (4, long)], key=str)
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e f", None, None, None), (1, "a b c d e f", None, None, None), (1, "a b c d e f", None, None, None), (2, "a b c d e f", None, None, None), (3, None, None, None, None)], SCHEMA)
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_duplicates(df).collect()), key=str)
