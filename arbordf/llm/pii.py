@@ -6,15 +6,20 @@ are O tokens of one token. Dynamic programming over boundaries and types at once
 lengths, gives the best segmentation. Weights maximise the conditional likelihood of generated,
 labelled sentences; training is exact (forward-backward), seeded and takes a few seconds on the driver.
 
-Only windows of tokens round a digit, an ``@`` or an at-marker are segmented: elsewhere no candidate
-exists and O is the only labelling. The plain patterns (BASE) always stay; the field adds spans that
-overlap none of them.
+Tokens end at white space and at punctuation that no shape has within itself (= , ; | < > quotes and the like),
+also at ``:`` and ``/``, and between a digit and a letter beyond ASCII; so data glued to keys, tags or commas has
+bounds of its own. A segment is personal data only if it matches a shape and holds an anchor (a digit, an
+``@`` or an at-marker). Tokens that no such segment covers are O for certain, so decoding runs over the
+others alone, stretch by stretch, and gives what decoding of the whole text gives. Nothing limits a segment but
+MAX_LEN. The plain patterns (BASE) always stay; the field adds spans that overlap none of them.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,8 +39,15 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+DIGITS = re.compile(r"[0-9]")
 ANCHOR = re.compile(r"[0-9@]|[(\[]at[)\]]", re.I)
-TOKEN = re.compile(r"\S+")
+TOKEN = re.compile(r"[^\s=:,;|<>\"'`{}&\\*#~^!?/$，：；。、“”‘’「」]+")
+#: Between a digit and a letter beyond ASCII, where texts without blanks have a word's end.
+EDGE = re.compile(r"(?<=[0-9])(?=[^\x00-\x7f])|(?<=[^\x00-\x7f])(?=[+0-9])")
+#: What may stand between two tokens of a segment.
+GLUE = ("", " ", ":", "/")
+#: Tokens before the first anchor of a window and after its last, so that every candidate and its cues lie within.
+BEFORE, AFTER = MAX_LEN + 3, 2 * MAX_LEN + 4
 
 
 def digits(s: str) -> str:
@@ -100,6 +112,7 @@ SHAPES = {
     "mac": re.compile(r"[0-9A-Fa-f]{2}([:-][0-9A-Fa-f]{2}){5}"),
     "date": re.compile(r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}"),
     "clock": re.compile(r"\d{1,2}:\d{2}(:\d{2})?"),
+    "bare": re.compile(r"\d{9,12}"),
     "cardlike": re.compile(r"\d{4}([ -]?\d{4}){2}[ -]?\d{1,7}|\d{13,19}|\d{4} \d{6} \d{5}"),
 }
 N_FEATURES = 1 + len(SHAPES) + 6 + len(CUES) * 2 + MAX_LEN
@@ -111,110 +124,169 @@ def iban_valid(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-def features(s: str, n_tokens: int, cue: set[str]) -> np.ndarray | None:
-    """The span's feature vector; None for a span that can't be personal data at all."""
-    nd = sum("0" <= c <= "9" for c in s)
+def features(s: str, nd: int, n_tokens: int, cue: set[str]) -> list[float] | None:
+    """The feature vector of a span with ``nd`` digits; None for a span that can't be personal data at all."""
+    if nd < 6 and "@" not in s and "." not in s and ":" not in s and "-" not in s and "(" not in s and "[" not in s:
+        return None
     hit = {k: bool(r.fullmatch(s)) for k, r in SHAPES.items()}
-    if nd < 6 and not (hit["email"] or hit["spelled"] or hit["dotted"] or hit["mac"]):
+    if not any(hit.values()) or nd < 6 and not (hit["email"] or hit["spelled"] or hit["dotted"] or hit["mac"]):
         return None
     ok_card = hit["cardlike"] and 13 <= nd <= 19 and luhn(digits(s))
     ok_iban = hit["iban"] and iban_valid(s)
     ok_ip = hit["dotted"] and s.count(".") == 3 and small_parts(s)
     x = [1.0, *hit.values(), ok_card, ok_iban, ok_ip, nd > 15, nd < 9, any(c.isalpha() for c in s)]
-    known = any(hit[k] for k in ("ssn", "national", "plus", "email", "spelled", "iban", "mac", "cardlike"))
+    known = any(hit[k] for k in ("ssn", "national", "plus", "email", "spelled", "iban", "mac", "cardlike", "bare"))
     for k, words in CUES.items():
         has = bool(cue & words)
         x += [has, has and known]
     x += [n_tokens == i + 1 for i in range(MAX_LEN)]
-    return np.array(x, float)
-
-
-def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int, int, np.ndarray]]:
+    return x
+
+
+def tokens_of(text: str, start: int = 0, end: int | None = None) -> Iterator[tuple[int, int]]:
+    for m in TOKEN.finditer(text, start, len(text) if end is None else end):
+        a, b = m.span()
+        if not (w := m[0]).isascii():
+            for e in EDGE.finditer(w):
+                yield a, m.start() + e.start()
+                a = m.start() + e.start()
+        yield a, b
+
+
+def start_before(text: str, at: int) -> int:
+    """Where the BEFORE-th token before the one that holds position ``at`` begins (0 if there are fewer)."""
+    reach = 128
+    while True:
+        lo = max(0, at - reach)
+        before = list(tokens_of(text, lo, at))
+        if lo and before and before[0][0] == lo:
+            del before[0]  # it may be cut
+        if len(before) > BEFORE:
+            return before[-BEFORE - 1][0]
+        if not lo:
+            return 0
+        reach *= 2
+
+
+def windows(text: str) -> Iterator[tuple[list[tuple[int, int]], bool]]:
+    """(tokens, whether the text has more after them) of the stretches round anchors. Between two windows, and in
+    the first and last tokens of one inside the text, no candidate lies."""
+    anchors = [m.start() for m in ANCHOR.finditer(text)]
+    k = 0
+    while k < len(anchors):
+        tokens, left, seen, more = [], AFTER, False, False
+        for t in tokens_of(text, start_before(text, anchors[k])):
+            if left == 0:
+                more = True
+                break
+            tokens.append(t)
+            j = bisect_left(anchors, t[1], k)
+            if j > k:
+                k, left, seen = j, AFTER, True
+            elif seen:
+                left -= 1
+        yield tokens, more
+
+
+def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int, int, list[float]]]:
     """(first token, number of tokens, start, end, features) of the segments that may be personal data."""
     words = [text[a:b] for a, b in tokens]
     low = [w.strip(TRIM + "([{<").lower() for w in words]
     near = [bool(ANCHOR.search(w)) for w in words]
+    # digits up to each token, and the next token that has an anchor
+    upto, nxt = [0], [len(tokens)] * (len(tokens) + 1)
+    for w in words:
+        upto.append(upto[-1] + len(DIGITS.findall(w)))
+    for i in range(len(tokens) - 1, -1, -1):
+        nxt[i] = i if near[i] else nxt[i + 1]
     out = []
-    for i, (start, _) in enumerate(tokens):
+    for i, (start, stop) in enumerate(tokens):
+        if nxt[i] - i >= MAX_LEN:
+            continue
         cue = set(low[max(0, i - 3) : i])
-        while start < tokens[i][1] and text[start] in "\"'<[{=:" or text[start : start + 1] == "(" and not re.match(r"\(\d", text[start:]):
+        while start < stop and text[start] == "[":
             start += 1
+        starts = [start] if text[start] != "(" else [start, start + 1] if text[start + 1 : start + 2].isdigit() else [start + 1]
         for n in range(1, min(MAX_LEN, len(tokens) - i) + 1):
-            if not any(near[i : i + n]) or n > 1 and tokens[i + n - 1][0] - tokens[i + n - 2][1] > 1:
-                if n > 1 and tokens[i + n - 1][0] - tokens[i + n - 2][1] > 1:
-                    break
+            last = tokens[i + n - 1]
+            if n > 1 and text[tokens[i + n - 2][1] : last[0]] not in GLUE:
+                break
+            if nxt[i] >= i + n:
                 continue
-            end = tokens[i + n - 1][1]
-            while end > start and text[end - 1] in TRIM:
+            end = last[1]
+            while end > last[0] and text[end - 1] in TRIM:
                 end -= 1
-            if end <= max(start, tokens[i + n - 1][0]) or end - start > 80:
-                continue
-            x = features(text[start:end], n, cue)
-            if x is not None:
-                out.append((i, n, start, end, x))
+            for a in starts:
+                if end > max(a, last[0]) and (x := features(text[a:end], upto[i + n] - upto[i], n, cue)) is not None:
+                    out.append((i, n, a, end, x))
     return out
 
 
-def decode(n_tokens: int, cands: list, weights: np.ndarray, trans: np.ndarray) -> list[tuple[str, int, int]]:
+def decode(n_tokens: int, cands: list, weights: np.ndarray, trans: np.ndarray, more: bool = False) -> list[tuple[str, int, int]]:
     """The best segmentation by dynamic programming: best[t, y] is the score of the best one of the first t
-    tokens whose last segment has type y."""
-    best, back = np.full((n_tokens + 1, len(TYPES)), -np.inf), {}
+    tokens whose last segment has type y. Before the tokens stands O, and so it does after them if there
+    are ``more``."""
+    ny = len(TYPES)
+    best, source, before = np.full((n_tokens + 1, ny), -np.inf), np.full((n_tokens + 1, ny), -1), np.zeros((n_tokens + 1, ny), int)
     best[0, 0] = 0
-    at: dict[int, list] = {}
-    for c in cands:
-        at.setdefault(c[0] + c[1], []).append(c)
+    at: dict[int, list[int]] = {}
+    for k, c in enumerate(cands):
+        at.setdefault(c[0] + c[1], []).append(k)
+    scores = (np.array([c[4] for c in cands], float) @ weights)[:, 1:] if cands else np.zeros((0, ny - 1))
     for t in range(1, n_tokens + 1):
         into = best[t - 1] + trans[:, 0]
-        p = int(into.argmax())
-        best[t, 0], back[t, 0] = into[p], (t - 1, p, None)
-        for c in at.get(t, ()):
-            into = best[c[0]][:, None] + trans[:, 1:]
+        before[t, 0] = p = into.argmax()
+        best[t, 0] = into[p]
+        for k in at.get(t, ()):
+            into = best[cands[k][0]][:, None] + trans[:, 1:]
             p = into.argmax(0)
-            score = into[p, np.arange(len(TYPES) - 1)] + (c[4] @ weights)[1:]
-            for y in np.flatnonzero(score > best[t, 1:]):
-                best[t, y + 1], back[t, y + 1] = score[y], (c[0], int(p[y]), c)
-    out, t, y = [], n_tokens, int(best[n_tokens].argmax())
+            score = into[p, np.arange(ny - 1)] + scores[k]
+            won = np.flatnonzero(score > best[t, 1:])
+            best[t, won + 1], source[t, won + 1], before[t, won + 1] = score[won], k, p[won]
+    out, t, y = [], n_tokens, int((best[n_tokens] + (trans[:, 0] if more else 0)).argmax())
     while t:
-        before, py, c = back[t, y]
-        if c is not None:
+        k, py = int(source[t, y]), int(before[t, y])
+        if y:
+            c = cands[k]
             out.append((TYPES[y], c[2], c[3]))
-        t, y = before, py
+            t = c[0]
+        else:
+            t -= 1
+        y = py
     return out[::-1]
 
 
-def windows(text: str, gap: int = 120):
-    """Spans of the text round anchors, cut at white space; at least ``gap`` code points apart."""
-    lo = hi = None
-    for m in ANCHOR.finditer(text):
-        if hi is not None and m.start() <= hi + gap:
-            hi = m.end()
-            continue
-        if hi is not None:
-            yield lo, hi
-        lo, hi = m.start(), m.end()
-    if hi is not None:
-        yield lo, hi
-
-
-def field_spans(text: str, model: tuple[np.ndarray, np.ndarray], gap: int = 120) -> list[tuple[str, int, int]]:
+def field_spans(text: str, model: tuple[np.ndarray, np.ndarray]) -> list[tuple[str, int, int]]:
+    """The field's spans, from left to right: stretches of tokens that candidates cover are decoded each by itself."""
     out = []
-    for lo, hi in windows(text, gap):
-        a, b = max(0, lo - gap // 2), min(len(text), hi + gap // 2)
-        while 0 < a < lo and not text[a - 1].isspace():
-            a += 1
-        while hi < b < len(text) and not text[b].isspace():
-            b -= 1
-        tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text, a, b)]
-        cands = candidates(text, tokens)
-        if cands:
-            out += decode(len(tokens), cands, *model)
+    for tokens, more in windows(text):
+        held: list = []
+        upto = 0
+        for c in [*candidates(text, tokens), None]:
+            if held and (c is None or c[0] >= upto + 1):
+                first = held[0][0]
+                out += decode(upto - first, [(i - first, *rest) for i, *rest in held], *model, more or upto < len(tokens))
+                held = []
+            if c is not None:
+                upto = max(upto if held else 0, c[0] + c[1])
+                held.append(c)
     return out
 
 
 def all_spans(text: str, base: list[tuple[str, int, int]], model) -> list[tuple[str, int, int]]:
     """Base spans and those of the field that overlap none of them, by kind, then start."""
-    added = [s for s in field_spans(text, model) if all(s[2] <= b[1] or s[1] >= b[2] for b in base)]
-    return sorted([*base, *added], key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+    found = field_spans(text, model)
+    if found and base:
+        # base spans of different kinds may overlap: what they cover together, as disjoint stretches
+        covered: list[list[int]] = []
+        for _, a, b in sorted(base, key=lambda s: s[1]):
+            if covered and a < covered[-1][1]:
+                covered[-1][1] = max(covered[-1][1], b)
+            else:
+                covered.append([a, b])
+        begins, ends = [c[0] for c in covered], [c[1] for c in covered]
+        found = [s for s in found if (k := bisect_left(begins, s[2])) == 0 or ends[k - 1] <= s[1]]
+    return sorted([*base, *found], key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
 # --- training -------------------------------------------------------------------------------------
@@ -254,8 +326,14 @@ def labelled_sentence(r: random.Random) -> tuple[str, list[tuple[str, int, int]]
         lambda: f"{r.randint(1, 28)}/{r.randint(1, 12)}/20{_num(r, 2)}", lambda: f"{r.randint(10, 23)}:{r.randint(10, 59)}", lambda: f"${_num(r, 3)},{_num(r, 3)}.{_num(r, 2)}",
         lambda: _num(r, r.randint(6, 12)), lambda: f"No. {_num(r, 8)}", lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice([18, 32, 40]))),
         lambda: "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), lambda: f"{_num(r, 4)} {_num(r, 4)}", lambda: f"978-{_num(r, 1)}-{_num(r, 3)}-{_num(r, 5)}-{_num(r, 1)}",
+        lambda: next(d for d in iter(lambda: _num(r, r.randint(13, 19)), None) if not luhn(d)), lambda: "-".join(_num(r, 4) for _ in range(3)) + "-000",
         lambda: f"{r.randint(256, 999)}.{r.randint(256, 999)}.{_num(r, 3)}.{_num(r, 3)}", lambda: f"@{word()}{_num(r, 3)}", lambda: f"token = \"{''.join(r.choice('0123456789abcdef') for _ in range(40))}\"", lambda: f"{_num(r, 5)}-{_num(r, 4)}",
     ]
+    def glued(key: str) -> tuple[str, str]:
+        """What stands on either side of a value in key-value lines, tables, tags and JSON."""
+        k = r.choice([*sorted(CUES.get(key, ())), key, word()])
+        return r.choice([(f"{k}=", ";"), (f"{k}:", ""), (f"{word()},", f",{word()}"), (f"<{k}>", f"</{k}>"), (f'"{k}":"', '"'), (f"({k}) ", ""), (f"|{word()}|", "|"), (f"{k}='", "'"), (f"{word()}/", "")])
+
     text, spans = word(), []
     for _ in range(r.randint(1, 3)):
         text += "".join(" " + word() for _ in range(r.randint(1, 4))) + " "
@@ -264,9 +342,15 @@ def labelled_sentence(r: random.Random) -> tuple[str, list[tuple[str, int, int]]
             if r.random() < 0.4 and kind in CUES:
                 text += r.choice(sorted(CUES[kind])) + r.choice([": ", " "])
             s = make[kind]()
+            a, b = glued(kind) if r.random() < 0.3 else ("", "")
+            text += a
             spans.append((kind, len(text), len(text) + len(s)))
+            s += b
         else:
             s = r.choice(decoys)()
+            if r.random() < 0.3:
+                a, b = glued(r.choice(["id", "ref", "date", "code"]))
+                s = a + s + b
         text += s + r.choice(["", ".", ","])
     return text + " " + word(), spans
 
@@ -314,7 +398,7 @@ def likelihood(batch: list, steps: int, weights: np.ndarray, trans: np.ndarray,
 def prepared(sentences: list) -> tuple[list, np.ndarray]:
     batch, rows = [], []
     for text, spans in sentences:
-        tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
+        tokens = list(tokens_of(text))
         cands, index = [], {}
         for i, n, a, b, f in candidates(text, tokens):
             index[a, b] = (i, n, len(rows))
@@ -331,7 +415,7 @@ def prepared(sentences: list) -> tuple[list, np.ndarray]:
 
 
 @lru_cache(maxsize=4)
-def trained(n_sentences: int = 150, rounds: int = 25, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def trained(n_sentences: int = 250, rounds: int = 25, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(weights, transitions), fitted on ``n_sentences`` generated sentences by RProp-like ascent with an L2 term."""
     r = random.Random(seed)
     batch, x = prepared([labelled_sentence(r) for _ in range(n_sentences)])

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -82,6 +83,66 @@ def every(n, cands, w, t, at, y):
                     yield s + t[y, k] + (c[4] @ w)[k], rest
 
 
+def test_windows_and_stretches_give_the_whole_texts_decoding(monkeypatch):
+    r, g = random.Random(8), np.random.default_rng(8)
+    plain_candidates = pii.candidates
+    # one more feature, by place, so that no two segmentations tie
+    monkeypatch.setattr(pii, "candidates", lambda text, tokens: [(*c[:4], [*c[4], random.Random(f"{c[2]}:{c[3]}").random()]) for c in plain_candidates(text, tokens)])
+    model = g.normal(size=(pii.N_FEATURES + 1, len(pii.TYPES))), g.normal(size=(len(pii.TYPES),) * 2)
+    bits = ["10.0.0.1", "123-45-6789", "a@b.co", "wort", "é12", "(at)", "12:34", "2020/01/02", "555 123 4567", "+1 (314) 555-6532", "aa:bb:cc:11:22:33", "x" * 300, "日本3145556532語", "1", ",", "="]
+    for n in range(150):
+        text = "".join(r.choice(bits) + r.choice(["", " ", " ", ":", ";", "/", " wort" * r.randint(0, 60) + " "]) for _ in range(r.randint(1, 30)))
+        tokens = list(pii.tokens_of(text))
+        assert pii.field_spans(text, model) == pii.decode(len(tokens), pii.candidates(text, tokens), *model), (n, text)
+
+
+@pytest.mark.parametrize("text,kind,value", [
+    ("ssn=123-45-6789; next", "ssn", "123-45-6789"), ("id,314-555-6532,x", "phone", "314-555-6532"), ("<td>123-45-6789</td>", "ssn", "123-45-6789"),
+    ('{"ssn":"123-45-6789","a":1}', "ssn", "123-45-6789"), ("tel:314-555-6532", "phone", "314-555-6532"), ("(123-45-6789)", "ssn", "123-45-6789"),
+    ("|00:1a:2b:3c:4d:5e|", "mac", "00:1a:2b:3c:4d:5e"), ("电话314-555-6532请", "phone", "314-555-6532"), ("iban:DE89370400440532013000,", "iban", "DE89370400440532013000"),
+    ("mail jane (at) " + "long" * 40 + " (dot) com now", "email", "jane (at) " + "long" * 40 + " (dot) com"), ("phone: (314) 555-6532!", "phone", "(314) 555-6532"),
+    ("Konto DE89 3704 0044 0532 0130 00.", "iban", "DE89 3704 0044 0532 0130 00"), ("write to joe[at]mail.org", "email", "joe[at]mail.org"),
+])
+def test_written_examples_are_found(model, text, kind, value):
+    at = text.index(value)
+    assert (kind, at, at + len(value)) in pii.all_spans(text, pii.base_spans(text), model)
+
+
+@pytest.mark.parametrize("text", ["built on 2024-03-17 at 10:35:12", "version 10.2.31, 1,234,567.89 units", "see ISBN 978-3-16-148410-0", "commit 3f786850e387550fdab836ed7e6dc881de23001b", "rows 100 200 300 400 500 600 700", "a ratio of 3:2, or 17/4/12 in 1999"])
+def test_other_numbers_are_left_alone(model, text):
+    assert pii.all_spans(text, [], model) == []
+
+
+def test_long_dense_texts_are_linear(model):
+    one = "call +1 (314) 555-6532 or a.b@c.de, 123-45-6789; x "
+    took = []
+    for n in (500, 4000):
+        text = one * n
+        t = time.process_time()
+        spans = pii.all_spans(text, pii.base_spans(text), model)
+        took.append(time.process_time() - t)
+        assert len(spans) == 3 * n
+    assert took[1] < 20 * took[0]
+    assert pii.field_spans("1" * 1_000_000 + " " + "a" * 500_000 + "@", model) == []
+
+
+def test_overlap_check_equals_all_pairs(monkeypatch):
+    r = random.Random(5)
+    for _ in range(300):
+        base = [("ip", a, a + r.randint(1, 9)) for a in (r.randrange(100) for _ in range(r.randint(0, 8)))]
+        field = [("ssn", a, a + r.randint(1, 6)) for a in (r.randrange(100) for _ in range(8))]
+        monkeypatch.setattr(pii, "field_spans", lambda *_: field)
+        want = [s for s in field if all(s[2] <= b[1] or s[1] >= b[2] for b in base)]
+        assert sorted(pii.all_spans("", base, None)) == sorted([*base, *want])
+
+
+def test_repeated_rows_and_clashing_columns(spark, model):
+    df = spark.createDataFrame([(1, "ip 10.1.2.3", "b", "s")] * 2 + [(None, "", "b", None)], "doc_id long, text string, base string, kind string")
+    rows = pii.personal_data(df, model).collect()
+    assert len(rows) == 3 and rows[0] == rows[1] and rows[2].spans == []
+    assert [r.base for r in pii.redacted(df, model).collect()] == ["b"] * 3
+
+
 def test_query_columns(spark, tmp_path, model):
     texts = {0: "call +1 (314) 555-6532 4663622617512349 x", 1: None, 2: "", 3: "é a.b@c.de, 10.0.0.1.", 4: "nothing here 2024"}
     spark.createDataFrame([(i, t) for i, t in texts.items()] + [(None, "1.2.3.4")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
