@@ -1,10 +1,13 @@
 import hashlib
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arbordf.llm.imatch import LexiconTerms, bands_of, fingerprints, lexicon_of, likeness, part_hashes
+from arbordf.llm import imatch as I
+from arbordf.llm.imatch import bands_of, fingerprints, hashed_words, lexicon_of, likeness, subset_hashes, term_sequences
 
 
 def edited(texts):
@@ -57,10 +60,104 @@ def test_edges(spark):
 
 
 def test_likeness_of_nothing():
-    import numpy as np
+    assert subset_hashes(np.empty(0, np.uint64)) is None and likeness(None, None, False) == 0 and likeness(None, None, True) == 1
 
-    empty = LexiconTerms(np.empty(0, np.uint64))
-    assert part_hashes("a b", empty) is None and likeness(None, None, False) == 0 and likeness(None, None, True) == 1
+
+MASK = 2**64 - 1
+
+
+def plain_mix(z):
+    z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    z = (z ^ z >> 27) * 0x94D049BB133111EB & MASK
+    return z ^ z >> 31
+
+
+def plain_hash(word):
+    h = sum(int(I.BYTE_FACTORS[b]) * int(I.PLACE_FACTORS[i % I.PLACES]) for i, b in enumerate(word))
+    return plain_mix((h + len(word) * 0x9E3779B97F4A7C15) & MASK)
+
+
+def plain_words(text):
+    return re.findall(rb"[0-9A-Za-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))
+
+
+def test_word_hashes_equal_plain_ones():
+    r = random.Random(4)
+    texts = ["", "A bc-d é", "x" * 9000 + " y", "no", "   "] + ["".join(r.choice("aB1 .é\n") for _ in range(r.randint(0, 60))) for _ in range(200)]
+    assert [q.tolist() for q in term_sequences(texts)] == [[plain_hash(w) for w in plain_words(t)] for t in texts]
+    long = b"ab cde " * 400_000 + b"x" * 3_000_000 + b" ab"
+    h = hashed_words(long)
+    assert len(h) == 800_002 and len(np.unique(h)) == 3 and h[-1] == h[0]
+
+
+def plain_subsets(text, lexicon, common):
+    """(all terms' hash, level -> subset -> hash) with every level."""
+    t = sorted({plain_hash(w) for w in plain_words(text)})
+    lex, com = [x for x in t if x in lexicon], [x for x in t if x in common and x not in lexicon]
+    rare = [x for x in t if x not in lexicon and x not in common]
+    keep = set(lex) | (set(rare) if len(rare) > len(lex) else set())
+    keep |= set(com) if 4 * len(keep) < len(com) else set()
+    t = [x for x in t if x in keep]
+    if not t:
+        return None
+    h = lambda ts: int.from_bytes(hashlib.blake2b(b"".join(x.to_bytes(8, "little") for x in ts), digest_size=8).digest(), "big")
+    out = {}
+    for level in range(I.LEVELS):
+        for s, salt in enumerate(I.SALTS.tolist()):
+            if kept := [x for x in t if x * salt % 2**64 < 2 ** (63 - level)]:
+                out[level, s] = h(kept)
+    return h(t), out
+
+
+def test_fingerprints_and_likeness_equal_brute_force(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lexicon, common = (set(x.tolist()) for x in bands_of(df, 0.001, 0.3))
+    got = fingerprints(df, 0.001, 0.3).orderBy("doc_id").collect()
+    plain = lambda ts: [plain_subsets(t, lexicon, common) for t in ts]
+    own, ed = plain(texts), plain(edited(texts))
+
+    def like(a, b):
+        if a is None or b is None:
+            return float(a == b)
+        for level in range(I.LEVELS - 1, -1, -1):
+            some = [(a[1].get((level, s)), b[1].get((level, s))) for s in range(I.SUBSETS)]
+            some = [p for p in some if p != (None, None)]
+            if 2 * len(some) >= I.SUBSETS or level == 0:
+                return sum(x == y for x, y in some) / len(some) if some else 0.0
+
+    for i, r in enumerate(got):
+        want = own[i]
+        if want is None:
+            assert r.fingerprint[0] == "="
+            continue
+        parts = r.fingerprint.split(",")
+        held = {(int(p[:2], 16), int(p[2], 16)): int(p[3:], 16) for p in parts[1:]}
+        least = min((k[0] for k in held), default=0)
+        assert int(parts[0], 16) == want[0] and held == {k: v for k, v in want[1].items() if k[0] >= least}
+        assert sum(k[0] == least for k in held) * 2 >= I.SUBSETS or least == 0
+        if ed[i] is not None and ed[i] != want:
+            assert r.near_edited == pytest.approx(like(want, ed[i]))
+        nxt = own[(i + 1) % len(own)]
+        if nxt is not None and nxt != want:
+            assert r.near_next == pytest.approx(like(want, nxt))
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_one_id_for_most_rows_is_split(spark, parts):
+    texts = [f"text {i} {'word ' * (i % 5)}" for i in range(600)]
+    rows = [(None if i % 2 else i if i % 4 else 7, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    pids = I.with_next(df, lambda batches: batches, "doc_id long, z binary, copy boolean, pid int").where("not copy").groupBy("doc_id").agg(F.countDistinct("pid").alias("n"))
+    assert pids.where("doc_id is null").first().n > 4
+    got = fingerprints(df).collect()
+    order = sorted(rows, key=lambda r: -(2**63) if r[0] is None else r[0])
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+    # every row's next is one that follows it: within an id each text follows another once
+    single = {r[0]: i for i, r in enumerate(order) if [x[0] for x in order].count(r[0]) == 1}
+    for r in got:
+        if (i := single.get(r.doc_id)) is not None and order[(i + 1) % len(order)][0] in single:
+            t, n = order[i][1], order[(i + 1) % len(order)][1]
+            assert r.edited_sha256 == hashlib.sha256((t[: len(t) - len(t) // 4] + n[: len(t) // 4]).encode()).hexdigest()
 
 
 def test_copies_and_small_domains(spark):
@@ -78,8 +175,7 @@ def test_copies_and_small_domains(spark):
         texts.append(" ".join(t))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     lexicon, common = bands_of(df)
-    terms = LexiconTerms(lexicon)
-    assert len([w for w in set(base) if terms[w.encode()]]) > 75 and len(common) < 5
+    assert I.is_in(term_sequences([" ".join(base)])[0], lexicon).sum() > 75 and len(common) < 5
     got = {x.doc_id: x for x in fingerprints(df).collect()}
     copies = [got[i] for i in range(0, 4000, 3)]
     assert not any(x.fingerprint.startswith("=") for x in got.values())
