@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from .errors import AnalysisError
 from .functions import nodes, scalars
-from .operators.currency import BasicConversion, ErpConversion, intervals
+from .operators import currency
+from .operators.currency import BasicConversion, ErpConversion
 from .plans import describe, engine_ddl
 from .plans.annotations import parse as parse_annotation
 from .plans.ddl import Ddl
@@ -40,20 +42,29 @@ class AnalyticsSession:
         self.table_functions: dict[str, Callable[[DataFrame], DataFrame]] = {}
         self.node_columns: dict[tuple[str, str], str] = {}
         self.basic, self.erp = BasicConversion(spark, self.table), ErpConversion(spark)
-        self._n = itertools.count()
+        self._id, self._n = uuid.uuid4().hex[:12], itertools.count()
+        self._views: list[str] = []
+        self.key_names: list[str] = []
         if not getattr(spark, "_arbordf_functions", False):
             nodes.register(spark)
             scalars.register(spark)
+            currency.register(spark)
             spark._arbordf_functions = True
         for provider in filter(None, (p.strip() for p in spark.conf.get(AUTO_REGISTER, "").split(","))):
             self.sql(f"REGISTER ALL TABLES USING {provider} IGNORING CONFLICTS")
 
     def sql(self, text: str) -> DataFrame:
         """Run one statement."""
-        c = Cursor(text)
-        if engine_ddl.is_engine_statement(c):
-            return Ddl(self, text).engine()
-        return Ddl(self, text).run() if Ddl.knows(c) else self._query(text)
+        c, at = Cursor(text), len(self._views)
+        try:
+            if engine_ddl.is_engine_statement(c):
+                return Ddl(self, text).engine()
+            return Ddl(self, text).run() if Ddl.knows(c) else self._query(text)
+        finally:
+            # the result is analysed by now and holds the plans themselves
+            for name in self._views[at:]:
+                self.spark.catalog.dropTempView(name)
+            del self._views[at:]
 
     def script(self, text: str) -> list[DataFrame]:
         return [self.sql(s) for s in statements(text)]
@@ -83,28 +94,16 @@ class AnalyticsSession:
         self.frames[self.registry.fold(name)] = lambda: df
 
     def temp_view(self, df: DataFrame) -> str:
-        name = f"__arbordf_{next(self._n)}"
+        name = f"__arbordf_{self._id}_{next(self._n)}"
         df.createOrReplaceTempView(name)
+        self._views.append(name)
         return name
 
     def raw_sql(self, text: str, provider: str, options: dict[str, str], schema: StructType | None) -> DataFrame:
         return needs(resolve(provider), RawSqlProvider, "raw SQL").execute(self.spark, text, options, schema)
 
     def cc_expression(self, amount: str, source: str, target: str, date: str) -> str:
-        """cc(...) as a scalar sub-query over the rates' validity intervals; usable anywhere."""
-        b = self.basic
-        mode = b.option("error_handling", "set_to_null").lower()
-        spans = self.temp_view(intervals(b.rates()))
-        look = lambda f, t: f"(SELECT max(_rate) FROM {spans} WHERE _f = {f} AND _t = {t} AND _since <= string({date}) AND (_until IS NULL OR string({date}) < _until))"
-        value = f"cast(cast({amount} AS decimal(24,6)) * {look(source, target)} AS decimal(30,15))"
-        if b.option("allow_inverse", "false").lower() == "true":
-            value = f"coalesce({value}, cast(bround(cast({amount} AS decimal(24,6)) / {look(target, source)}, 6) AS decimal(30,15)))"
-        given = f"({amount}) IS NOT NULL AND ({source}) IS NOT NULL AND ({target}) IS NOT NULL AND ({date}) IS NOT NULL"
-        if mode == "keep_unconverted":
-            value = f"coalesce({value}, cast({amount} AS decimal(30,15)))"
-        elif mode == "fail_on_error":
-            value = f"coalesce({value}, cast(raise_error('no rate') AS decimal(30,15)))"
-        return f"CASE WHEN {given} THEN {value} END"
+        return self.basic.sql(amount, source, target, date, self.temp_view)
 
     def describe_query(self, query: Query, if_exists: bool) -> DataFrame:
         """Rows of describe_table(query); for the IF_EXISTS form none if the query can't be analysed."""
