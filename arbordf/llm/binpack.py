@@ -7,7 +7,8 @@ fill it. At the end every bin is downsized to the shortest permitted length for
 than the longest length are cut without loss.
 
 Documents are dealt to blocks of bounded size by a hash, and each block is packed by itself, so that the
-work is spread and no list of all documents exists anywhere.
+work is spread and no list of all documents exists anywhere. Rows alike (one id, or none, for very many
+documents of one length) are counted first and dealt by the thousand.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ LENGTHS = (512, 1024, 2048, 4096, 8192)
 #: Tokens that opening a sequence costs besides its length.
 OVERHEAD = 64
 BLOCK_ROWS = 100_000
+#: Rows alike in id and count that travel as one row.
+COPIES = 1000
 
 
 class Rooms:
@@ -112,14 +115,14 @@ def packed(docs: DataFrame, tokens: str = "n_tokens", lengths: tuple[int, ...] =
     (permitted length of the bin), offset of the piece in the bin.
 
     A document without tokens (or with a null or negative count) has one row of length 0 and no bin. Null
-    and repeated doc_ids are packed like others. A block over twice ``block_rows`` rows (one id repeated
-    very often) is packed in parts. An empty table gives no rows."""
+    and repeated doc_ids are packed like others. A block over twice ``block_rows`` rows is packed in parts.
+    An empty table gives no rows."""
     longest = max(lengths)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0)).alias("n"))
     blocks = max(1, -(-docs.select("doc_id").count() // block_rows))
-    parts = max(blocks, n_partitions(docs.sparkSession)) if blocks > 1 else 1
-    rows = docs.withColumn("block", F.expr(f"int(pmod(xxhash64(doc_id), {blocks}))"))
-    rows = rows.repartition(parts, "block").sortWithinPartitions("block", "doc_id", "n")
+    alike = docs.groupBy("doc_id", "n").agg(F.count("*").alias("c")).withColumn("part", F.explode(F.expr(f"sequence(0L, (c - 1) div {COPIES})")))
+    rows = alike.select("doc_id", "n", "part", F.expr(f"int(least({COPIES}L, c - part * {COPIES}))").alias("copies"), F.expr(f"int(pmod(xxhash64(doc_id, n, part), {blocks}))").alias("block"))
+    rows = rows.repartitionById(min(blocks, 4 * n_partitions(docs.sparkSession)), "block").sortWithinPartitions("block", "doc_id", "n", "part")
 
     def done(block: int, first: int, held: list[tuple[int | None, int]]):
         pieces = sorted(((size, -i, j, start) for i, (_, n) in enumerate(held) for j, (start, size) in enumerate(cut(n, longest))), key=lambda p: (-p[0], -p[1], p[2]))
@@ -135,15 +138,15 @@ def packed(docs: DataFrame, tokens: str = "n_tokens", lengths: tuple[int, ...] =
     def run(batches):
         at, first, held = None, 0, []
         for batch in batches:
-            for doc_id, n, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, n, copies, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and (block != at or len(held) >= 2 * block_rows):
                     out, first = done(at, first, held)
                     yield out
                     held = []
                 if block != at:
                     at, first = block, 0
-                held.append((doc_id, n))
+                held += [(doc_id, n)] * copies
         if held:
             yield done(at, first, held)[0]
 
-    return rows.select("doc_id", "n", "block").mapInArrow(run, "doc_id long, piece int, start long, length long, bin_id long, bin_length int, offset int")
+    return rows.select("doc_id", "n", "copies", "block").mapInArrow(run, "doc_id long, piece int, start long, length long, bin_id long, bin_length int, offset int")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,10 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(8 << 20))
 
 
+#: Workspaces opened inside scratch(), innermost last.
+_SCRATCH: list[list[Workspace]] = []
+
+
 class Workspace:
     """Tables written to the shared folder, so that lineage is cut and a lost executor costs nothing
     but the tasks it ran. ``drop`` removes those that no returned plan reads any more."""
@@ -42,6 +48,8 @@ class Workspace:
         small_batches(spark)
         self.spark, self.path = spark, f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        if _SCRATCH:
+            _SCRATCH[-1].append(self)
 
     def folder(self, name: str) -> str:
         self._n += 1
@@ -63,6 +71,22 @@ class Workspace:
         remove(self.spark, self.path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """All tables of workspaces opened inside go at the end: results must have been written by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for ws in _SCRATCH.pop():
+            ws.drop_all()
+
+
+def opened(folder: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system for a shared folder or file, and the path in it."""
+    return pafs.FileSystem.from_uri(folder)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

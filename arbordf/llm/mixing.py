@@ -6,8 +6,10 @@ gives what it has, and its shortage goes to its siblings by weight. Since a node
 leaves', only what a whole family can't supply passes to the family's own siblings, one level up.
 
 Each leaf then supplies whole seeded epochs and, of its last epoch, the longest prefix in that epoch's
-seeded order whose tokens fit. All arithmetic is in integers. Only sums per leaf and per slice of hash
-order are shuffled; rows are ordered only inside the one slice of each leaf where its prefix ends.
+seeded order whose tokens fit. All arithmetic is in integers. The end of a prefix is closed in on by slices of
+hash order: sums per leaf and slice show the slice where it ends, which is sliced again until it holds at most
+EDGE_ROWS rows, however large the leaf. Only sums are shuffled, and the rows of those last slices, which
+are ordered. Siblings in the tree are ordered in one task per family, a row of a few numbers for each source.
 """
 
 from __future__ import annotations
@@ -21,8 +23,12 @@ from pyspark.sql.window import Window
 from .common import Workspace, n_words
 
 LEVELS = ("domain", "lang", "source")
-#: Hexadecimal digits of the order hash that name a slice.
-SLICE = 3
+#: Hexadecimal digits of the order hash that a round of slicing adds.
+SLICE = 2
+#: Rows that are ordered in one task at most, but for rows alike in id, tokens and text.
+EDGE_ROWS = 10_000
+#: Digits of the order hash: 32 by seed, epoch and id, then the token count, then a hash of the text.
+DIGITS = 64
 
 
 def weight_of(weights: Mapping[str, int], c: str) -> Column:
@@ -63,36 +69,50 @@ def budgets(leaves: DataFrame, weights: Mapping[str, Mapping[str, int]], total:
     return out.select(*LEVELS, "tokens", F.col("part").alias("target"))
 
 
-def mixed(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, int]], share: tuple[int, int] = (6, 10), max_epochs: int = 2, seed: int = 1, tokens: Column | None = None, small: int = 100_000) -> DataFrame:
+def mixed(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, int]], share: tuple[int, int] = (6, 10), max_epochs: int = 2, seed: int = 1, tokens: Column | None = None, small: int = 100_000, edge_rows: int = EDGE_ROWS, own_only: bool = False) -> DataFrame:
     """Select rows of ``docs`` (doc_id, text, lang, source and any others) for a budget of share[0] / share[1]
     of all tokens. Adds mix_domain, n_tokens and epoch (from 0); a row that several epochs have comes out
     once for each. ``tokens`` is a row's token count (default: words).
 
     Null domains, languages and sources are nodes named "". Rows without tokens cost nothing and come
-    with every epoch that reaches them. Rows that repeat a doc_id are taken as separate rows. Of columns named mix_*,
-    n_tokens and epoch in ``docs`` the new ones win. An empty table gives no rows."""
+    with every epoch that reaches them. Rows that repeat a doc_id are taken as separate rows. Of columns named mix_domain,
+    n_tokens and epoch in ``docs`` the new ones win; with ``own_only`` the columns of ``docs`` come out and no
+    others. An empty table gives no rows."""
     ws = Workspace(docs.sparkSession, "mixing")
-    own = [c for c in docs.columns if not c.startswith("mix_") and c not in ("n_tokens", "epoch")]
-    rows = docs.select(*own, F.coalesce(domain.cast("string"), F.lit("")).alias("mix_domain"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("mix_lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("mix_source"), (n_words() if tokens is None else tokens).cast("long").alias("n_tokens"))
+    text_of = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    # the row itself travels as one column, so that no name of it clashes
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row"), F.col("doc_id").alias("mix_id"), text_of(domain).alias("mix_domain"), text_of(F.col("lang")).alias("mix_lang"), text_of(F.col("source")).alias("mix_source"), (n_words() if tokens is None else tokens).cast("long").alias("n_tokens"), F.xxhash64(F.col("text").cast("string")).alias("mix_tie"))
     keys = [f"mix_{k}" for k in LEVELS]
-    thin = ws.written(rows.select("doc_id", *keys, "n_tokens"), "thin")
+    thin = ws.written(rows.select("mix_id", *keys, "n_tokens", "mix_tie"), "thin")
     leaves = ws.written(thin.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")).toDF(*LEVELS, "tokens"), "leaves")
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     goals = budgets(leaves, weights, total * share[0] // share[1], max_epochs).where("tokens > 0").withColumn("whole", F.expr("target div tokens")).withColumn("rest", F.expr("target % tokens"))
-    goals = ws.written(goals.toDF(*keys, "tokens", "target", "whole", "rest").drop("tokens", "target"), "goals")
+    goals = goals.toDF(*keys, "tokens", "target", "whole", "rest").select(*keys, "whole", "rest", F.lit("").alias("mix_cut"), F.lit(0).cast("long").alias("mix_before"))
+    goals = ws.written(goals, "goals")
     few = goals.count() <= small
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    at = lambda df, goals: df.join(F.broadcast(goals) if few else goals, keys).withColumn("mix_hash", order).withColumn("mix_slice", F.substring("mix_hash", 1, SLICE))
-    slices = at(thin, goals).groupBy(*keys, "rest", "mix_slice").agg(F.sum("n_tokens").alias("n"))
-    run = Window.partitionBy(*keys).orderBy("mix_slice").rowsBetween(Window.unboundedPreceding, 0)
-    cut = slices.withColumn("upto", F.sum("n").over(run)).where("upto > rest").groupBy(*keys).agg(F.min(F.struct("mix_slice", (F.col("upto") - F.col("n")).alias("before"))).alias("c"))
-    goals = ws.written(goals.join(cut, keys, "left").select(*keys, "whole", "rest", F.col("c.mix_slice").alias("mix_cut"), F.col("c.before").alias("mix_before")), "cuts")
+    by_id = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), text_of(F.col("mix_id"))))
+    order = F.concat(by_id, *[F.lower(F.lpad(F.hex(c), 16, "0")) for c in ("n_tokens", "mix_tie")])
+    at = lambda df, goals: df.join(F.broadcast(goals) if few else goals, keys).withColumn("mix_hash", order).withColumn("mix_head", F.expr("left(mix_hash, length(mix_cut))"))
+
+    narrow = goals  # those whose slice is still to be cut
+    for digits in range(SLICE, DIGITS + 1, SLICE):
+        slices = at(thin, narrow).where("mix_head = mix_cut").groupBy(*keys, "whole", "rest", "mix_before", F.substring("mix_hash", 1, digits).alias("mix_slice")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows"))
+        run = Window.partitionBy(*keys).orderBy("mix_slice").rowsBetween(Window.unboundedPreceding, 0)
+        cut = slices.withColumn("upto", F.sum("n").over(run) + F.col("mix_before")).where("upto > rest").groupBy(*keys, "whole", "rest").agg(F.min(F.struct("mix_slice", (F.col("upto") - F.col("n")).alias("before"), "rows")).alias("c"))
+        cut = ws.written(cut.select(*keys, "whole", "rest", F.col("c.mix_slice").alias("mix_cut"), F.col("c.before").alias("mix_before"), "c.rows"), "cuts")
+        goals = goals.join(F.broadcast(cut.select(*keys)) if few else cut.select(*keys), keys, "left_anti").unionByName(cut.drop("rows"))
+        narrow = cut.where(F.col("rows") > edge_rows).drop("rows")
+        if narrow.isEmpty():
+            break
+    goals = ws.written(goals, "cut")
     ws.drop(thin)
 
     full = at(rows, goals)
-    sure = full.where("mix_cut is null or mix_slice <> mix_cut").withColumn("copies", F.col("whole") + F.when(F.col("mix_slice") < F.col("mix_cut"), 1).otherwise(0))
-    inside = Window.partitionBy(*keys).orderBy("mix_hash", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    edge = full.where("mix_slice = mix_cut").withColumn("upto", F.sum("n_tokens").over(inside) + F.col("mix_before"))
+    sure = full.where("mix_head <> mix_cut").withColumn("copies", F.col("whole") + F.when(F.col("mix_head") < F.col("mix_cut"), 1).otherwise(0))
+    inside = Window.partitionBy(*keys).orderBy("mix_hash", "mix_id").rowsBetween(Window.unboundedPreceding, 0)
+    edge = full.where("mix_head = mix_cut").withColumn("upto", F.sum("n_tokens").over(inside) + F.col("mix_before"))
     edge = edge.withColumn("copies", F.col("whole") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0)).drop("upto")
     out = sure.unionByName(edge).where("copies > 0")
-    return out.select(*own, "mix_domain", "n_tokens", F.explode(F.expr("sequence(0, int(copies) - 1)")).alias("epoch"))
+    out = out.withColumn("mix_epoch", F.explode(F.expr("sequence(0, int(copies) - 1)")))
+    own = [F.col("mix_row").getField(c).alias(c) for c in docs.columns if own_only or c not in ("mix_domain", "n_tokens", "epoch")]
+    return out.select(*own) if own_only else out.select(*own, "mix_domain", "n_tokens", F.col("mix_epoch").alias("epoch"))

@@ -2,10 +2,13 @@
 
 A logistic model on cheap text statistics, fitted on a bounded sample of labelled documents, gives each
 document's evidence: its log-odds of good quality less those of the training sample. Sites get posteriors
-on two levels, host (``source``) and path (``source``, ``lang``): the expected number of good documents is
-shrunk towards the host's rate, which itself is shrunk towards the global rate, with strengths taken from
-the spread between sites (method of moments). Sparse sites thus fall back on their host, and sparse
-hosts on all. A document's posterior log-odds are its evidence plus its path's log-odds.
+on two levels, host (``source``) and path (``source``, ``lang``: documents have no URL, and the language stands
+for the path): the expected number of good documents is shrunk towards the host's rate, which itself is
+shrunk towards the global rate, with strengths taken from the spread between sites (method of moments). Sparse
+sites thus fall back on their host, and sparse hosts on all. A document's posterior log-odds are its evidence
+plus the log-odds of its path's rate, taken without the document itself, so that its evidence counts once.
+
+Texts pass through Python once: what they yield is written beside the columns asked for.
 """
 
 from __future__ import annotations
@@ -135,38 +138,55 @@ def strength(groups: DataFrame, rate: Column, mean: Column) -> float:
     return float(min(10_000.0, max(1.0, within / between - 1))) if between > 0 else 10_000.0
 
 
-def sites(docs: DataFrame, model: Model, ws: Workspace) -> DataFrame:
-    """(host, path, site_logit, site_rate): shrunken rates of good documents, a row for each path that
-    occurs. Expected counts are summed map-side first, so a host with very many documents costs no more."""
-    prior = model.prior
-    rows = with_evidence(docs.select(name("source").alias("host"), name("lang").alias("path"), F.col("text").cast("string").alias("text")), model)
-    good = 1 / (1 + F.exp(-(F.col("evidence") + F.lit(prior))))
-    paths = ws.written(rows.select("host", "path", good.alias("p")).groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("good")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
+@dataclass
+class Sites:
+    """A row for each path that occurs, (host, path, __n, __good, __host_n, __host_good: documents and expected
+    good ones), with the mean over all and the strengths of both levels."""
+
+    table: DataFrame
+    mean: float
+    host_strength: float
+    path_strength: float
+
+    def rate(self, own: Column | float = 0.0, one: int = 0) -> Column:
+        """A path's shrunken rate of good documents; with ``one`` = 1 without a document of probability ``own``."""
+        k, k2 = self.host_strength, self.path_strength
+        host = (F.col("__host_good") - own + k * self.mean) / (F.col("__host_n") - one + k)
+        return F.least(F.greatest((F.col("__good") - own + k2 * host) / (F.col("__n") - one + k2), F.lit(1e-6)), F.lit(1 - 1e-6))
+
+
+def sites(rows: DataFrame, ws: Workspace) -> Sites:
+    """rows: (host, path, p), p a document's probability by its text alone. Expected counts are summed map-side
+    first, so a host with very many documents costs no more."""
+    paths = ws.written(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("good")), "paths")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
+    total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_good").alias("good")).first()
     mean = total.good / total.n if total.n else 0.5
-    k = strength(hosts, F.col("good") / F.col("n"), F.lit(mean))
-    hosts = hosts.select("host", ((F.col("good") + k * mean) / (F.col("n") + k)).alias("host_rate"))
-    paths = ws.written(paths.join(hosts, "host"), "sites")
-    k2 = strength(paths, F.col("good") / F.col("n"), F.col("host_rate"))
-    rate = F.least(F.greatest((F.col("good") + k2 * F.col("host_rate")) / (F.col("n") + k2), F.lit(1e-6)), F.lit(1 - 1e-6))
-    return ws.written(paths.select("host", "path", "n", rate.alias("site_rate")).withColumn("site_logit", F.log(F.col("site_rate") / (1 - F.col("site_rate")))), "rates")
+    k = strength(hosts.toDF("host", "n", "good"), F.col("good") / F.col("n"), F.lit(mean))
+    table = ws.written(paths.join(hosts, "host").select("host", "path", "n", "good", "host_n", "host_good"), "sites")
+    host_rate = (F.col("host_good") + k * mean) / (F.col("host_n") + k)
+    path_strength = strength(table, F.col("good") / F.col("n"), host_rate)
+    return Sites(table.toDF("host", "path", "__n", "__good", "__host_n", "__host_good"), mean, k, path_strength)
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int = 20_000, small: int = 100_000) -> DataFrame:
-    """``docs`` (doc_id, text, source, lang and any others) plus host, path, site_rate, site_logit, evidence
-    and posterior (columns of these names in ``docs`` are replaced). Site rates are broadcast when a count
-    shows at most ``small`` sites (10 MB), else joined by a shuffle.
+def scored(docs: DataFrame, labels: DataFrame, sample: int = 20_000, small: int = 100_000, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (doc_id, text, source, lang and any others), or its columns ``keep``, plus host, path, site_rate,
+    site_logit, evidence and posterior (columns of these names in ``docs`` are replaced). The table is
+    written once with its evidence. Sites are broadcast when a count shows at most ``small`` of them (10 MB),
+    else joined by a shuffle.
 
     Null or empty texts have statistics of 0; null sources and languages are a site of their own; a
     repeated row is scored like its twin; an empty table stays empty."""
     ws = Workspace(docs.sparkSession, "quality")
     model = train(docs, labels, sample)
-    rates = sites(docs, model, ws).drop("n")
-    rows = docs.drop(*EXTRA).withColumn("host", name("source")).withColumn("path", name("lang"))
-    rows = rows.join(F.broadcast(rates) if rates.count() <= small else rates, ["host", "path"])
-    rows = with_evidence(rows, model)
-    return rows.withColumn("posterior", 1 / (1 + F.exp(-(F.col("evidence") + F.col("site_logit")))))
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in EXTRA]
+    rows = docs.withColumns({"host": name("source"), "path": name("lang"), "text": F.col("text").cast("string")})
+    rows = ws.written(with_evidence(rows.select(*dict.fromkeys([*keep, "host", "path", "text"])), model).select(*keep, "host", "path", "evidence"), "evidence")
+    own = 1 / (1 + F.exp(-(F.col("evidence") + F.lit(model.prior))))
+    found = sites(rows.select("host", "path", own.alias("p")), ws)
+    rows = rows.join(F.broadcast(found.table) if found.table.count() <= small else found.table, ["host", "path"])
+    rows = rows.withColumn("site_rate", found.rate(own, 1)).withColumn("site_logit", F.log(F.col("site_rate") / (1 - F.col("site_rate"))))
+    return rows.select(*keep, *EXTRA[:-1], (1 / (1 + F.exp(-(F.col("evidence") + F.col("site_logit"))))).alias("posterior"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 20_000) -> DataFrame:

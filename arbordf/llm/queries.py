@@ -15,7 +15,7 @@ from .mixing import mixed
 from .pii import BASE, personal_data
 from .quality import scored
 from .secrets import labelled_findings, secrets
-from .token_packing import token_rows
+from .token_packing import round_trip as token_files_and_back
 from .warc import round_trip
 
 
@@ -24,7 +24,7 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rows = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id", "source", "lang"])
     return rows.select("doc_id", "source", "lang", "evidence", "site_rate", "posterior", (F.col("posterior") >= 0.5).alias("kept"))
 
 
@@ -41,7 +41,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_rows(table(spark, sf_dir, "documents"))
+    return token_files_and_back(table(spark, sf_dir, "documents"))
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,13 +5,19 @@ are cut without loss. Within a block of documents the pieces are placed by falli
 with the least room that holds it (found by a search in a segment tree over room sizes). A row comes
 with its cumulative segment lengths and the offsets where positions start again from 0.
 
-Blocks are formed by a hash of the document id and closed at a fixed number of tokens, so a task holds one
-block at a time however large the table is, and the same documents give the same rows.
+Blocks are formed by a hash of document id and text and closed at a fixed number of tokens, so a task holds one
+block at a time however large the table is, an id (or none) that very many documents share is no hot key,
+and the same documents give the same rows.
+
+Rows are written as binary files: id matrices, cumulative segment lengths, positions with their resets, and
+the documents behind the segments. Reading them gives the rows back.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .binpack import cut, pack
-from .common import n_partitions, small_batches
+from .common import Workspace, n_partitions, opened, small_batches
 
 #: Where the public vocabularies lie on this box; a parameter everywhere.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -83,12 +89,10 @@ def token_rows(docs: DataFrame, vocabulary: str = VOCABULARY, row: int = ROW, en
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(chars) // block_chars))
-    parts = max(blocks, n_partitions(docs.sparkSession)) if blocks > 1 else 1
-    rows = docs.withColumn("block", F.expr(f"int(pmod(xxhash64(doc_id), {blocks}))"))
-    rows = rows.repartition(parts, "block").sortWithinPartitions("block", "doc_id", "text")
+    rows = docs.withColumn("block", F.expr(f"int(pmod(xxhash64(doc_id, text), {blocks}))"))
+    rows = rows.repartitionById(min(blocks, 4 * n_partitions(docs.sparkSession)), "block").sortWithinPartitions("block", "doc_id", "text")
     width = 2 if end_id < 65536 and data.count(b"\n") <= 65536 else 4
     kind = np.dtype("<u2" if width == 2 else "<u4")
-    schema = pa.schema([("row_id", pa.int64()), ("ids", pa.binary()), ("id_bytes", pa.int32()), ("n_tokens", pa.int32()), ("cu_seqlens", pa.list_(pa.int32())), ("resets", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
 
     def run(batches):
         enc = encoder(data, pattern)
@@ -99,7 +103,7 @@ def token_rows(docs: DataFrame, vocabulary: str = VOCABULARY, row: int = ROW, en
             for lo in range(0, len(packed), 500):
                 part = packed[lo : lo + 500]
                 cols = [[(at << 32) + first + lo + i for i in range(len(part))], [p[0].astype(kind).tobytes() for p in part], [width] * len(part), [p[1] for p in part], [p[2] for p in part], [p[2][:-1] for p in part], [p[3] for p in part], [p[4] for p in part]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SCHEMA, strict=True)], schema=SCHEMA)
             return len(packed)
 
         for batch in batches:
@@ -116,33 +120,89 @@ def token_rows(docs: DataFrame, vocabulary: str = VOCABULARY, row: int = ROW, en
         if held:
             yield from done()
 
-    return rows.select("doc_id", "text", "block").mapInArrow(run, "row_id long, ids binary, id_bytes int, n_tokens int, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, starts array<long>")
+    return rows.select("doc_id", "text", "block").mapInArrow(run, ROWS)
+
 
+#: Columns of packed rows.
+SCHEMA = pa.schema([("row_id", pa.int64()), ("ids", pa.binary()), ("id_bytes", pa.int32()), ("n_tokens", pa.int32()), ("cu_seqlens", pa.list_(pa.int32())), ("resets", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
+ROWS = "row_id long, ids binary, id_bytes int, n_tokens int, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, starts array<long>"
+#: Files by ending: the id matrix, row after row; the matrix of positions, of the same shape (2 bytes each where
+#: a row's length allows, else 4); for each row its number of segments and the cumulative lengths from 0
+#: (int32); for each row its id, then for each segment whether it has a document id, that id, and where it starts in
+#: the document (int64).
+FILES = ("ids", "pos", "cu", "doc")
+FILE_ROWS = 65_536
 
-def write_token_files(rows: DataFrame, folder: str) -> DataFrame:
-    """Write packed rows as binary files below ``folder``, in a file system all executors reach: for each task
-    ``<name>.ids`` (the id matrix, row after row), ``<name>.cu`` (int32: for each row its number of
-    segments, then cumulative lengths) and ``<name>.pos`` (int32 position ids, a matrix of the same
-    shape). Returns (path, rows); only files named there count."""
-    import uuid
 
-    from pyarrow import fs as pafs
+def write_token_files(rows: DataFrame, folder: str, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Write packed rows as binary files (see FILES) below ``folder``, which all executors reach. Returns (path
+    without ending, rows, row, id_bytes, pos_bytes). A task names its files afresh at every attempt; only files
+    named there count, so a repeated task leaves at most unread ones."""
 
     def run(batches):
-        fs, base = pafs.FileSystem.from_uri(folder)
-        name, files, n = uuid.uuid4().hex, None, 0
+        fs, base = opened(folder)
+        files = name = None
+        n = shape = 0
+
+        def close():
+            files.close()
+            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "rows": [n], **dict(zip(("row", "id_bytes", "pos_bytes"), ([v] for v in shape), strict=True))}, SUMMARY)
+
         for batch in batches:
-            if files is None and len(batch):
-                fs.create_dir(base, recursive=True)
-                files = [fs.open_output_stream(f"{base}/{name}.{e}", compression=None) for e in ("ids", "cu", "pos")]
-            for ids, width, cu in zip(batch.column("ids").to_pylist(), batch.column("id_bytes").to_pylist(), batch.column("cu_seqlens").to_pylist(), strict=True):
-                files[0].write(ids)
-                files[1].write(np.array([len(cu) - 1, *cu], "<i4").tobytes())
-                files[2].write(position_ids(cu, len(ids) // width).astype("<i4").tobytes())
+            for row_id, ids, width, cu, docs, starts in zip(*(batch.column(c).to_pylist() for c in ("row_id", "ids", "id_bytes", "cu_seqlens", "doc_ids", "starts")), strict=True):
+                row = len(ids) // width
+                if files is None:
+                    fs.create_dir(base, recursive=True)
+                    name, n, shape, files = uuid.uuid4().hex, 0, (row, width, 2 if row <= 65_536 else 4), ExitStack()
+                    out = {e: files.enter_context(fs.open_output_stream(f"{base}/{name}.{e}", compression=None)) for e in FILES}
+                out["ids"].write(ids)
+                out["pos"].write(position_ids(cu, row).astype(f"<u{shape[2]}").tobytes())
+                out["cu"].write(np.array([len(cu) - 1, *cu], "<i4").tobytes())
+                out["doc"].write(np.array([row_id, *(x for d, s in zip(docs, starts, strict=True) for x in (d is not None, d or 0, s))], "<i8").tobytes())
                 n += 1
-        if files:
-            for f in files:
-                f.close()
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64())], names=["path", "rows"])
+                if n == file_rows:
+                    yield close()
+                    files = None
+        if files is not None:
+            yield close()
+
+    return rows.select("row_id", "ids", "id_bytes", "cu_seqlens", "doc_ids", "starts").mapInArrow(run, "path string, rows long, row int, id_bytes int, pos_bytes int")
+
 
-    return rows.select("ids", "id_bytes", "cu_seqlens").mapInArrow(run, "path string, rows long")
+SUMMARY = pa.schema([("path", pa.string()), ("rows", pa.int64()), ("row", pa.int32()), ("id_bytes", pa.int32()), ("pos_bytes", pa.int32())])
+
+
+def read_token_files(files: DataFrame, batch_rows: int = 256) -> DataFrame:
+    """The packed rows of the files that ``files`` names, read back; resets and n_tokens come from the positions and
+    cumulative lengths in the files, which must agree, or reading raises."""
+
+    def run(batches):
+        for batch in batches:
+            for path, n, row, width, pos_width in zip(*(batch.column(c).to_pylist() for c in SUMMARY.names), strict=True):
+                fs, base = opened(path)
+                with ExitStack() as stack:
+                    ids, pos, cus, docs = (stack.enter_context(fs.open_input_stream(f"{base}.{e}", compression=None, buffer_size=1 << 20)) for e in FILES)
+                    for at in range(0, n, batch_rows):
+                        cols = [[] for _ in SCHEMA]
+                        for _ in range(min(batch_rows, n - at)):
+                            k = int.from_bytes(cus.read(4), "little")
+                            cu = np.frombuffer(cus.read(4 * (k + 1)), "<i4")
+                            doc = np.frombuffer(docs.read(8 * (1 + 3 * k)), "<i8")
+                            resets = np.flatnonzero(np.frombuffer(pos.read(row * pos_width), f"<u{pos_width}")[: cu[-1]] == 0)
+                            if not np.array_equal(resets, cu[:-1]):
+                                raise ValueError(f"positions and segment lengths of row {doc[0]} in {path} differ")
+                            seg = doc[1:].reshape(k, 3)
+                            values = (doc[0], ids.read(row * width), width, cu[-1], cu, resets, [d if has else None for has, d, _ in seg.tolist()], seg[:, 2])
+                            for c, v in zip(cols, values, strict=True):
+                                c.append(v)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SCHEMA, strict=True)], schema=SCHEMA)
+
+    spread = files.repartition(n_partitions(files.sparkSession), "path")
+    return spread.select(*SUMMARY.names).mapInArrow(run, ROWS)
+
+
+def round_trip(docs: DataFrame, folder: str | None = None, **how) -> DataFrame:
+    """Pack ``docs`` (see token_rows, which takes ``how``), write the binary files and read them back: the rows."""
+    ws = Workspace(docs.sparkSession, "tokens")
+    files = ws.written(write_token_files(token_rows(docs, **how), folder or ws.folder("files")), "files")
+    return read_token_files(files)

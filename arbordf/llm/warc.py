@@ -19,11 +19,10 @@ from hashlib import sha256
 from itertools import chain
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, n_partitions, remove
+from .common import Workspace, n_partitions, opened, remove
 
 CRLF = b"\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -108,10 +107,6 @@ class Inflater:
             yield part
 
 
-def opened(uri: str):
-    return pafs.FileSystem.from_uri(uri)
-
-
 def normalise(source: str, target: str, level: int = 1) -> Iterator[tuple]:
     """Rewrite the archive ``source`` to ``target`` with a member for each record, and its index to
     ``target`` + ".idx" (a JSON line a record). Yields the index rows."""

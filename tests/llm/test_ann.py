@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from arbordf.llm.ann import build_graph, nearest, on_sphere, robust_prune
+from arbordf.llm.ann import BEAM, FEW, MOST, beam_search, build_graph, directions, n_shards, nearest, on_sphere, robust_prune, widened
 
 SCHEMA = "vec_id long, embedding array<float>, label int, shard int"
 
@@ -16,7 +16,7 @@ def test_recall_and_scores(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(3000, 16)).astype(np.float32) * r.uniform(0.5, 2, size=(3000, 1)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist(), 0, 1) for i, v in enumerate(x)], SCHEMA)
-    rows = nearest(df, every=20, k=20, shard_rows=700).collect()
+    rows = nearest(df, every=20, k=20, shards=5).collect()
     by = {}
     for row in sorted(rows, key=lambda r: (r.query_id, r.rank)):
         by.setdefault(row.query_id, []).append(row)
@@ -66,3 +66,34 @@ def test_graph_reaches_all(n):
 def test_pruning_keeps_diverse_edges():
     p = np.array([[0, 0], [1, 0], [1.05, 0], [0, 1.5]], np.float32)
     assert robust_prune(p, np.array([0]), np.array([[1, 2, 3, 3, -1]]), 3, 1.2).tolist() == [[1, 3, 4]]
+
+
+@pytest.mark.parametrize("n", [12_000])
+def test_recall_of_one_large_shard(n):
+    """Vectors without structure and of different norms, all in one shard."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(n, 32)).astype(np.float32)
+    sphere = on_sphere(x)
+    graph, start = build_graph(sphere)
+    q = x[::100]
+    found, _ = beam_search(sphere, graph, start, directions(q), widened(BEAM, n))
+    want = np.argsort(-(q.astype(float) @ x.T.astype(float)), axis=1)[:, :20]
+    assert np.mean([len(set(a[:24]) & set(b)) / 20 for a, b in zip(found.tolist(), want.tolist())]) >= 0.9
+
+
+def test_the_number_of_shards_is_bounded_by_memory_alone():
+    assert n_shards(500, 1000) == 1 and n_shards(10_000, 1000) == FEW == n_shards(60_000, 1000) and n_shards(10**7, 100) == MOST
+    assert n_shards(10**9, 1000) == -(-(10**12) // (512 << 20))
+
+
+def test_double_vectors_keep_their_precision(spark):
+    rows = [(0, [1.0, 1e-60]), (1, [0.1, 0.2]), (2, [1e-300, 0.0]), (3, [1.0 + 2**-40, 0.0]), (4, [1.0, 0.0]), (5, [0.0, 0.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(3, 1.0 + 2**-40), (4, 1.0), (1, 0.1 + 0.2e-60), (2, 1e-300)]
+
+
+def test_one_id_for_many_rows(spark):
+    r = np.random.default_rng(3)
+    rows = [(0, v.tolist()) for v in r.normal(size=(700, 4)).astype(np.float32)] + [(i, v.tolist()) for i, v in enumerate(r.normal(size=(30, 4)).astype(np.float32), 1)]
+    out = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=20)
+    assert out.where("query_id = 0").count() == 700 * 20 and not out.where("query_id = 0 and vec_id = 0").isEmpty() and out.where("query_id = 20").count() == 20

@@ -61,3 +61,15 @@ def test_edges(spark):
     df = spark.createDataFrame([(None, "a b", None, None), (1, None, None, None), (2, "a", "en", "s"), (2, "a", "en", "s")], schema)
     assert mixed(df, F.lit(None).cast("string"), {}, (1, 1), 1).count() == 4
     assert mixed(df, F.lit("d"), {}, (2, 1), 2).count() == 8
+
+
+def test_slices_of_slices_give_the_same_rows(spark):
+    """A leaf that holds most rows, one id for a third of them, one very long text: cut down to any size."""
+    r = random.Random(4)
+    rows = [(7 if i % 3 == 0 else None if i % 50 == 1 else i, "w " * r.randint(0, 9) + f"t{i}", "en", "big" if i % 10 else f"s{i}") for i in range(2500)] + [(5000, "long " * 2000, "en", "big")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    key = lambda out: sorted((str(x.doc_id), x.text[-9:], x.epoch) for x in out.collect())
+    whole = mixed(df, F.lit("d"), {}, (1, 2), 2, edge_rows=10**9)
+    tokens = {(str(i), t[-9:]): len(t.split()) for i, t, *_ in rows}
+    assert 0.3 * sum(tokens.values()) < sum(tokens[k[:2]] for k in key(whole)) <= 0.5 * sum(tokens.values())
+    assert key(whole) == key(mixed(df.repartition(7), F.lit("d"), {}, (1, 2), 2, edge_rows=20))

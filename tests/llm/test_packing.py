@@ -105,12 +105,74 @@ def test_token_rows_round_trip(spark):
     for d, t in [*texts.items(), (None, "no id")]:
         ids = [i for _, part in sorted(got[d]) for i in part]
         assert ids[-1] == token_packing.END_ID and enc.decode(ids[:-1]) == (t or "")
-    files = token_packing.write_token_files(rows, shared_root(spark) + "/tokens").collect()
-    total = 0
+    folder = shared_root(spark) + "/tokens"
+    files = token_packing.write_token_files(rows, folder, 5).collect()
+    assert sum(f.rows for f in files) == rows.count() and max(f.rows for f in files) == 5
     for f in files:
         base = f.path.removeprefix("file://")
-        m = np.fromfile(base + ".ids", "<u2").reshape(-1, 256)
-        assert len(m) == f.rows and np.fromfile(base + ".pos", "<i4").shape == (f.rows * 256,)
-        total += f.rows
-    assert total == rows.count()
-    assert token_packing.token_rows(df.where("false")).count() == 0
+        assert np.fromfile(base + ".ids", "<u2").shape == np.fromfile(base + ".pos", "<u2").shape == (f.rows * 256,)
+    back = token_packing.round_trip(df, row=256, block_tokens=900)
+    key = lambda x: (x.row_id, x.n_tokens)
+    assert back.schema == rows.schema and sorted(back.collect(), key=key) == sorted(rows.collect(), key=key)
+    assert token_packing.token_rows(df.where("false")).count() == 0 == token_packing.round_trip(df.where("false")).count()
+
+
+@needs_vocabulary
+def test_one_id_for_all_documents_is_no_hot_key(spark):
+    df = spark.createDataFrame([(None, f"text {i} " * 20) for i in range(400)] + [(1, "again and again")] * 30, "doc_id long, text string")
+    rows = token_packing.token_rows(df, row=128, block_chars=2000).collect()
+    blocks = {x.row_id >> 32 for x in rows}
+    assert len(blocks) > 20 and sum(len([s for s in x.starts if s == 0]) for x in rows) == 430
+
+
+def plain_pack(sizes, lengths, overhead):
+    """The rule, written out: (bins as lists of sizes, lengths opened)."""
+    bins, stamp = [], 0
+    for k, s in enumerate(sizes):
+        fit = [(b["room"], -b["stamp"], i) for i, b in enumerate(bins) if b["room"] >= s]
+        stamp += 1
+        if fit:
+            b = bins[min(fit)[2]]
+        else:
+            rest = sizes[k + 1 :]
+            cost = lambda c: (c + overhead) / (s + min(c - s, sum(x for x in rest if x <= c - s)))  # noqa: B023, E731
+            c = min((c for c in sorted(lengths) if c >= s), key=cost)
+            bins.append(b := {"room": c, "stamp": 0, "sizes": []})
+        b["room"] -= s
+        b["stamp"] = stamp
+        b["sizes"].append(s)
+    return sorted(b["sizes"] for b in bins), sorted(min(c for c in lengths if c >= sum(b["sizes"])) for b in bins)
+
+
+def partitions(items):
+    if not items:
+        yield []
+        return
+    for rest in partitions(items[1:]):
+        yield [[items[0]], *rest]
+        for i in range(len(rest)):
+            yield [*rest[:i], [items[0], *rest[i]], *rest[i + 1 :]]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_several_lengths_follow_the_rule_and_come_close_to_the_best(seed):
+    r, lengths, overhead = random.Random(seed), (4, 8, 16), 1
+    total = least = 0
+    for _ in range(60):
+        sizes = sorted((r.randint(1, 16) for _ in range(r.randint(1, 7))), reverse=True)
+        at, _, caps = binpack.pack(sizes, lengths, overhead)
+        bins = [[s for s, b in zip(sizes, at) if b == i] for i in range(len(caps))]
+        assert (sorted(bins), sorted(caps)) == plain_pack(sizes, lengths, overhead)
+        cost = lambda p: sum(min(c for c in lengths if c >= sum(b)) + overhead for b in p)
+        best = min(cost(p) for p in partitions(sizes) if all(sum(b) <= 16 for b in p))
+        got = sum(caps) + overhead * len(caps)
+        assert best <= got <= 1.6 * best
+        total, least = total + got, least + best
+    assert total <= 1.08 * least
+
+
+def test_equal_sizes_and_hot_ids(spark):
+    at, _, caps = binpack.pack([100] * 5000, (1000,), 0)
+    assert len(caps) == 500
+    out = binpack.packed(spark.createDataFrame([(None, 100, "")] * 30_000 + [(i, 100, "") for i in range(3000)], SCHEMA), block_rows=1000)
+    assert out.count() == 33_000 and out.select("bin_id").where("doc_id is null").selectExpr("count(distinct bin_id >> 32) AS n").first().n > 20

@@ -48,3 +48,39 @@ def test_stages(spark, tmp_path):
         want[r.doc_id] = want.get(r.doc_id, 0) + len(r.text.split())
     assert packed == want
     assert P.run(spark, str(tmp_path)).count() == len(seen["packing"])
+
+
+def test_stages_take_nulls_repeats_long_texts_and_clashing_columns(spark, tmp_path):
+    rows, labels = tables(spark, tmp_path)
+    more = "epoch string, mix_cut string, host int, n long, copies string, block int, spans string, n_tokens string"
+    own = ("e", "m", 5, 9, "c", 3, "s", "t")
+    odd = [(None, "some words without an id", "en", "src1", 5), (None, None, None, None, None), (900, None, "en", "src2", 0), (901, "", None, None, 0),
+           (902, rows[5][1], "en", "src5", 1), (902, rows[5][1], "en", "src5", 1), (903, " ".join(w for r in rows[1:4] for w in r[1].split()) * 60, "de", "src1", 3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + more
+    docs = spark.createDataFrame([(*r, *own) for r in rows[:40] + odd], schema)
+    columns = docs.columns
+    for name, stage in P.STAGES:
+        out = f"{tmp_path}/odd-{name}"
+        stage(spark, docs, str(tmp_path)).write.parquet(out)
+        before, docs = docs, spark.read.parquet(out)
+        if name != "packing":
+            assert docs.columns == columns and docs.where("epoch <> 'e' or mix_cut <> 'm' or host <> 5 or n <> 9 or copies <> 'c' or block <> 3 or spans <> 's' or n_tokens <> 't'").isEmpty()
+            assert docs.count() <= before.count() * (2 if name == "mixing" else 1)
+        if name == "near_dedup":
+            assert docs.where("doc_id = 902").count() == 0  # a copy of document 5
+    empty = spark.createDataFrame([], schema)
+    for name, stage in P.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+
+
+def test_a_stage_leaves_nothing_behind(spark, tmp_path):
+    from pathlib import Path
+
+    from arbordf.llm.common import shared_root
+
+    tables(spark, tmp_path)
+    root = Path(shared_root(spark).removeprefix("file://"))
+    before = set(root.iterdir())
+    P.run(spark, str(tmp_path)).count()
+    left = set(root.iterdir()) - before
+    assert len(left) == 1 and [p.name.split("-")[1] for p in next(iter(left)).iterdir()] == ["packing"]

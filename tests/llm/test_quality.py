@@ -3,8 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from arbordf.llm.quality import N_STATS, fit, good_documents, scored, sites, stats, train
-from arbordf.llm.common import Workspace
+from arbordf.llm.quality import N_STATS, fit, good_documents, scored, stats, train
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, host int, posterior string"
 
@@ -32,13 +31,53 @@ def test_held_out_accuracy(spark):
     assert kept.columns == df.columns and kept.where("posterior <> 'own' or host <> 7").isEmpty()
 
 
+def plain_strength(groups):
+    """groups: (n, good, mean of the level above)."""
+    n, k = sum(g[0] for g in groups), len(groups)
+    within = sum(g[0] * g[2] * (1 - g[2]) for g in groups) / n
+    ss, even = sum(g[0] * (g[1] / g[0] - g[2]) ** 2 for g in groups), n - sum(g[0] ** 2 for g in groups) / n
+    between = (ss - (k - 1) * within) / even if even > 0 else 0
+    return min(10_000, max(1, within / between - 1)) if between > 0 and k > 1 else 10_000
+
+
+def test_rates_equal_a_plain_recomputation(spark):
+    """Both levels, strengths and each document's rate without itself."""
+    rows, labels = documents()
+    rows += [(10_000, rows[0][1], "en", "rare", 1, 0, ""), (10_001, None, None, None, 1, 0, ""), (10_002, rows[7][1], "de", "s0", 1, 0, ""), (10_002, rows[7][1], "de", "s0", 1, 0, "")]
+    df, lab = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = train(df, lab)
+    p = [1 / (1 + np.exp(-(model.evidence(np.array([stats(r[1] or "")]))[0] + model.prior))) for r in rows]
+    paths, hosts = {}, {}
+    for r, x in zip(rows, p):
+        for at, key in ((paths, (r[3], r[2])), (hosts, r[3])):
+            n, good = at.get(key, (0, 0.0))
+            at[key] = n + 1, good + x
+    mean = sum(p) / len(p)
+    k = plain_strength([(n, g, mean) for n, g in hosts.values()])
+    host_rate = {h: (g + k * mean) / (n + k) for h, (n, g) in hosts.items()}
+    k2 = plain_strength([(n, g, host_rate[h]) for (h, _), (n, g) in paths.items()])
+    got = scored(df, lab).collect()
+    assert len(got) == len(rows)
+    by = {(r.doc_id, r.source, r.lang): r for r in got}
+    for r, x in zip(rows, p):
+        n, good = paths[r[3], r[2]]
+        hn, hgood = hosts[r[3]]
+        rate = (good - x + k2 * (hgood - x + k * mean) / (hn - 1 + k)) / (n - 1 + k2)
+        rate = min(max(rate, 1e-6), 1 - 1e-6)
+        mine = by[r[0], r[3], r[2]]
+        assert abs(mine.site_rate - rate) < 1e-9
+        odds = np.log(x / (1 - x)) - model.prior + np.log(rate / (1 - rate))
+        assert abs(mine.posterior - 1 / (1 + np.exp(-odds))) < 1e-6
+
+
 def test_sites_shrink(spark):
     rows, labels = documents()
     rows += [(10_000, rows[0][1], "en", "rare", 1, 0, "")]
     df, lab = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    rates = {(r.host, r.path): r for r in sites(df, train(df, lab), Workspace(spark, "t")).collect()}
-    assert rates["junk", "en"].site_rate < rates["s0", "en"].site_rate
-    assert rates["junk", "en"].site_rate < rates["rare", "en"].site_rate < rates["s0", "en"].site_rate + 0.05
+    rates = {}
+    for r in scored(df, lab).collect():
+        rates.setdefault(r.host, []).append(r.site_rate)
+    assert max(rates["junk"]) < min(rates["rare"]) < min(rates["s0"]) + 0.05
 
 
 def test_edges(spark):
