@@ -1,13 +1,20 @@
 """Joins on node predicates as equi joins.
 
 A node predicate between two relations is a theta join that would pair all rows. Each predicate but the rank
-comparisons is an equality of paths: children meet parents on the parent's path, descendants meet each of
-their ancestors on one of the prefixes of their own path. Those plan as hash or sort-merge joins.
+comparisons is an equality of paths: children meet parents on the parent's path, siblings on their common one,
+descendants meet each of their ancestors on one of the prefixes of their own path. Those plan as hash or
+sort-merge joins, for every kind of join, in the Python API and in SQL.
+
+For the prefix predicates one side's rows are multiplied by keys. In an inner join that is the deep side,
+by its prefixes. In others it must be the side whose rows needn't stay on their own: if that is the top
+side, its rows get the paths of the deep side's nodes below them, by a bridge of (path, prefix) pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import AnalysisError
@@ -16,6 +23,9 @@ from ..functions.nodes import NODE_KEY
 
 #: predicate -> the same with sides swapped
 FLIPPED = {"is_ancestor": "is_descendant", "is_ancestor_or_self": "is_descendant_or_self", "is_child": "is_parent", "is_preceding": "is_following"}
+UNFLIPPED = {v: k for k, v in FLIPPED.items()}
+RANKS = ("is_following", "is_preceding")
+SEMI = {"left_semi": "left_semi", "leftsemi": "left_semi", "semi": "left_semi", "left_anti": "left_anti", "leftanti": "left_anti", "anti": "left_anti"}
 
 
 def same_hierarchy(left: DataFrame, lnode: str, right: DataFrame, rnode: str) -> None:
@@ -24,64 +34,89 @@ def same_hierarchy(left: DataFrame, lnode: str, right: DataFrame, rnode: str) ->
         raise AnalysisError("a node predicate mixes different hierarchies")
 
 
+def path_sql(node: str) -> str:
+    """SQL of a node's path without trailing nulls; null for a null node."""
+    return f"CASE WHEN {node} IS NOT NULL THEN {N._path(node)} END"
+
+
+def prefixes_sql(node: str) -> str:
+    """SQL of all prefixes of a node's path, itself included; none for a null node or an empty path."""
+    p = path_sql(node)
+    return f"if(size({p}) > 0, transform(sequence(1, size({p})), n -> slice({p}, 1, n)), array())"
+
+
+def keys_sql(predicate: str, u: str, v: str) -> tuple[str, str] | None:
+    """SQL of two keys, of u and of v, that are equal wherever ``predicate(u, v)`` holds; None for those that need
+    prefixes or have no key."""
+    up = lambda x: f"slice({path_sql(x)}, 1, greatest(size({path_sql(x)}), 1) - 1)"
+    if predicate == "is_self":
+        return path_sql(u), path_sql(v)
+    if predicate in ("is_sibling", "is_sibling_or_self"):
+        return up(u), up(v)
+    if predicate == "is_parent":
+        return path_sql(u), up(v)
+    return (up(u), path_sql(v)) if predicate == "is_child" else None
+
+
+def deep_first(predicate: str) -> bool | None:
+    """Whether the first node of a prefix predicate is the deep one; None for other predicates."""
+    return {"is_descendant": True, "is_descendant_or_self": True, "is_ancestor": False, "is_ancestor_or_self": False}.get(predicate)
+
+
+def predicate_sql(predicate: str, u: str, v: str) -> str:
+    args = {"u": u, "v": v}
+    return re.sub(r"\b([uv])\b", lambda m: args[m[1]], N._body(predicate))
+
+
 def node_join(left: DataFrame, lnode: str, right: DataFrame, rnode: str, predicate: str, how: str = "inner") -> DataFrame:
-    """Join on predicate(left.lnode, right.rnode). Column names of both sides must differ. ``how``: inner,
-    left, right, full, left_semi, left_anti."""
-    predicate = predicate.lower()
+    """Join on predicate(left.lnode, right.rnode). Column names of both sides must differ. ``how``: inner, left,
+    right, full, left_semi, left_anti. Rows that repeat stay as often as in any join."""
+    predicate, how = predicate.lower(), how.lower().removesuffix("_outer").removesuffix("outer") or "full"
+    how = SEMI.get(how, how)
     if predicate not in N.BINARY:
         raise AnalysisError(f"unknown node predicate {predicate}")
+    if how not in ("inner", "left", "right", "full", "left_semi", "left_anti"):
+        raise AnalysisError(f"unknown kind of join {how}")
     if clash := set(left.columns) & set(right.columns):
         raise AnalysisError(f"columns on both sides: {sorted(clash)}")
     same_hierarchy(left, lnode, right, rnode)
-    if predicate in ("is_following", "is_preceding"):
+    u, v = f"`{lnode}`", f"`{rnode}`"
+    exact = F.expr(predicate_sql(predicate, u, v))
+    if predicate in RANKS:
         # a rank comparison pairs most rows with most others; there is no key to meet on
-        return left.join(right, F.expr(_sql(predicate, lnode, rnode)), how)
-    l, r = left.withColumn("_lp", N.path(lnode)), right.withColumn("_rp", N.path(rnode))
-    if predicate in FLIPPED:
-        deep, top, base = "_rp", "_lp", FLIPPED[predicate]
-    else:
-        deep, top, base = "_lp", "_rp", predicate
-    exact = F.expr(_sql(predicate, lnode, rnode))
-    if base == "is_self":
-        cond = F.col("_lp") == F.col("_rp")
-    elif base in ("is_sibling", "is_sibling_or_self"):
-        cond = F.expr("slice(_lp, 1, size(_lp) - 1) = slice(_rp, 1, size(_rp) - 1)")
-    elif base == "is_parent":
-        # deep is the parent's side here: parent(u) = path of u equals the other's path without its last
-        cond = F.expr(f"{deep} = slice({top}, 1, size({top}) - 1)")
+        return left.join(right, exact, how)
+    if keys := keys_sql(predicate, u, v):
+        return left.withColumn("_lk", F.expr(keys[0])).join(right.withColumn("_rk", F.expr(keys[1])), (F.col("_lk") == F.col("_rk")) & exact, how).drop("_lk", "_rk")
+    if how == "right":
+        other = FLIPPED.get(predicate) or UNFLIPPED[predicate]
+        return node_join(right, rnode, left, lnode, other, "left").select(*_quoted(left), *_quoted(right))
+    if how == "full":
+        other = FLIPPED.get(predicate) or UNFLIPPED[predicate]
+        alone = node_join(right, rnode, left, lnode, other, "left_anti")
+        return node_join(left, lnode, right, rnode, predicate, "left").unionByName(alone, allowMissingColumns=True)
+    if deep_first(predicate):
+        if how == "inner":
+            l, r = left.withColumn("_lk", F.explode(F.expr(prefixes_sql(u)))), right.withColumn("_rk", F.expr(path_sql(v)))
+        else:
+            bridge = left.select(F.expr(path_sql(u)).alias("_rk"), F.expr(prefixes_sql(u)).alias("_tops")).distinct().select("_rk", F.explode("_tops").alias("_top"))
+            r = right.withColumn("_top", F.expr(path_sql(v))).join(bridge, "_top").drop("_top")
+            l = left.withColumn("_lk", F.expr(path_sql(u)))
     else:
-        if how != "inner":
-            return _outer(left, right, node_join(left.select("*"), lnode, right, rnode, predicate), how)
-        prefixes = F.explode(F.expr(f"transform(sequence(1, size({deep})), n -> slice({deep}, 1, n))"))
-        if deep == "_lp":
-            l = l.where("size(_lp) > 0").withColumn("_k", prefixes)
-            return l.join(r, (F.col("_k") == F.col("_rp")) & exact).drop("_k", "_lp", "_rp")
-        r = r.where("size(_rp) > 0").withColumn("_k", prefixes)
-        return l.join(r, (F.col("_k") == F.col("_lp")) & exact).drop("_k", "_lp", "_rp")
-    return l.join(r, cond & exact, how).drop("_lp", "_rp")
+        l, r = left.withColumn("_lk", F.expr(path_sql(u))), right.withColumn("_rk", F.explode(F.expr(prefixes_sql(v))))
+    return l.join(r, (F.col("_lk") == F.col("_rk")) & exact, how).drop("_lk", "_rk")
 
 
-def _sql(predicate: str, u: str, v: str) -> str:
-    import re
-
-    args = {"u": f"`{u}`", "v": f"`{v}`"}
-    return re.sub(r"\b([uv])\b", lambda m: args[m[1]], N._body(predicate))
+def _quoted(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
 
 
-def _outer(left: DataFrame, right: DataFrame, inner: DataFrame, how: str) -> DataFrame:
-    """Complete an inner join by the rows of either side it left out (compared as whole rows)."""
-    kept = inner.select(*left.columns).distinct()
-    key = F.to_json(F.struct(*[F.col(f"`{c}`") for c in left.columns]), {"ignoreNullFields": "false"})
-    rkey = F.to_json(F.struct(*[F.col(f"`{c}`") for c in right.columns]), {"ignoreNullFields": "false"})
-    lost_l = left.withColumn("_j", key).join(kept.select(key.alias("_j")).distinct(), "_j", "left_anti").drop("_j")
-    lost_r = right.withColumn("_j", rkey).join(inner.select(rkey.alias("_j")).distinct(), "_j", "left_anti").drop("_j")
-    if how in ("left_semi", "semi"):
-        return kept
-    if how in ("left_anti", "anti"):
-        return lost_l
-    out = inner
-    if how in ("left", "left_outer", "full", "full_outer", "outer"):
-        out = out.unionByName(lost_l, allowMissingColumns=True)
-    if how in ("right", "right_outer", "full", "full_outer", "outer"):
-        out = out.unionByName(lost_r, allowMissingColumns=True)
-    return out
+def rank_counts(df: DataFrame, node: str = "node") -> DataFrame:
+    """``df`` with n_following and n_preceding: how many nodes of its tree stand after a node in pre-order but not
+    below it, and before it but not above it. That is what joins on is_following and is_preceding would count,
+    taken from the ranks: a row per node instead of a row per pair. Rows that repeat a node count once."""
+    root, level = F.col(node)["path"][0], F.expr(f"size({N._path(f'`{node}`')})")
+    totals = df.where(F.col(node).isNotNull()).groupBy(root.alias("_root")).agg(F.max(F.col(node)["preRank"]).alias("_last"))
+    pre, post = F.col(node)["preRank"], F.col(node)["postRank"]
+    out = df.withColumn("_own_root", root).join(totals, F.col("_own_root") == F.col("_root"), "left")
+    # below a node stand post - pre + level - 1 others, above it level - 1
+    return out.withColumn("n_following", F.col("_last") - post - level + 1).withColumn("n_preceding", pre - level).drop("_own_root", "_root", "_last")
