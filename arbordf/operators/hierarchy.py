@@ -5,8 +5,11 @@ twice, and so quadruples the distance; a tree of depth d takes about log4(d) rou
 nothing shows that what is left hangs on a cycle or on nothing; those rows drop out, as cycles are cut.
 
 Ranks follow from two orders of the same paths of sibling numbers: depth-first order compares the paths,
-and post-order compares them with a last element above all siblings. A tree of many nodes is ordered by a
-range shuffle with offsets per range, a small one by a window.
+and post-order compares them with a last element above all siblings. Trees and families of many nodes are
+numbered by a range shuffle with offsets per range, small ones by a window.
+
+A node carries its path, as its functions demand, so that a hierarchy takes (nodes x mean depth) path elements on
+disk: fine for the trees of organisations, parts or threads at any width, but a chain of n nodes takes n^2 / 2.
 """
 
 from __future__ import annotations
@@ -21,17 +24,19 @@ from pyspark.sql.window import Window
 
 from ..errors import AnalysisError
 from ..functions.nodes import NODE_KEY
-from .tables import written
+from .tables import dropped, written
 
-#: Trees up to this many nodes are ranked by a window, larger ones by ranges.
-WINDOW_NODES = 5_000_000
+#: Trees and families up to this many nodes are numbered by a window, larger ones by ranges.
+WINDOW_NODES = 200_000
+#: Sources of at most this size by the planner's estimate are not counted: they hold no family worth it.
+SMALL_BYTES = 8 << 20
 #: Path elements (all rows together) up to which the ancestors' side of a round is broadcast, some 20 MB.
 BROADCAST_CELLS = 1_000_000
 Order = Sequence[str | Column]
 
 
 def _asc(order: Order) -> list[Column]:
-    return [F.col(o) if isinstance(o, str) else o for o in order]
+    return [F.col(o).asc() if isinstance(o, str) else o for o in order]
 
 
 def _tag(*parts: object) -> dict:
@@ -50,23 +55,35 @@ def _text(c: Column, t: DataType) -> Column:
     return F.unix_micros(c).cast("string") if t.simpleString() == "timestamp" else c.cast("string")
 
 
+def numbered(rows: DataFrame, group: str, order: list[Column], name: str, largest: int, window_nodes: int = WINDOW_NODES) -> DataFrame:
+    """``rows`` with their numbers from 1 in each ``group`` by ``order`` (which has no ties) as ``name``. ``largest``:
+    a bound of the largest group's rows."""
+    if largest <= window_nodes:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = written(rows.repartitionByRange(n, F.col(group), *order).withColumn("_range", F.spark_partition_id()))
+    counts = dealt.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col(group).alias("_of"), F.col("_range").alias("_in"), before.alias("_before"))
+    at = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
+    near = (F.col(group) == F.col("_of")) & (F.col("_range") == F.col("_in"))
+    return dealt.withColumn("_at", at).join(counts, near).withColumn(name, (F.col("_at") + F.col("_before")).cast("int")).drop("_at", "_before", "_range", "_of", "_in")
+
+
+def _largest(rows: DataFrame, group: str) -> int:
+    """Rows of the largest group; 0 where the planner's estimate shows that none can matter."""
+    if int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SMALL_BYTES:
+        return 0
+    return rows.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+
+
 def ranked(nodes: DataFrame, window_nodes: int = WINDOW_NODES, total: int | None = None) -> DataFrame:
     """nodes: (id, root, path, opath). Adds preRank, postRank, isLeaf; ranks start at 1 in every tree.
     ``total``: the number of nodes, where it is known already."""
     nodes = nodes.withColumn("_post", F.concat("opath", F.array(F.lit(2**31 - 1))))
     largest = total if total is not None and total <= window_nodes else nodes.groupBy("root").count().agg(F.max("count")).first()[0] or 0
-    if largest <= window_nodes:
-        pre, post = (F.row_number().over(Window.partitionBy("root").orderBy(c)) for c in ("opath", "_post"))
-        nodes = nodes.withColumn("preRank", pre).withColumn("postRank", post)
-    else:
-        for c, rank in (("opath", "preRank"), ("_post", "postRank")):
-            n = max(2, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-            dealt = written(nodes.repartitionByRange(n, "root", c).withColumn("_range", F.spark_partition_id()))
-            counts = dealt.groupBy("root", "_range").agg(F.count("*").alias("_n"))
-            before = F.coalesce(F.sum("_n").over(Window.partitionBy("root").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            at = F.row_number().over(Window.partitionBy("root", "_range").orderBy(c))
-            counts = counts.select("root", "_range", before.alias("_before"))
-            nodes = dealt.withColumn("_at", at).join(counts, ["root", "_range"]).withColumn(rank, (F.col("_at") + F.col("_before")).cast("int")).drop("_at", "_before", "_range")
+    for c, rank in (("opath", "preRank"), ("_post", "postRank")):
+        nodes = numbered(nodes, "root", [F.col(c).asc()], rank, largest, window_nodes)
     below = F.col("postRank") - F.col("preRank") + F.size("path") - 1
     return nodes.withColumn("isLeaf", below == 0).drop("_post")
 
@@ -75,7 +92,7 @@ def _node(nodes: DataFrame, kind: str, alias: str, tag: dict) -> Column:
     return F.struct(F.col("path"), F.lit(kind).alias("dataType"), F.col("preRank").cast("int").alias("preRank"), F.col("postRank").cast("int").alias("postRank"), F.col("isLeaf")).alias(alias, metadata=tag)
 
 
-def adjacency_nodes(df: DataFrame, pred: str, succ: str, start: str | Column | None = None, order: Order = (), strict: bool = False) -> DataFrame:
+def adjacency_nodes(df: DataFrame, pred: str, succ: str, start: str | Column | None = None, order: Order = (), strict: bool = False, window_nodes: int = WINDOW_NODES) -> DataFrame:
     """One row per reachable key: (id, root, path, opath, preRank, postRank, isLeaf)."""
     start = F.expr(start) if isinstance(start, str) else start
     kt = df.schema[succ].dataType
@@ -93,9 +110,9 @@ def adjacency_nodes(df: DataFrame, pred: str, succ: str, start: str | Column | N
         raise AnalysisError("a key has several rows")
     rows = rows.where(F.col("_r") == 1)
     rows = rows.withColumn("_up", F.when(~F.col("_start"), F.col("_up")))
-    sib = F.row_number().over(Window.partitionBy("_up").orderBy(*_asc(order), F.col("_id")))
+    below = rows.where("_up is not null")
     # roots need no order among themselves: ranks start anew in each tree
-    rows = rows.where("_up is not null").withColumn("_sib", sib).unionByName(rows.where("_up is null").withColumn("_sib", F.lit(0)))
+    rows = numbered(below, "_up", [*_asc(order), F.col("_id").asc()], "_sib", _largest(below, "_up"), window_nodes).unionByName(rows.where("_up is null").withColumn("_sib", F.lit(0)))
     # no root reaches a row that is its own parent
     rows = rows.where("_up is null or _up <> _id")
     state = written(rows.select(F.col("_id").alias("id"), F.col("_up").alias("up"), F.array(_text(F.col("_id"), kt)).alias("path"), F.array(F.col("_sib").cast("int")).alias("opath")))
@@ -106,8 +123,9 @@ def adjacency_nodes(df: DataFrame, pred: str, succ: str, start: str | Column | N
             break
         found = n.found
         small = n.cells <= BROADCAST_CELLS
-        state = written(_doubled(_doubled(state, small), small))
-    return ranked(state.where("up is null").select("id", F.col("path")[0].alias("root"), "path", "opath"), total=n.found)
+        before, state = state, written(_doubled(_doubled(state, small), small))
+        dropped(before)
+    return ranked(state.where("up is null").select("id", F.col("path")[0].alias("root"), "path", "opath"), window_nodes, n.found)
 
 
 def _doubled(state: DataFrame, small: bool) -> DataFrame:
@@ -124,14 +142,15 @@ def hierarchy(df: DataFrame, pred: str, succ: str, start: str | Column | None =
     siblings. Of rows that repeat a key the first by ``order`` and parent key makes the node (``strict``
     raises), and all of them get it."""
     nodes = adjacency_nodes(df, pred, succ, start, order, strict)
-    tag = _tag("adjacency", df.schema.simpleString(), pred, succ, str(start), [str(o) for o in order])
+    # what makes two hierarchies the same is how they are made, not of what
+    tag = _tag("adjacency", pred, succ, str(start), [str(o) for o in order])
     kind = _key_type(df.schema[succ].dataType)
     nodes = nodes.select(F.col("id").alias("_node_id"), _node(nodes, kind, node, tag))
     out = df.join(nodes, df[succ] == nodes["_node_id"]).drop("_node_id")
     return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col(node).alias(node, metadata=tag))
 
 
-def level_hierarchy(df: DataFrame, levels: Sequence[str], order: Order = (), start: str | Column | None = None, node: str = "node", match: str = "PATH") -> DataFrame:
+def level_hierarchy(df: DataFrame, levels: Sequence[str], order: Order = (), start: str | Column | None = None, node: str = "node", match: str = "PATH", window_nodes: int = WINDOW_NODES) -> DataFrame:
     """The rows of ``df`` with a node for the path of their level columns, and one generated row for each inner
     node that no row has (other columns null). Rows without any level drop out; a null between levels
     raises when rows are read. ``start`` keeps the trees of the rows that match it."""
@@ -160,17 +179,17 @@ def level_hierarchy(df: DataFrame, levels: Sequence[str], order: Order = (), sta
     else:
         pre = pre.distinct()
     pre = pre.withColumn("n", F.size("path")).withColumn("parent", F.expr("slice(path, 1, n - 1)"))
-    sib = F.row_number().over(Window.partitionBy("parent").orderBy(*directed, F.expr("path[n - 1]")))
+    below = pre.where("n > 1")
     # first-level nodes are roots: they need no order among themselves
-    pre = pre.where("n > 1").withColumn("sib", sib).unionByName(pre.where("n = 1").withColumn("sib", F.lit(0)))
+    pre = numbered(below, "parent", [*directed, F.expr("path[n - 1]").asc()], "sib", _largest(below, "parent"), window_nodes).unionByName(pre.where("n = 1").withColumn("sib", F.lit(0)))
     pre = written(pre.select("path", "parent", "n", F.col("sib").cast("int").alias("sib")))
     at = pre.where("n = 1").select("path", F.array("sib").alias("opath"))
     nodes = at
     for i in range(2, len(levels) + 1):
         at = pre.where(F.col("n") == i).join(at.toDF("parent", "o"), "parent").select("path", F.concat("o", F.array("sib")).alias("opath"))
         nodes = nodes.unionByName(at)
-    nodes = ranked(nodes.select(F.col("path").alias("id"), F.col("path")[0].alias("root"), "path", "opath"))
-    tag = _tag("levels", df.schema.simpleString(), list(levels), [str(o) for o in order], str(start))
+    nodes = ranked(nodes.select(F.col("path").alias("id"), F.col("path")[0].alias("root"), "path", "opath"), window_nodes)
+    tag = _tag("levels", list(levels), [str(o) for o in order], str(start))
     pad = F.concat("path", F.expr(f"array_repeat(cast(null as string), {len(levels)} - size(path))"))
     nodes = nodes.select(F.col("id"), F.struct(pad.alias("path"), F.lit(kind).alias("dataType"), F.col("preRank").cast("int").alias("preRank"), F.col("postRank").cast("int").alias("postRank"), "isLeaf").alias("_node"))
     out = nodes.join(rows.withColumnRenamed("_path", "id"), "id", "left")

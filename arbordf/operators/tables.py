@@ -7,11 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import EngineError
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where that is unset (local runs)."""
+    """``spark.checkpoint.dir``, or, in a local run where that is unset, a temporary folder. A cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise EngineError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="arbordf-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -22,4 +26,13 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/arbordf-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._arbordf_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Remove a table that ``written`` made and that no plan still to run reads."""
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    path = jvm.org.apache.hadoop.fs.Path(df._arbordf_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

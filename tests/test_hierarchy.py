@@ -156,3 +156,37 @@ def test_null_nodes(spark):
     N.register(spark)
     row = spark.sql(f"SELECT level(n) a, name(n) b, is_root(n) c, is_self(n, n) d, is_following(n, n) e FROM (SELECT CAST(NULL AS {N.NODE_TYPE}) AS n)").first()
     assert list(row) == [None] * 5
+
+
+def test_hot_parents_and_large_trees_are_numbered_by_ranges(spark, monkeypatch):
+    """One parent has most rows, in an order with ties and nulls; levels alike."""
+    import arbordf.operators.hierarchy as H
+
+    r = random.Random(6)
+    rows = [(0, None, 1), (1, 0, 1)] + [(i, 1 if i % 4 else r.randrange(i), r.choice([None, 1, 2])) for i in range(2, 300)]
+    df = spark.createDataFrame(rows, "k long, p long, o int").repartition(6)
+    order = [F.desc("o"), F.col("k").desc()]
+    want = nodes(hierarchy(df, "p", "k", None, order))
+    levels = spark.createDataFrame([(f"r{i % 2}", "big" if i % 5 else f"n{i}", f"c{i}", i) for i in range(200)], "a string, b string, c string, v int")
+    plain = {(x.a, x.b, x.c): x.node for x in level_hierarchy(levels, ["a", "b", "c"], [F.desc("v")]).collect()}
+    monkeypatch.setattr(H, "SMALL_BYTES", -1)
+    assert {x.id: (x.preRank, x.postRank) for x in adjacency_nodes(df, "p", "k", None, order, window_nodes=10).collect()} == {k: v[1:3] for k, v in want.items()}
+    assert {(x.a, x.b, x.c): x.node for x in level_hierarchy(levels, ["a", "b", "c"], [F.desc("v")], window_nodes=10).collect()} == plain
+
+
+def test_rounds_leave_one_table(spark, tmp_path):
+    from arbordf.operators.tables import shared_folder
+
+    root = shared_folder(spark).removeprefix("file://")
+    import os
+
+    before = set(os.listdir(root))
+    df = spark.range(40).select(F.col("id").alias("k"), F.when(F.col("id") > 0, F.col("id") - 1).alias("p"))
+    hierarchy(df, "p", "k").count()
+    assert len(set(os.listdir(root)) - before) == 1
+
+
+def test_identity_is_how_a_hierarchy_is_made(spark):
+    a, b = (spark.createDataFrame([(1, None)], f"k long, p long, {x} int" if x else "k long, p long") if not x else spark.createDataFrame([(1, None, 2)], f"k long, p long, {x} int") for x in ("", "x"))
+    left, right = hierarchy(a, "p", "k", node="u").select("u"), hierarchy(b, "p", "k", node="v").select("v")
+    assert node_join(left, "u", right, "v", "is_self").count() == 1
