@@ -6,7 +6,7 @@ rate is looked up in two short sorted arrays: the rates of the date's own bucket
 month of rates and one entry a month, however long the series, and a frequent pair is spread over its buckets.
 Either side is broadcast when a count shows at most SMALL_RATES rates in it.
 
-Amounts and rates are taken as DECIMAL(38,18); their product is put together from integer and fractional parts,
+Amounts and rates are taken as DECIMAL(37,18); their product is put together from integer and fractional parts,
 so that nothing is cut before the one cast to DECIMAL(30,15). An amount or result that doesn't fit is null.
 ``convert`` and the SQL function ``cc`` share all of this.
 """
@@ -25,7 +25,7 @@ SMALL_RATES = 500_000
 PREFIX = "spark.sql.currency.basic."
 MODES = ("fail_on_error", "set_to_null", "keep_unconverted")
 RESULT = "decimal(30,15)"
-EXACT = "decimal(38,18)"
+EXACT = "decimal(37,18)"
 
 
 def date_key(date: str) -> str:
@@ -54,11 +54,14 @@ def found_rate(key: str, days: str, months: str) -> str:
 
 
 def product(amount: str, rate: str) -> str:
-    """SQL of amount * rate, both DECIMAL(38,18), as DECIMAL(30,15): parts are multiplied apart, since the type of
-    the plain product would keep six digits."""
-    whole = lambda x: f"cast(if({x} >= 0, floor({x}), ceil({x})) AS decimal(20,0))"
+    """SQL of amount * rate, both DECIMAL(37,18), as DECIMAL(30,15), rounded half up once. Whole and fractional parts
+    are multiplied apart, since the type of the plain product would keep six digits; three of the four products
+    are exact at 18 decimals, and the last is cut at 20, which leaves the rounding at 15 as it is."""
+    whole = lambda x: f"cast(if({x} >= 0, floor({x}), ceil({x})) AS decimal(19,0))"
     rest = lambda x: f"cast({x} % 1BD AS decimal(18,18))"
-    parts = [f"try_cast(try_multiply({whole(amount)}, {whole(rate)}) AS decimal(16,0))", *(f"try_cast({x} * {y} AS decimal(33,17))" for x, y in ((whole(amount), rest(rate)), (rest(amount), whole(rate)), (rest(amount), rest(rate))))]
+    small = f"({rest(amount)} * {rest(rate)})"
+    parts = [f"try_cast(try_multiply({whole(amount)}, {whole(rate)}) AS decimal(15,0))", *(f"try_cast({x} * {y} AS decimal(33,18))" for x, y in ((whole(amount), rest(rate)), (rest(amount), whole(rate))))]
+    parts.append(f"cast({small} - {small} % 0.00000000000000000001BD AS decimal(21,20))")
     return f"try_cast({' + '.join(parts)} AS {RESULT})"
 
 
@@ -75,7 +78,7 @@ def scale_of(amount: str) -> str:
 
 
 def conversion(amount: str, source: str, target: str, date: str, rate: str, swapped: str | None, mode: str, scale: int | str) -> str:
-    """SQL of the converted amount, given SQL of the amount as DECIMAL(38,18), of its rate and, where inverse rates are
+    """SQL of the converted amount, given SQL of the amount as DECIMAL(37,18), of its rate and, where inverse rates are
     allowed, of the swapped pair's; ``scale``: decimals of the amount's type, or SQL of them."""
     value = f"CASE WHEN {rate} IS NOT NULL THEN {product(amount, rate)}"
     if swapped:

@@ -35,15 +35,16 @@ class PartitionFunction:
         return list(range(self.start + step, self.end, step))
 
     def apply(self, df: DataFrame, *columns: str) -> DataFrame:
-        """Deal the rows of ``df`` out as this function says."""
+        """Deal the rows of ``df`` out as this function says; range k of a range function is partition k."""
         if len(columns) != len(self.types):
             raise AnalysisError(f"{self.name} takes {len(self.types)} columns, {len(columns)} given")
         if self.kind == "hash" or self.kind == "block":
             return df.repartition(*([self.parts] if self.parts else []), *columns)
         bounds = [F.lit(b).cast(dict(df.dtypes)[columns[0]]) for b in (self.splitters or self.boundaries())]
         c = F.col(columns[0])
-        part = sum(((c > b if self.right_closed else c >= b).cast("int") for b in bounds), F.lit(0))
-        return df.withColumn("_part", part).repartition(len(bounds) + 1, "_part").drop("_part")
+        # nulls are dealt to the first range
+        part = F.coalesce(sum(((c > b if self.right_closed else c >= b).cast("int") for b in bounds), F.lit(0)), F.lit(0))
+        return df.repartitionById(len(bounds) + 1, part)
 
 
 @dataclass(frozen=True)

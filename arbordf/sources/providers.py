@@ -105,6 +105,8 @@ def needs(provider: object, protocol: type, what: str):
 class MemoryProvider:
     """Everything in memory: for tests and small catalogs."""
 
+    #: Whether the options path and paths stand for tablepath and files.
+    renamed_options = True
     view_kinds: frozenset[str] = frozenset({"plain", "dimension", "cube"})
     frames: dict[str, DataFrame] = field(default_factory=dict)
     kept_views: dict[str, tuple[str, str]] = field(default_factory=dict)

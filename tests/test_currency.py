@@ -47,9 +47,9 @@ def test_precision_of_convert_and_cc(spark):
     """Rates of many digits, amounts of many, over 10^18 and negative; both ways give the same."""
     with localcontext() as ctx:
         ctx.prec = 80
-        amounts = [D("1000000"), D("1.12345678"), D("-7.00000001"), D("1234567890123456789.5"), D("99999999999999.99999999"), D("0.00000001")]
-        rates = [D("0.0000004"), D("0.0123456789"), D("1.0000000001"), D("123.4567890123"), D("0.00000000000123")]
-        rows = [(i * 10 + j, a, f"R{j}", "X", "2021-03-05") for i, a in enumerate(amounts) for j in range(len(rates))]
+        amounts = [D("1000000"), D("1.12345678"), D("-7.00000001"), D("1234567890123456789.5"), D("99999999999999.99999999"), D("0.00000001"), D("-1017.00001017"), D("0.00000049")]
+        rates = [D("0.0000004"), D("0.0123456789"), D("1.0000000001"), D("123.4567890123"), D("0.00000000000123"), D("123.45678901234"), D("0.99999999999995")]
+        rows = [(i * 100 + j, a, f"R{j}", "X", "2021-03-05") for i, a in enumerate(amounts) for j in range(len(rates))]
         df = spark.createDataFrame(rows, "i int, amount decimal(28,8), f string, t string, d string")
         table = spark.createDataFrame([(f"R{j}", "X", "2020-12-31", r) for j, r in enumerate(rates)], "f string, t string, d string, r decimal(24,14)")
         got = {r.i: r.converted for r in convert(df, "amount", "f", "t", "d", table).collect()}
@@ -61,7 +61,7 @@ def test_precision_of_convert_and_cc(spark):
         for i, a in enumerate(amounts):
             for j, r in enumerate(rates):
                 want = exact(a, r)
-                assert got[i * 10 + j] == (want if abs(want) < 10**15 else None), (a, r)
+                assert got[i * 100 + j] == (want if abs(want) < 10**15 else None), (a, r)
 
 
 def test_cc_rounds_inverse_rates_like_convert(spark):

@@ -260,7 +260,7 @@ def test_scripts_and_cli(s, spark, tmp_path):
 def test_deep_describe_and_insert(s, spark):
     s.sql("CREATE VIEW v AS SELECT name FROM animals")
     row = s.sql("DEEP DESCRIBE v").first()
-    assert row.NAME == "v" and '"animals"' in row.CHILDREN
+    assert row.NAME == "v" and [f.name for f in row.FIELDS] == ["name"] and row.CHILDREN[0].name == "animals" and [f.type for f in row.CHILDREN[0].fields] == ["string", "bigint", "bigint", "int"]
     spark.sql("CREATE TABLE IF NOT EXISTS sink (name STRING) USING parquet")
     s.sql("INSERT OVERWRITE TABLE sink SELECT name FROM v")
     assert spark.table("sink").count() == 4
