@@ -126,17 +126,16 @@ def token_rows(docs: DataFrame, vocabulary: str = VOCABULARY, row: int = ROW, en
 #: Columns of packed rows.
 SCHEMA = pa.schema([("row_id", pa.int64()), ("ids", pa.binary()), ("id_bytes", pa.int32()), ("n_tokens", pa.int32()), ("cu_seqlens", pa.list_(pa.int32())), ("resets", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
 ROWS = "row_id long, ids binary, id_bytes int, n_tokens int, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, starts array<long>"
-#: Files by ending: the id matrix, row after row; the matrix of positions, of the same shape (2 bytes each where
-#: a row's length allows, else 4); for each row its number of segments and the cumulative lengths from 0
-#: (int32); for each row its id, then for each segment whether it has a document id, that id, and where it starts in
-#: the document (int64).
-FILES = ("ids", "pos", "cu", "doc")
+#: Files by ending: the id matrix, row after row; for each row its number of segments and the cumulative lengths from 0
+#: (int32); for each row its number of resets and the offsets where positions start again from 0 (int32); for each row
+#: its id, then for each segment whether it has a document id, that id, and where it starts in the document (int64).
+FILES = ("ids", "cu", "pos", "doc")
 FILE_ROWS = 65_536
 
 
 def write_token_files(rows: DataFrame, folder: str, file_rows: int = FILE_ROWS) -> DataFrame:
     """Write packed rows as binary files (see FILES) below ``folder``, which all executors reach. Returns (path
-    without ending, rows, row, id_bytes, pos_bytes). A task names its files afresh at every attempt; only files
+    without ending, rows, row, id_bytes). A task names its files afresh at every attempt; only files
     named there count, so a repeated task leaves at most unread ones."""
 
     def run(batches):
@@ -146,17 +145,17 @@ def write_token_files(rows: DataFrame, folder: str, file_rows: int = FILE_ROWS)
 
         def close():
             files.close()
-            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "rows": [n], **dict(zip(("row", "id_bytes", "pos_bytes"), ([v] for v in shape), strict=True))}, SUMMARY)
+            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "rows": [n], **dict(zip(("row", "id_bytes"), ([v] for v in shape), strict=True))}, SUMMARY)
 
         for batch in batches:
-            for row_id, ids, width, cu, docs, starts in zip(*(batch.column(c).to_pylist() for c in ("row_id", "ids", "id_bytes", "cu_seqlens", "doc_ids", "starts")), strict=True):
+            for row_id, ids, width, cu, resets, docs, starts in zip(*(batch.column(c).to_pylist() for c in ("row_id", "ids", "id_bytes", "cu_seqlens", "resets", "doc_ids", "starts")), strict=True):
                 row = len(ids) // width
                 if files is None:
                     fs.create_dir(base, recursive=True)
-                    name, n, shape, files = uuid.uuid4().hex, 0, (row, width, 2 if row <= 65_536 else 4), ExitStack()
+                    name, n, shape, files = uuid.uuid4().hex, 0, (row, width), ExitStack()
                     out = {e: files.enter_context(fs.open_output_stream(f"{base}/{name}.{e}", compression=None)) for e in FILES}
                 out["ids"].write(ids)
-                out["pos"].write(position_ids(cu, row).astype(f"<u{shape[2]}").tobytes())
+                out["pos"].write(np.array([len(resets), *resets], "<i4").tobytes())
                 out["cu"].write(np.array([len(cu) - 1, *cu], "<i4").tobytes())
                 out["doc"].write(np.array([row_id, *(x for d, s in zip(docs, starts, strict=True) for x in (d is not None, d or 0, s))], "<i8").tobytes())
                 n += 1
@@ -166,29 +165,28 @@ def write_token_files(rows: DataFrame, folder: str, file_rows: int = FILE_ROWS)
         if files is not None:
             yield close()
 
-    return rows.select("row_id", "ids", "id_bytes", "cu_seqlens", "doc_ids", "starts").mapInArrow(run, "path string, rows long, row int, id_bytes int, pos_bytes int")
+    return rows.select("row_id", "ids", "id_bytes", "cu_seqlens", "resets", "doc_ids", "starts").mapInArrow(run, "path string, rows long, row int, id_bytes int")
 
 
-SUMMARY = pa.schema([("path", pa.string()), ("rows", pa.int64()), ("row", pa.int32()), ("id_bytes", pa.int32()), ("pos_bytes", pa.int32())])
+SUMMARY = pa.schema([("path", pa.string()), ("rows", pa.int64()), ("row", pa.int32()), ("id_bytes", pa.int32())])
 
 
 def read_token_files(files: DataFrame, batch_rows: int = 256) -> DataFrame:
-    """The packed rows of the files that ``files`` names, read back; resets and n_tokens come from the positions and
-    cumulative lengths in the files, which must agree, or reading raises."""
+    """The packed rows of the files that ``files`` names, read back. Resets and cumulative lengths in
+    the files must agree, or reading raises."""
 
     def run(batches):
         for batch in batches:
-            for path, n, row, width, pos_width in zip(*(batch.column(c).to_pylist() for c in SUMMARY.names), strict=True):
+            for path, n, row, width in zip(*(batch.column(c).to_pylist() for c in SUMMARY.names), strict=True):
                 fs, base = opened(path)
                 with ExitStack() as stack:
-                    ids, pos, cus, docs = (stack.enter_context(fs.open_input_stream(f"{base}.{e}", compression=None, buffer_size=1 << 20)) for e in FILES)
+                    ids, cus, poss, docs = (stack.enter_context(fs.open_input_stream(f"{base}.{e}", compression=None, buffer_size=1 << 20)) for e in FILES)
                     for at in range(0, n, batch_rows):
                         cols = [[] for _ in SCHEMA]
                         for _ in range(min(batch_rows, n - at)):
-                            k = int.from_bytes(cus.read(4), "little")
+                            k, resets = int.from_bytes(cus.read(4), "little"), np.frombuffer(poss.read(4 * int.from_bytes(poss.read(4), "little")), "<i4")
                             cu = np.frombuffer(cus.read(4 * (k + 1)), "<i4")
                             doc = np.frombuffer(docs.read(8 * (1 + 3 * k)), "<i8")
-                            resets = np.flatnonzero(np.frombuffer(pos.read(row * pos_width), f"<u{pos_width}")[: cu[-1]] == 0)
                             if not np.array_equal(resets, cu[:-1]):
                                 raise ValueError(f"positions and segment lengths of row {doc[0]} in {path} differ")
                             seg = doc[1:].reshape(k, 3)
