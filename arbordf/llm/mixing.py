@@ -91,12 +91,16 @@ def mixed(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, in
     goals = ws.written(goals, "goals")
     few = goals.count() <= small
     by_id = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), text_of(F.col("mix_id"))))
-    order = F.concat(by_id, *[F.lower(F.lpad(F.hex(c), 16, "0")) for c in ("n_tokens", "mix_tie")])
-    at = lambda df, goals: df.join(F.broadcast(goals) if few else goals, keys).withColumn("mix_hash", order).withColumn("mix_head", F.expr("left(mix_hash, length(mix_cut))"))
+    whole_order = F.concat(by_id, *[F.lower(F.lpad(F.hex(c), 16, "0")) for c in ("n_tokens", "mix_tie")])
+
+    def at(df: DataFrame, goals: DataFrame, digits: int) -> DataFrame:
+        """Rows with their leaf's goal and the first ``digits`` of their order; texts aren't read for those of the id."""
+        out = df.join(F.broadcast(goals) if few else goals, keys)
+        return out.withColumn("mix_hash", by_id if digits <= 32 else whole_order).withColumn("mix_head", F.expr("left(mix_hash, length(mix_cut))"))
 
     narrow = goals  # those whose slice is still to be cut
     for digits in range(SLICE, DIGITS + 1, SLICE):
-        slices = at(thin, narrow).where("mix_head = mix_cut").groupBy(*keys, "whole", "rest", "mix_before", F.substring("mix_hash", 1, digits).alias("mix_slice")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows"))
+        slices = at(thin, narrow, digits).where("mix_head = mix_cut").groupBy(*keys, "whole", "rest", "mix_before", F.substring("mix_hash", 1, digits).alias("mix_slice")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows"))
         run = Window.partitionBy(*keys).orderBy("mix_slice").rowsBetween(Window.unboundedPreceding, 0)
         cut = slices.withColumn("upto", F.sum("n").over(run) + F.col("mix_before")).where("upto > rest").groupBy(*keys, "whole", "rest").agg(F.min(F.struct("mix_slice", (F.col("upto") - F.col("n")).alias("before"), "rows")).alias("c"))
         cut = ws.written(cut.select(*keys, "whole", "rest", F.col("c.mix_slice").alias("mix_cut"), F.col("c.before").alias("mix_before"), "c.rows"), "cuts")
@@ -107,9 +111,9 @@ def mixed(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, in
     goals = ws.written(goals, "cut")
     ws.drop(thin)
 
-    full = at(rows, goals)
+    full = at(rows, goals, digits)
     sure = full.where("mix_head <> mix_cut").withColumn("copies", F.col("whole") + F.when(F.col("mix_head") < F.col("mix_cut"), 1).otherwise(0))
-    inside = Window.partitionBy(*keys).orderBy("mix_hash", "mix_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys).orderBy("mix_hash", "mix_id", "n_tokens", "mix_tie").rowsBetween(Window.unboundedPreceding, 0)
     edge = full.where("mix_head = mix_cut").withColumn("upto", F.sum("n_tokens").over(inside) + F.col("mix_before"))
     edge = edge.withColumn("copies", F.col("whole") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0)).drop("upto")
     out = sure.unionByName(edge).where("copies > 0")
