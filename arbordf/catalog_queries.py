@@ -213,6 +213,42 @@ def sc15_infer(spark, sf_dir):
     return AnalyticsSession(spark).sql(f"INFER SCHEMA OF '{sf_dir}/lineitem.parquet' AS PARQUET").select("COLUMN_NAME", "ORDINAL_POSITION", "DATA_TYPE", "NUMERIC_PRECISION")
 
 
+def geography(spark, sf_dir, shards: int) -> AnalyticsSession:
+    """Regions and nations in SQLite files, which is where queries over them run."""
+    import sqlite3
+    import uuid
+
+    from .operators.tables import shared_folder
+
+    names = []
+    for k in range(shards):
+        names.append(f"{shared_folder(spark).removeprefix('file://')}/geography-{uuid.uuid4().hex}.db")
+        con = sqlite3.connect(names[-1])
+        con.execute("CREATE TABLE region (r_regionkey INTEGER, r_name TEXT)")
+        con.execute("CREATE TABLE nation (n_nationkey INTEGER, n_name TEXT, n_regionkey INTEGER)")
+        con.executemany("INSERT INTO region VALUES (?, ?)", [tuple(r) for r in regions(spark, sf_dir) if r.r_regionkey % shards == k])
+        con.executemany("INSERT INTO nation VALUES (?, ?, ?)", [tuple(r) for r in nations(spark, sf_dir) if r.n_regionkey % shards == k])
+        con.commit()
+        con.close()
+    s = AnalyticsSession(spark)
+    s.sql(f"REGISTER ALL TABLES USING sqlite OPTIONS (database '{','.join(names)}')")
+    return s
+
+
+PUSHED = "SELECT r_name, count(*) AS n, min(n_name) AS first FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey BETWEEN 1 AND 22 AND n_name NOT LIKE '%9' GROUP BY r_name HAVING count(*) > 1 ORDER BY r_name DESC LIMIT 4"
+PARTIAL = "SELECT n_regionkey, avg(n_nationkey) AS a, count(*) AS n, sum(n_nationkey) AS s, max(n_name) AS last FROM nation WHERE n_nationkey > 1 GROUP BY n_regionkey"
+
+
+def g1_plan_text(spark, sf_dir):
+    """The SQL text of a Spark query over the source, run there as raw SQL."""
+    from .plans.frontend import Query
+    from .plans.pushdown import sql_of
+
+    s = geography(spark, sf_dir, 1)
+    text = sql_of(Query(s, "SELECT DISTINCT CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS parity, n_regionkey AS r FROM nation WHERE NOT (n_nationkey IN (3, 4) OR n_name IS NULL)").run())
+    return s.sql(f"``{text}`` USING sqlite OPTIONS (database '{s.registry.get('nation').options['database']}') AS (parity STRING, r BIGINT)")
+
+
 def n16_n17_counts(spark, sf_dir):
     from .operators.node_joins import rank_counts
     from .queries import heap
@@ -230,6 +266,7 @@ QUERIES: dict[str, Make] = {
     "an6_star": annotation_query("SELECT * @(every = 'column') FROM sales"),
     "an7_union": annotation_query("SELECT id @(side = 'left') FROM sales UNION SELECT id @(side = 'right') FROM sales"),
     "t2_describe_if_exists": t2_describe_if_exists, "s3_metadata": s3_metadata, "s4_schemas": s4_schemas, "s5_session_context": s5_session, "s8_relation_sql_name": s8_relation_names,
+    "sc12_pushdown": lambda spark, sf_dir: geography(spark, sf_dir, 1).sql(PUSHED), "a9_sc12_shards": lambda spark, sf_dir: geography(spark, sf_dir, 3).sql(PARTIAL), "g1_plan_text": g1_plan_text,
     "sc15_infer_schema": sc15_infer, "n16_n17_rank_counts": n16_n17_counts,
 }
 
@@ -273,5 +310,8 @@ ORACLE_SQL: dict[str, str] = {
     "s4_schemas": f"SELECT table_name AS TABLE_NAME, * FROM ({COLUMNS}, table_name, {PRECISION} AS NUMERIC_PRECISION FROM information_schema.columns WHERE {IN_TABLES})".replace("SELECT table_name AS TABLE_NAME, * FROM", "SELECT table_name AS TABLE_NAME, * EXCLUDE (table_name) FROM"),
     "s5_session_context": "SELECT 'spark.arbordf.query.' || r_regionkey AS KEY, r_name AS VALUE FROM region",
     "s8_relation_sql_name": "SELECT 'r_' || r_regionkey AS RELATION_NAME, 'r_' || r_regionkey AS SQL_NAME FROM region UNION ALL SELECT 'n_' || n_nationkey, 'n_' || n_nationkey FROM nation",
+    "sc12_pushdown": PUSHED,
+    "a9_sc12_shards": PARTIAL.replace("sum(n_nationkey)", "sum(n_nationkey)::BIGINT").replace("SELECT n_regionkey,", "SELECT n_regionkey::BIGINT AS n_regionkey,"),
+    "g1_plan_text": "SELECT DISTINCT CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS parity, n_regionkey::BIGINT AS r FROM nation WHERE n_nationkey NOT IN (3, 4)",
     "sc15_infer_schema": f"{COLUMNS}, {PRECISION} AS NUMERIC_PRECISION FROM information_schema.columns WHERE table_name = 'lineitem'",
 }

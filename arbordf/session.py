@@ -13,7 +13,7 @@ from .errors import AnalysisError
 from .functions import nodes, scalars
 from .operators import currency
 from .operators.currency import BasicConversion, ErpConversion
-from .plans import describe, engine_ddl
+from .plans import describe, engine_ddl, pushdown
 from .plans.annotations import parse as parse_annotation
 from .plans.ddl import Ddl
 from .plans.frontend import Query
@@ -73,7 +73,9 @@ class AnalyticsSession:
         t = Cursor(text)
         if t.peek() and (t.peek().upper in ("SELECT", "WITH", "FROM", "VALUES") or t.peek().kind == "raw" or t.peek().text == "("):
             self.node_columns.clear()
-            return Query(self, text.rstrip().rstrip(";")).run()
+            df = Query(self, text.rstrip().rstrip(";")).run()
+            done = pushdown.pushed(df)
+            return df if done is None else done
         return self.spark.sql(text)
 
     def table(self, name: str, inside: frozenset[str] = frozenset()) -> DataFrame:

@@ -186,3 +186,12 @@ class SparkProvider:
 register_provider("memory", MemoryProvider())
 for _f in ("parquet", "orc", "csv", "json", "jdbc", "text"):
     register_provider(_f, SparkProvider(_f))
+
+
+def _register_sqlite() -> None:
+    from .sqlite import SqliteProvider
+
+    register_provider("sqlite", SqliteProvider())
+
+
+_register_sqlite()

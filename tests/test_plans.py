@@ -44,7 +44,8 @@ def test_sql_text():
     t = Aliased(Table("t", "s"), "a")
     q = Select(((Col("x", "a"), None), (Call("count", ()), "n")), Join(t, Table('o"dd'), "LEFT", Call("=", (Col("x", "a"), Col("y")))), Call("AND", (Call("IN", (Col("z"), Lit("it's"), Lit(None))), Call("BETWEEN", (Col("d"), Lit(date(2020, 1, 2)), Lit(Decimal("1.50")))))), (Col("x", "a"),), Call(">", (Call("count", ()), Lit(1))), ((Col("n"), False),), 5, True)
     assert q.sql() == 'SELECT DISTINCT "a"."x", COUNT(*) AS "n" FROM "s"."t" AS "a" LEFT JOIN "o""dd" ON ("a"."x" = "y") WHERE (("z" IN (\'it\'\'s\', NULL)) AND ("d" BETWEEN DATE \'2020-01-02\' AND 1.50)) GROUP BY "a"."x" HAVING (COUNT(*) > 1) ORDER BY "n" DESC LIMIT 5'
-    assert SetOp(Select((), Table("a")), Select((), Table("b")), "EXCEPT").sql() == '(SELECT * FROM "a") EXCEPT (SELECT * FROM "b")'
+    assert SetOp(Select((), Table("a")), Select((), Table("b")), "EXCEPT").sql() == 'SELECT * FROM "a" EXCEPT SELECT * FROM "b"'
+    assert SetOp(Select((), Table("a"), limit=1), Select((), Table("b"))).sql() == '(SELECT * FROM "a" LIMIT 1) UNION ALL SELECT * FROM "b"'
     assert Call("CAST", (Col("x"),), type=DecimalType(5, 2)).sql() == 'CAST("x" AS DECIMAL(5,2))' and Call("CASE", (Call("IS NULL", (Col("x"),)), Lit(1), Lit(True))).sql() == 'CASE WHEN ("x" IS NULL) THEN 1 ELSE TRUE END'
     with pytest.raises(AnalysisError):
         Call("CAST", (Col("x"),), type=ArrayType(IntegerType())).sql()
@@ -82,3 +83,28 @@ def test_streaming_conversion(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert float(spark.table("converted_rows").first().converted) == 3.0
+
+
+def test_source_filters_split_rename_and_compile(spark):
+    """Every condition, whole or in two parts, keeps the rows that Spark keeps."""
+    import itertools
+
+    from arbordf.plans import filters as X
+    from arbordf.plans.sqlgen import Call, Col, Lit
+
+    a, b, s = Col("a"), Col("b"), Col("s")
+    simple = [Call("=", (a, Lit(1))), Call("<>", (a, b)), Call("<", (b, Lit(2))), Call("IN", (a, Lit(1), Lit(None))), Call("BETWEEN", (b, Lit(0), Lit(1))), Call("IS NULL", (a,)), Call("IS NOT NULL", (s,)), Call("LIKE", (s, Lit("x%"))), Call(">=", (s, Lit("xy")))]
+    whole = [*simple, *(Call("NOT", (c,)) for c in simple), *(Call(op, pair) for op in ("AND", "OR") for pair in itertools.combinations(simple, 2)), Call("NOT", (Call("OR", (simple[1], Call("AND", (simple[0], simple[7])))),))]
+    values = [(x, y, z) for x in (None, 0, 1) for y in (None, 1, 3) for z in (None, "x", "xyz", "q")]
+    df = spark.createDataFrame(values, "a int, b int, s string").coalesce(1).cache()
+    for c in whole:
+        want = {tuple(r) for r in df.where(c.sql().replace('"', "`")).collect()}
+        keep = X.compiled(c)
+        rows = [dict(zip("abs", v)) for v in values]
+        assert {tuple(r.values()) for r in rows if keep(r)} == want, c.sql()
+        rest, own = X.split(c, {"a"})
+        parts = [X.compiled(p) for p in (rest, own) if p is not None]
+        assert {tuple(r.values()) for r in rows if all(p(r) for p in parts)} == want
+        assert own is None or X.columns(own) <= {"a"}
+        moved = X.renamed(c, {"a": "z"})
+        assert "a" not in X.columns(moved) and {tuple(r.values()) for r in rows if X.compiled(moved)(r | {"z": r["a"]})} == want
