@@ -29,11 +29,13 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def session(spark: SparkSession, sf_dir: str, *sql: str) -> AnalyticsSession:
-    """A session of the dialect with the base tables that ``sql`` names as views of the directory asked for."""
+    """A session of the dialect that knows the base tables that ``sql`` names, in the directory asked for; Spark's own
+    views of these names stay as they are."""
+    s = AnalyticsSession(spark)
     for name in TABLES:
         if any(name in text for text in sql):
-            t(spark, sf_dir, name).createOrReplaceTempView(name)
-    return AnalyticsSession(spark)
+            s.register(name, t(spark, sf_dir, name))
+    return s
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +196,7 @@ def c2_cc_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = session(spark, sf_dir)
     s.register("cc_rates", rates(spark))
     s.basic.options["table"] = "cc_rates"
-    amounts(spark, sf_dir).createOrReplaceTempView("cc_amounts")
+    s.register("cc_amounts", amounts(spark, sf_dir))
     return s.sql("SELECT src, count(cc(amount, src, tgt, d)) AS n, round(cast(sum(cc(amount, src, tgt, d)) AS double), 2) AS total FROM cc_amounts GROUP BY src")
 
 
