@@ -29,7 +29,8 @@ class TableProvider(Protocol):
 
 @runtime_checkable
 class CreatableProvider(Protocol):
-    """Tables that can be made, dropped and appended to."""
+    """Tables that can be made, dropped and appended to. A provider may name the kinds it makes (temporary,
+    persistent) in ``table_kinds``; the option table_kind tells it which one a statement asks for."""
 
     def create_table(self, spark: SparkSession, name: str, schema: StructType | None, data: DataFrame | None, options: Options) -> None: ...
     def drop_table(self, name: str, options: Options) -> None: ...
@@ -113,6 +114,7 @@ class MemoryProvider:
     functions: dict[str, PartitionFunction] = field(default_factory=dict)
     schemes: list[PartitionScheme] = field(default_factory=list)
     statements: list[str] = field(default_factory=list)
+    made: dict[str, str] = field(default_factory=dict)
 
     def table_names(self, options):
         return sorted(self.frames)
@@ -124,6 +126,7 @@ class MemoryProvider:
 
     def create_table(self, spark, name, schema, data, options):
         self.frames[name] = data if data is not None else spark.createDataFrame([], schema or "field INT")
+        self.made[name] = options.get("table_kind", "persistent")
 
     def drop_table(self, name, options):
         self.frames.pop(name, None)

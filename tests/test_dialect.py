@@ -270,3 +270,27 @@ def test_deep_describe_and_insert(s, spark):
 def test_table_functions_can_be_added(s):
     s.table_functions["ROW_COUNT"] = lambda df: df.groupBy().count()
     assert rows(s.sql("SELECT * FROM row_count(SELECT * FROM animals)")) == [(4,)]
+
+
+def test_notebook_command(s):
+    from arbordf.treeview import interpret
+
+    assert interpret(s, "SELECT name, pred FROM animals WHERE succ < 3 ORDER BY succ", 1) == "<table><tr><th>name</th><th>pred</th></tr><tr><td>a</td><td></td></tr></table><p>first 1 rows</p>"
+    tree = interpret(s, f"TREEVIEW succ pred name SELECT name, succ, pred FROM {H}")
+    assert tree.startswith("<ul><li>a<ul>") and "<li>b<ul><li>d</li></ul></li>" in tree
+    for bad in ("treeview succ pred name", "treeview succ SUCC name SELECT * FROM animals"):
+        with pytest.raises(AnalysisError):
+            interpret(s, bad)
+
+
+def test_providers_say_which_tables_they_make(s):
+    class Only(providers.MemoryProvider):
+        table_kinds = frozenset({"temporary"})
+
+    made = Only()
+    providers.register_provider("only", made)
+    s.sql("CREATE TEMPORARY TABLE short (a INT) USING only")
+    assert made.made["short"] == "temporary"
+    with pytest.raises(AnalysisError, match="persistent"):
+        s.sql("CREATE TABLE long (a INT) USING only")
+    assert ("short", "TRUE") in [(r[0], r[1]) for r in rows(s.sql("SELECT TABLE_NAME, IS_TEMPORARY FROM SYS.TABLES"))]
