@@ -79,3 +79,42 @@ def test_plain_values_are_no_secrets(spark, findings):
     texts = ["password: required", "author: somebody", "token = getToken()", "the getElementById and backgroundColor methods", "Wirtschaftsleben und Landschaftsmaler", "token: string, secret = None", "password = \"\" and \"x\""]
     rows = S.secrets(spark.createDataFrame([(i, t, "src1", "") for i, t in enumerate(texts)], SCHEMA), findings).collect()
     assert not [x.cand for x in rows if x.is_secret]
+
+
+def plain_features(cand, before, after, path):
+    """Every feature by its definition."""
+    n, low = max(1, len(cand)), cand.lower()
+    count = lambda p, of=cand: len(re.findall(p, of)) / n
+    words = "|".join(sorted((w for w in S.DICTIONARY if len(w) > 3), key=lambda w: (-len(w), w)))
+    near = before.lower()[-24:] + " " + after.lower()[:16]
+    found = lambda p, of: float(re.search(p, of) is not None)
+    return {
+        "length": n, "digits": count("[0-9]"), "uppers": count("[A-Z]"), "lowers": count("[a-z]"), "symbols": count("[^A-Za-z0-9]"), "hexes": count("[0-9a-fA-F]"),
+        "turns": sum(a.isalpha() and b.isdigit() or a.isdigit() and b.isalpha() for a, b in zip(cand, cand[1:]) if (a + b).isascii()) / n,
+        "same_case": sum(a.islower() and b.islower() or a.isupper() and b.isupper() for a, b in zip(cand, cand[1:]) if (a + b).isascii()) / n,
+        "distinct": len(set(low)) / n, "dictionary": 1 - len(re.sub(words, "", low)) / n, "vowels": count("[aeiou]", low), "dots": count("[.]"), "slashes": count("/"),
+        "all_digits": found(r"^[0-9./+_-]+$", cand), "prefix": float(cand.startswith(("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "xoxb-", "xoxa-", "xoxp-", "sk_live_", "sk-", "AIza", "glpat-", "eyJ"))),
+        "quoted": float(before[-1:] in ("\"", "'", "`") and before != "" and after[:1] in ("\"", "'", "`") and after != ""),
+        "other_word": found(rf"\b({S.OTHER_WORDS})", near), "test_path": found(S.TEST_PATH, path.lower()), "own_words": found("example|changeme|your_|dummy|placeholder|xxxx|sample|1234567", low),
+    }
+
+
+def test_features_equal_their_definitions(spark, findings):
+    rows = S.features(findings.orderBy("cand").limit(400)).collect()
+    odd = spark.createDataFrame([("", "", "", ""), ("A" * 5000, "é=", "", "tests/x"), ("Pässword1", "pass = '", "'", "")], "cand string, before string, after string, path string")
+    for r in [*rows, *S.features(odd).collect()]:
+        for name, want in plain_features(r.cand, r.before, r.after, r.path).items():
+            assert r[name] == pytest.approx(want, abs=1e-12), (name, r.cand)
+
+
+def test_repeated_rows_ties_and_clashing_columns(spark, findings):
+    """Twins are scored alike; a score of exactly the threshold is a secret; other columns don't matter."""
+    text = 'password = "hunter2!x"; hunter2!x'
+    df = spark.createDataFrame([(1, text, "src1", "own", 0.1, 7)] * 2 + [(2, text, "src1", "own", 0.1, 7)], "doc_id long, text string, source string, cand string, score double, start int")
+    rows = S.secrets(df, findings).collect()
+    by = {}
+    for r in rows:
+        by.setdefault((r.start, r.end, r.cand), []).append((r.score, r.is_secret))
+    assert by and all(len(v) == 3 and len(set(v)) == 1 for v in by.values())
+    none = spark.createDataFrame([], findings.schema)
+    assert {(r.score, r.is_secret) for r in S.secrets(df, none).collect()} == {(0.5, True)}
