@@ -1,13 +1,21 @@
-"""System tables over the registry, the session and providers."""
+"""System tables over the registry, the session and providers.
+
+A query's own columns and conditions come along: rows that its filter excludes and columns it doesn't name are left
+out before they reach Spark, and a provider that lists its catalog itself (``CatalogProvider``) gets both.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..errors import AnalysisError, EngineError
 from ..sources.infer import numeric
-from ..sources.providers import PartitionProvider, TableProvider, ViewProvider, needs, resolve
-from . import describe
+from ..sources.providers import CatalogProvider, PartitionProvider, TableProvider, ViewProvider, needs, resolve
+from . import describe, filters
+from .sqlgen import Expr
 
 LOCAL = {"TABLES", "OBJECT_DEPENDENCIES", "TABLE_METADATA", "SCHEMAS", "SESSION_CONTEXT", "RELATION_SQL_NAME"}
 REMOTE = {"TABLES", "TABLE_METADATA", "SCHEMAS", "PARTITION_FUNCTIONS", "PARTITION_SCHEMES"}
@@ -16,16 +24,41 @@ DEPENDENCIES = "BASE_SCHEMA_NAME STRING, BASE_OBJECT_NAME STRING, BASE_OBJECT_TY
 FUNCTIONS = "ID STRING, TYPE STRING, COLUMN_NAME STRING, COLUMN_TYPE STRING, BOUNDARIES STRING, BLOCK_SIZE INT, PARTITIONS INT, MIN_PARTITIONS INT, MAX_PARTITIONS INT"
 
 
-def system_table(session, name: str, provider: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
-    """The system table ``name`` (any case) of this session, or of a provider."""
+#: Schemas by system table.
+ALL = {"TABLES": TABLES, "OBJECT_DEPENDENCIES": DEPENDENCIES, "TABLE_METADATA": "TABLE_NAME STRING, METADATA_KEY STRING, METADATA_VALUE STRING", "SCHEMAS": describe.SCHEMAS,
+       "SESSION_CONTEXT": "SECTION STRING, KEY STRING, VALUE STRING", "RELATION_SQL_NAME": "RELATION_NAME STRING, SQL_NAME STRING", "PARTITION_FUNCTIONS": FUNCTIONS, "PARTITION_SCHEMES": "ID STRING, PARTITION_FUNCTION_ID STRING, AUTO_COLOCATION BOOLEAN"}
+
+
+def kept(rows: Sequence[tuple], names: list[str], wanted: list[str], where: Expr | None) -> list[tuple]:
+    """The rows that ``where`` holds for, with the columns ``wanted``."""
+    holds = filters.compiled(where) if where is not None else None
+    at = [names.index(c) for c in wanted]
+    return [tuple(r[i] for i in at) for r in rows if holds is None or holds(dict(zip(names, r, strict=True)))]
+
+
+def system_table(session, name: str, provider: str | None = None, options: dict[str, str] | None = None, columns: set[str] | None = None, where: Expr | None = None) -> DataFrame:
+    """The system table ``name`` (any case) of this session, or of a provider. ``columns``: those that the query names
+    (None: all); ``where``: a condition that it demands."""
     name, options = name.upper(), options or {}
     if name not in LOCAL | REMOTE:
         raise AnalysisError(f"no system table {name}")
     if name not in (REMOTE if provider else LOCAL):
         raise AnalysisError(f"system table {name} is not available {'from a provider' if provider else 'without a provider'}")
-    make, spark = session.spark.createDataFrame, session.spark
+    spark = session.spark
+    schema: StructType = _parse_datatype_string(ALL[name])
+    wanted = [c for c in schema.names if columns is None or c in columns] or schema.names[:1]
+    if where is not None and not filters.columns(where) <= set(schema.names):
+        where = None
+
+    def make(rows: Sequence[tuple], _: str) -> DataFrame:
+        return spark.createDataFrame(kept(rows, schema.names, wanted, where), StructType([schema[c] for c in wanted]))
+
     flag = lambda b: "TRUE" if b else "FALSE"
     found = resolve(provider) if provider else None
+    if isinstance(found, CatalogProvider):
+        listed = found.catalog(name, wanted, where, options)
+        if listed is not None:
+            return spark.createDataFrame(listed, StructType([schema[c] for c in wanted]))
     if name == "TABLES":
         if found:
             rows = [(t, "FALSE", "TABLE", provider) for t in needs(found, TableProvider, "table listings").table_names(options)]

@@ -65,6 +65,14 @@ class PartitionProvider(Protocol):
     def partition_schemes(self, options: Options) -> list[PartitionScheme]: ...
 
 
+@runtime_checkable
+class CatalogProvider(Protocol):
+    """System tables listed by the source itself: rows of the columns asked for, of which those may be left out that
+    ``where`` (a condition of sqlgen; None for none) doesn't hold for. None: not a table it lists."""
+
+    def catalog(self, table: str, columns: list[str], where: object | None, options: Options) -> list[tuple] | None: ...
+
+
 @runtime_checkable
 class DdlProvider(Protocol):
     """Engine statements (graphs, collections, series) as normalised text."""

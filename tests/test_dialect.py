@@ -294,3 +294,39 @@ def test_providers_say_which_tables_they_make(s):
     with pytest.raises(AnalysisError, match="persistent"):
         s.sql("CREATE TABLE long (a INT) USING only")
     assert ("short", "TRUE") in [(r[0], r[1]) for r in rows(s.sql("SELECT TABLE_NAME, IS_TEMPORARY FROM SYS.TABLES"))]
+
+
+def test_system_tables_are_pruned_and_filtered(s, monkeypatch):
+    from arbordf.plans import systables
+
+    seen = []
+    whole = systables.kept
+    monkeypatch.setattr(systables, "kept", lambda rows, names, wanted, where: seen.append((wanted, out := whole(rows, names, wanted, where))) or out)
+    for i in range(5):
+        s.sql(f"CREATE VIEW v{i} AS SELECT name FROM animals")
+    for sql, want, columns, n in [
+        ("SELECT TABLE_NAME FROM SYS.TABLES WHERE TABLE_NAME IN ('v1', 'v2') AND KIND = 'VIEW' AND length(TABLE_NAME) > 1", [("v1",), ("v2",)], ["TABLE_NAME", "KIND"], 2),
+        ("SELECT a.TABLE_NAME FROM SYS.TABLES AS a WHERE a.TABLE_NAME LIKE 'v%' AND NOT a.TABLE_NAME = 'v0' AND PROVIDER IS NULL", [(f"v{i}",) for i in range(1, 5)], ["TABLE_NAME", "PROVIDER"], 5),
+        ("SELECT TABLE_NAME FROM SYS.TABLES WHERE TABLE_NAME = 'v1' OR TABLE_NAME = 'v3'", [("v1",), ("v3",)], ["TABLE_NAME"], 5),
+        ("SELECT count(*) AS n FROM SYS.TABLES WHERE TABLE_NAME <> 'v1'", [(4,)], ["TABLE_NAME"], 4),
+        ("SELECT * FROM SYS.TABLES WHERE TABLE_NAME = 'v2'", [("v2", "TRUE", "VIEW", None)], ["TABLE_NAME", "IS_TEMPORARY", "KIND", "PROVIDER"], 1),
+        ("SELECT DEPENDENT_OBJECT_NAME FROM SYS.TABLES JOIN SYS.OBJECT_DEPENDENCIES ON TABLE_NAME = DEPENDENT_OBJECT_NAME WHERE TABLE_NAME = 'v4'", [("v4",)], None, None),
+    ]:
+        seen.clear()
+        assert sorted(rows(s.sql(sql))) == want
+        if columns:
+            assert seen[0][0] == columns and len(seen[0][1]) == n
+
+
+def test_providers_list_their_own_catalog(s):
+    class Listing(providers.MemoryProvider):
+        def catalog(self, table, columns, where, options):
+            self.asked = table, columns, None if where is None else where.sql()
+            return [tuple(f"{c} 1" for c in columns)] if table == "SCHEMAS" else None
+
+    p = Listing()
+    providers.register_provider("listing", p)
+    got = s.sql("SELECT COLUMN_NAME, TABLE_NAME FROM SYS.SCHEMAS USING listing WHERE TABLE_NAME = 'TABLE_NAME 1'")
+    assert rows(got) == [("COLUMN_NAME 1", "TABLE_NAME 1")] and p.asked == ("SCHEMAS", ["TABLE_NAME", "COLUMN_NAME"], "(\"TABLE_NAME\" = 'TABLE_NAME 1')")
+    p.frames["kept"] = s.spark.range(1)
+    assert rows(s.sql("SELECT TABLE_NAME FROM SYS.TABLES USING listing")) == [("kept",)]
