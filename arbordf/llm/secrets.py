@@ -66,7 +66,7 @@ def features(df: DataFrame) -> DataFrame:
     cols = {
         "length": n.cast("double"), "digits": share("[0-9]"), "uppers": share("[A-Z]"), "lowers": share("[a-z]"), "symbols": share("[^A-Za-z0-9]"),
         "hexes": share("[0-9a-fA-F]"), "turns": share("(?<=[a-zA-Z])(?=[0-9])|(?<=[0-9])(?=[a-zA-Z])"), "same_case": share("(?<=[a-z])(?=[a-z])|(?<=[A-Z])(?=[A-Z])"),
-        "distinct": F.size(F.array_distinct(F.split(low, ""))) / n, "dictionary": 1 - rest / n, "common_pairs": share("(?=th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt)", low),
+        "distinct": F.when(c == "", 0).otherwise(F.size(F.array_distinct(F.split(low, "")))) / n, "dictionary": 1 - rest / n, "common_pairs": share("(?=th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt)", low),
         "vowels": share("[aeiou]", low), "dots": share("[.]"), "slashes": share("[/]"), "all_digits": flag(c.rlike("^[0-9./+_-]+$")),
         "uuid": flag(low.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")), "prefix": flag(c.rlike("^(AKIA|ASIA|ghp_|gho_|github_pat_|xox[bap]-|sk_live_|sk-|AIza|glpat-|eyJ)")),
         "assigned": flag(F.col("before").rlike("[=:]\\s*[\"'`]?$")), "quoted": flag(F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")),
