@@ -61,9 +61,11 @@ class AnalyticsSession:
                 return Ddl(self, text).engine()
             return Ddl(self, text).run() if Ddl.knows(c) else self._query(text)
         finally:
-            # the result is analysed by now and holds the plans themselves
+            # the result is analysed by now and holds the plans themselves; Spark's own dropTempView would also
+            # uncache a DataFrame that a view stands for
+            names = self.spark._jsparkSession.sessionState().catalog()
             for name in self._views[at:]:
-                self.spark.catalog.dropTempView(name)
+                names.dropTempView(name)
             del self._views[at:]
 
     def script(self, text: str) -> list[DataFrame]:

@@ -330,3 +330,19 @@ def test_providers_list_their_own_catalog(s):
     assert rows(got) == [("COLUMN_NAME 1", "TABLE_NAME 1")] and p.asked == ("SCHEMAS", ["TABLE_NAME", "COLUMN_NAME"], "(\"TABLE_NAME\" = 'TABLE_NAME 1')")
     p.frames["kept"] = s.spark.range(1)
     assert rows(s.sql("SELECT TABLE_NAME FROM SYS.TABLES USING listing")) == [("kept",)]
+
+
+def test_statements_leave_no_views_and_no_cache_behind(s, spark):
+    kept = spark.range(10).cache()
+    s.register("kept", kept)
+    names = lambda: {t.name for t in spark.catalog.listTables() if t.name.startswith("__arbordf")}
+    before = names()
+    out = s.sql("SELECT count(*) AS n FROM kept AS a JOIN (SELECT id @(k = 1) FROM kept) AS b ON a.id = b.id")
+    assert names() == before and out.first().n == 10 and kept.storageLevel.useMemory
+    with pytest.raises(Exception):
+        s.sql("SELECT nothing FROM kept")
+    assert names() == before
+    other = AnalyticsSession(spark)
+    other.register("kept", spark.range(3))
+    assert out.first().n == 10 and other.sql("SELECT count(*) AS n FROM kept").first().n == 3
+    kept.unpersist()
