@@ -215,6 +215,7 @@ def sc15_infer(spark, sf_dir):
 
 def geography(spark, sf_dir, shards: int) -> AnalyticsSession:
     """Regions and nations in SQLite files, which is where queries over them run."""
+    import re
     import sqlite3
     import uuid
 
@@ -222,7 +223,8 @@ def geography(spark, sf_dir, shards: int) -> AnalyticsSession:
 
     names = []
     for k in range(shards):
-        names.append(f"{shared_folder(spark).removeprefix('file://')}/geography-{uuid.uuid4().hex}.db")
+        folder = re.sub("^file:/+", "/", shared_folder(spark))
+        names.append(f"{folder}/geography-{uuid.uuid4().hex}.db")
         con = sqlite3.connect(names[-1])
         con.execute("CREATE TABLE region (r_regionkey INTEGER, r_name TEXT)")
         con.execute("CREATE TABLE nation (n_nationkey INTEGER, n_name TEXT, n_regionkey INTEGER)")

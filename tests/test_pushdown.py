@@ -58,6 +58,8 @@ WHOLE = [
     "SELECT grp AS k FROM items UNION SELECT g FROM groups",
     "SELECT DISTINCT name, grp FROM items WHERE id % 3 = 1",
     "SELECT label FROM groups WHERE label = 'O''ne'",
+    "SELECT id FROM items WHERE id > 3 AND 50 >= id AND id >= 10 AND id < 60 AND grp = 1 AND grp >= 1 AND name <> 'n1'",
+    "SELECT id FROM items WHERE id > 30 AND id < 20",
     "WITH big AS (SELECT * FROM items WHERE price >= 20) SELECT count(*) AS n FROM big",
 ]
 
@@ -123,3 +125,13 @@ def test_raw_sql_and_listing(sources, tmp_path):
 def test_nothing_is_looked_at_without_sources(spark, monkeypatch):
     monkeypatch.setattr(pushdown, "SOURCES", {})
     assert pushdown.pushed(spark.range(3)) is None
+
+
+def test_pushed_filters_are_reduced(sources):
+    from arbordf.plans.frontend import Query
+
+    s = sources["one"]
+    text = sql_of(Query(s, "SELECT id FROM items WHERE id > 3 AND 50 >= id AND id >= 10 AND id < 60").run())
+    where = text[text.index("WHERE") :]
+    assert ">= 10" in where and "<= 50" in where and "> 3" not in where and "< 60" not in where
+    assert "(1 = 0)" in sql_of(Query(s, "SELECT id FROM items WHERE id > 30 AND id < 20").run())
