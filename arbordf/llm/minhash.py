@@ -279,9 +279,10 @@ def resolved(rows: DataFrame, num: int, den: int, block_rows: int = 2048, block_
     return rows.select("key", "lo", "hi", "rep", "block", "comp", "keys", "sh").mapInArrow(run, "a long, b long")
 
 
-def grouped(docs: DataFrame, ws: Workspace, shingle: int, num: int, den: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, ws: Workspace, shingle: int, num: int, den: int, bands: int, rows: int, small: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(signatures as written, groups). A group row (h1, h2, comp, label) is a distinct set that several
-    documents have or that links with another: its component and the least doc_id in it."""
+    documents have or that links with another: its component and the least doc_id in it. Buckets of several sets
+    are broadcast when a count shows at most ``small`` (16 MB), else joined by a shuffle."""
     docs = docs.select("doc_id", "text")
     sig = ws.written(signatures(docs, shingle, bands, rows), "sig")
     some = sig.where("doc_id is not null and n_shingles > 0")
@@ -289,8 +290,9 @@ def grouped(docs: DataFrame, ws: Workspace, shingle: int, num: int, den: int, ba
     # a set's number: any will do that no other set has, and once written it stays
     reps = ws.written(same.select("h1", "h2", F.monotonically_increasing_id().alias("rep"), F.col("m.doc_id").alias("low"), "hi", F.col("m.keys").alias("keys")), "reps")
     buckets = reps.select("rep", F.posexplode("keys").alias("band", "key"))
-    leaders = buckets.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
-    members = ws.written(buckets.join(leaders, "key").select("key", "band", "rep", "leader"), "members")
+    leaders = ws.written(buckets.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader"), "leaders")
+    # where few buckets have several members, these need no shuffle, and a very large bucket is no single task
+    members = ws.written(buckets.join(F.broadcast(leaders) if leaders.count() <= small else leaders, "key").select("key", "band", "rep", "leader"), "members")
 
     ids = ws.written(members.select("rep").distinct().join(reps.select("rep", "low", "h1", "h2"), "rep"), "ids")
     some_docs = semi_join(docs.withColumn("low", F.col("doc_id").cast("long")), ws.written(ids.select("low").distinct(), "lows"), "low")
@@ -314,7 +316,7 @@ def grouped(docs: DataFrame, ws: Workspace, shingle: int, num: int, den: int, ba
     of = reps.select("h1", "h2", "rep", "low", "hi").join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     of = of.where("comp is not null or hi > low").select("h1", "h2", F.coalesce("comp", "rep").alias("comp"), "low")
     groups = ws.written(of.join(of.groupBy("comp").agg(F.min("low").alias("label")), "comp").select("h1", "h2", "comp", "label"), "groups")
-    ws.drop(reps, members, ids, sets, links, rest)
+    ws.drop(reps, leaders, members, ids, sets, links, rest)
     return sig, groups
 
 

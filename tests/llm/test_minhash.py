@@ -155,3 +155,8 @@ def test_chain_component(spark):
     got = {r.node: r.comp for r in connected_components(edges, Workspace(spark, "t")).collect()}
     assert got == {**{i: 0 for i in range(n)}, 500: 500, 501: 500, 502: 500}
     assert connected_components(spark.createDataFrame([], "a long, b long"), Workspace(spark, "t")).count() == 0
+    # one node that nearly all others link with, some through a second one, each link twice and both ways
+    star = spark.range(1, 30_000).selectExpr("id AS a", "if(id % 10 = 0, 29999L, 0L) AS b")
+    star = star.union(star.selectExpr("b", "a")).union(spark.createDataFrame([(29_999, 0), (40_000, 40_001)], "a long, b long"))
+    got = connected_components(star, Workspace(spark, "t"))
+    assert {tuple(r) for r in got.groupBy("comp").count().collect()} == {(0, 30_000), (40_000, 2)}
