@@ -90,7 +90,7 @@ def v10_v12_provider_catalog(spark, sf_dir):
     s.sql("REGISTER ALL TABLES IF NOT EXISTS USING q")
     s.sql("REGISTER ALL TABLES USING q IGNORING CONFLICTS")
     shown = s.sql("SHOW TABLES USING q").join(s.sql("SELECT TABLE_NAME, PROVIDER FROM SYS.TABLES"), "TABLE_NAME")
-    return shown.crossJoin(F.broadcast(s.sql("SELECT count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey")))
+    return shown.withColumn("n", F.lit(s.sql("SELECT count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey").first().n).cast("long"))
 
 
 def v13_describe_using(spark, sf_dir):
