@@ -246,13 +246,28 @@ def bucket_links(key: int, block: np.ndarray, comp: np.ndarray, keys: np.ndarray
     return list(found.values())
 
 
+def dealt(rows: DataFrame, block_rows: int, block_mb: int) -> DataFrame:
+    """``rows`` (key, comp, rep, sh and any others), each once for every block its own is to meet: with block, lo, hi.
+
+    A bucket's components of more than a block have blocks of their own, which need not meet each other; all other
+    members share blocks. So a bucket with one large component of n members and m others comes to some
+    2 n m / block_rows rows, and not to n^2 / block_rows."""
+    blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("bytes") / (block_mb * 2**20))).cast("int")
+    per = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum(F.length("sh")).alias("bytes")).withColumn("own", F.when(blocks > 1, F.col("comp")))
+    groups = per.groupBy("key", "own").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select("key", F.col("own").alias("g"), blocks.alias("nb"))
+    upto = Window.partitionBy("key").orderBy(F.col("g").asc_nulls_first())
+    groups = groups.withColumn("first", F.sum("nb").over(upto).cast("int") - F.col("nb")).withColumn("total", F.sum("nb").over(Window.partitionBy("key")).cast("int"))
+    per = per.select("key", "comp", "own").join(groups.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("own").eqNullSafe(F.col("g"))).drop("k", "g")
+    rows = rows.join(per, ["key", "comp"]).withColumn("block", F.expr("first + int(pmod(xxhash64(rep), nb))"))
+    rows = rows.withColumn("other", F.explode(F.expr("filter(sequence(0, total - 1), o -> own IS NULL OR o < first OR o >= first + nb)")))
+    return rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("own", "nb", "first", "total", "other")
+
+
 def resolved(rows: DataFrame, num: int, den: int, block_rows: int = 2048, block_mb: int = 32) -> DataFrame:
     """Links (a, b) between components inside buckets, losing none. rows: (key, rep, comp, keys, sh). A
-    bucket over ``block_rows`` rows or ``block_mb`` is dealt in blocks, and each two blocks meet in one task."""
-    sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.length("sh")) / (block_mb * 2**20))).cast("int").alias("nb"))
-    rows = rows.join(sizes, "key").withColumn("block", F.expr("int(pmod(xxhash64(rep), nb))"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
+    bucket over ``block_rows`` rows or ``block_mb`` is dealt in blocks, and two blocks meet in one task unless both
+    are of one component."""
+    rows = dealt(rows, block_rows, block_mb).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
 
     def run(batches):
         at, held = None, []
@@ -279,10 +294,10 @@ def resolved(rows: DataFrame, num: int, den: int, block_rows: int = 2048, block_
     return rows.select("key", "lo", "hi", "rep", "block", "comp", "keys", "sh").mapInArrow(run, "a long, b long")
 
 
-def grouped(docs: DataFrame, ws: Workspace, shingle: int, num: int, den: int, bands: int, rows: int, small: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, ws: Workspace, shingle: int, num: int, den: int, bands: int, rows: int, small: int = 250_000) -> tuple[DataFrame, DataFrame]:
     """(signatures as written, groups). A group row (h1, h2, comp, label) is a distinct set that several
     documents have or that links with another: its component and the least doc_id in it. Buckets of several sets
-    are broadcast when a count shows at most ``small`` (16 MB), else joined by a shuffle."""
+    are broadcast when a count shows at most ``small`` (28 MB), else joined by a shuffle."""
     docs = docs.select("doc_id", "text")
     sig = ws.written(signatures(docs, shingle, bands, rows), "sig")
     some = sig.where("doc_id is not null and n_shingles > 0")

@@ -73,6 +73,25 @@ def test_large_buckets_are_resolved_in_blocks(spark, monkeypatch):
     assert found(df, shingle=4) == brute(rows, 4)
 
 
+def test_blocks_of_one_component_do_not_meet(spark):
+    """Every two members of different components meet in some task, and a large component costs no square."""
+    from arbordf.llm.minhash import dealt
+
+    members = [(1, i, 7 if i < 900 else i) for i in range(930)] + [(2, i, i % 3) for i in range(40)] + [(3, i, i % 2) for i in range(60)]
+    rows = dealt(spark.createDataFrame(members, "key long, rep long, comp long").withColumn("sh", F.lit(b"12345678")), 20, 1).collect()
+    met = {}
+    for r in rows:
+        met.setdefault((r.key, r.lo, r.hi), []).append(r)
+    pairs = set()
+    for (key, lo, hi), held in met.items():
+        assert len(held) < 4 * 2 * 20
+        pairs |= {(key, x.rep, y.rep) for x in held for y in held if x.rep < y.rep and x.comp != y.comp and (lo == hi or x.block != y.block)}
+    comp = {(k, i): c for k, i, c in members}
+    want = {(k, i, j) for k, i, _ in members for k2, j, _ in members if k == k2 and i < j and comp[k, i] != comp[k, j]}
+    assert pairs == want
+    assert sum(r.key == 1 for r in rows) < 900 * 4 + 30 * 60
+
+
 def test_independent_of_partitions(spark):
     rows = corpus(3)
     df = spark.createDataFrame([(i, t, "en", 1, "c") for i, t in rows], SCHEMA)
