@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from arbordf.errors import AnalysisError, EngineError, ParseError
 from arbordf.plans.lexer import statements
@@ -346,3 +347,16 @@ def test_statements_leave_no_views_and_no_cache_behind(s, spark):
     other.register("kept", spark.range(3))
     assert out.first().n == 10 and other.sql("SELECT count(*) AS n FROM kept").first().n == 3
     kept.unpersist()
+
+
+def test_sketches_beside_exact_counts_are_not_kept_per_value(spark):
+    s = AnalyticsSession(spark)
+    s.register("visits", spark.range(3000).select((F.col("id") % 3).alias("g"), (F.col("id") % 700).alias("who"), (F.col("id") % 11).alias("day")))
+    both = s.sql("SELECT g, count(DISTINCT who) AS n, APPROXIMATE(0.02) COUNT(DISTINCT who) AS a, abs(APPROXIMATE COUNT(DISTINCT day)) AS d FROM visits GROUP BY g")
+    plain = spark.range(3000).groupBy((F.col("id") % 3).alias("g")).agg(F.count_distinct(F.col("id") % 700).alias("n"), F.approx_count_distinct(F.col("id") % 700, 0.02).alias("a"), F.approx_count_distinct(F.col("id") % 11).alias("d"))
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, plain.collect()))
+    sketches = [x for x in both._jdf.queryExecution().sparkPlan().toString().splitlines() if "approx_count_distinct" in x]
+    assert sketches and not any("who" in x.partition("functions=")[0] for x in sketches)
+    alone = s.sql("SELECT APPROXIMATE COUNT(DISTINCT who) AS a FROM (SELECT who, count(DISTINCT day) AS n FROM visits GROUP BY who) AS q")
+    assert "approx_count_distinct(distinct" not in alone._jdf.queryExecution().executedPlan().toString()
+    assert s.sql("SELECT g, APPROXIMATE COUNT(DISTINCT who) OVER (PARTITION BY g) AS a, (SELECT count(DISTINCT day) FROM visits) AS n FROM visits").count() == 3000
