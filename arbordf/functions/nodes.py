@@ -16,7 +16,7 @@ NODE_KEY = "__node"
 
 def _path(u: str) -> str:
     """The path without trailing nulls: up to its last element that isn't null."""
-    return f"slice({u}.path, 1, coalesce(array_max(transform({u}.path, (x, i) -> IF(x IS NULL, 0, i + 1))), 0))"
+    return f"IF(try_element_at({u}.path, -1) IS NOT NULL, {u}.path, slice({u}.path, 1, coalesce(array_max(transform({u}.path, (x, i) -> IF(x IS NULL, 0, i + 1))), 0)))"
 
 
 def _size(u: str) -> str:

@@ -5,9 +5,10 @@ comparisons is an equality of paths: children meet parents on the parent's path,
 descendants meet each of their ancestors on one of the prefixes of their own path. Those plan as hash or
 sort-merge joins, for every kind of join, in the Python API and in SQL.
 
-For the prefix predicates one side's rows are multiplied by keys. In an inner join that is the deep side,
-by its prefixes. In others it must be the side whose rows needn't stay on their own: if that is the top
-side, its rows get the paths of the deep side's nodes below them, by a bridge of (path, prefix) pairs.
+For the prefix predicates the top side's rows get the keys of the deep side's nodes below them, and meet its rows on
+these. Those keys come from the deep side's distinct nodes, each with the keys of its path's prefixes, so that rows which
+repeat a node are not multiplied by prefixes. A key is the SHA-256 digest of a path, 32 bytes at any depth, and decides
+alone: rows carry no paths. A node with many below it, like a root, is dealt to several tasks by salted keys.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from ..functions.nodes import NODE_KEY
 FLIPPED = {"is_ancestor": "is_descendant", "is_ancestor_or_self": "is_descendant_or_self", "is_child": "is_parent", "is_preceding": "is_following"}
 UNFLIPPED = {v: k for k, v in FLIPPED.items()}
 RANKS = ("is_following", "is_preceding")
+#: Nodes below one node that meet it in one task; above that they are dealt to several.
+HEAVY = 100_000
 SEMI = {"left_semi": "left_semi", "leftsemi": "left_semi", "semi": "left_semi", "left_anti": "left_anti", "leftanti": "left_anti", "anti": "left_anti"}
 
 
@@ -39,10 +42,52 @@ def path_sql(node: str) -> str:
     return f"CASE WHEN {node} IS NOT NULL THEN {N._path(node)} END"
 
 
-def prefixes_sql(node: str) -> str:
-    """SQL of all prefixes of a node's path, itself included; none for a null node or an empty path."""
-    p = path_sql(node)
-    return f"if(size({p}) > 0, transform(sequence(1, size({p})), n -> slice({p}, 1, n)), array())"
+def _digest(elements: str) -> str:
+    return f"unhex(sha2(array_join({elements}, ''), 256))"
+
+
+def _elements(path: str) -> str:
+    """SQL of path elements with their lengths, which no concatenation of others equals."""
+    return f"transform({path}, e -> coalesce(concat(octet_length(e), ':', e), '-'))"
+
+
+def digest_sql(node: str) -> str:
+    """SQL of the key of a node's path; null for a null node."""
+    return _digest(_elements(path_sql(node)))
+
+
+def _prefix_digests(path: str, strict: bool) -> str:
+    """SQL of the keys of all prefixes of a path, itself included unless ``strict``."""
+    return f"if(size({path}) > {int(strict)}, transform(array({_elements(path)}), q -> transform(sequence(1, size(q) - {int(strict)}), n -> {_digest('slice(q, 1, n)')}))[0], array())"
+
+
+def _halves(top: str, tn: str, deep: str, dn: str, strict: bool, columns: str = "*") -> tuple[str, str]:
+    """SQL of the rows of ``top`` with their key (__own), and of the distinct nodes of ``deep`` (__deep) with the keys of those
+    above them (__of), both with a salt. Ranks tell only how many salts a key gets, which are looked up for both sides in one
+    table of a row for each ``HEAVY`` nodes of a level; it is broadcast."""
+    below = f"{tn}.postRank - {tn}.preRank + size({path_sql(tn)}) - 1"
+    heavy = f"(SELECT __own AS __h, cast(ceil(max(__n) / {HEAVY}) AS int) AS __s FROM (SELECT {digest_sql(tn)} AS __own, {below} AS __n FROM {top}) WHERE __n > {HEAVY} GROUP BY __own)"
+    tops = f"(SELECT {columns}, {digest_sql(tn)} AS __own FROM {top})" if columns else f"(SELECT DISTINCT {digest_sql(tn)} AS __own FROM {top})"
+    tops = f"(SELECT /*+ BROADCAST(__w) */ __r.*, explode(sequence(0, coalesce(__w.__s, 1) - 1)) AS __salt FROM {tops} AS __r LEFT JOIN {heavy} AS __w ON __r.__own = __w.__h)"
+    nodes = f"(SELECT __path, {_digest(_elements('__path'))} AS __deep FROM (SELECT DISTINCT {path_sql(dn)} AS __path FROM {deep}))"
+    up = f"(SELECT __deep, __of FROM {nodes} LATERAL VIEW explode({_prefix_digests('__path', strict)}) __e AS __of)"
+    return tops, f"(SELECT /*+ BROADCAST(__w) */ __u.__deep, __u.__of, cast(pmod(xxhash64(__u.__deep), coalesce(__w.__s, 1)) AS int) AS __salt FROM {up} AS __u LEFT JOIN {heavy} AS __w ON __u.__of = __w.__h)"
+
+
+def prefix_pairs_sql(top: str, tn: str, deep: str, dn: str, strict: bool) -> str:
+    """SQL of the distinct pairs (__deep, __of) of the keys of a node of ``deep`` and of one of ``top`` above it."""
+    tops, up = _halves(top, tn, deep, dn, strict, "")
+    return f"(SELECT __d.__deep, __d.__of FROM {up} AS __d JOIN {tops} AS __t ON __t.__own = __d.__of AND __t.__salt = __d.__salt)"
+
+
+def with_deep_sql(top: str, tn: str, deep: str, dn: str, strict: bool, key: str, alone: bool = False) -> str:
+    """SQL of the rows of ``top``, each once for every node of ``deep`` below it with that node's ``digest_sql`` as ``key``;
+    ``alone``: those with none once, with a null."""
+    if alone:
+        pairs = prefix_pairs_sql(top, tn, deep, dn, strict)
+        return f"(SELECT __t.* EXCEPT (__own), __d.__deep AS `{key}` FROM (SELECT *, {digest_sql(tn)} AS __own FROM {top}) AS __t LEFT JOIN {pairs} AS __d ON __t.__own = __d.__of)"
+    tops, up = _halves(top, tn, deep, dn, strict)
+    return f"(SELECT __t.* EXCEPT (__own, __salt), __d.__deep AS `{key}` FROM {tops} AS __t JOIN {up} AS __d ON __t.__own = __d.__of AND __t.__salt = __d.__salt)"
 
 
 def keys_sql(predicate: str, u: str, v: str) -> tuple[str, str] | None:
@@ -63,6 +108,11 @@ def deep_first(predicate: str) -> bool | None:
     return {"is_descendant": True, "is_descendant_or_self": True, "is_ancestor": False, "is_ancestor_or_self": False}.get(predicate)
 
 
+def strict(predicate: str) -> bool:
+    """Whether a prefix predicate leaves out the node itself."""
+    return not predicate.endswith("_or_self")
+
+
 def predicate_sql(predicate: str, u: str, v: str) -> str:
     args = {"u": u, "v": v}
     return re.sub(r"\b([uv])\b", lambda m: args[m[1]], N._body(predicate))
@@ -94,16 +144,19 @@ def node_join(left: DataFrame, lnode: str, right: DataFrame, rnode: str, predica
         other = FLIPPED.get(predicate) or UNFLIPPED[predicate]
         alone = node_join(right, rnode, left, lnode, other, "left_anti")
         return node_join(left, lnode, right, rnode, predicate, "left").unionByName(alone, allowMissingColumns=True)
-    if deep_first(predicate):
-        if how == "inner":
-            l, r = left.withColumn("_lk", F.explode(F.expr(prefixes_sql(u)))), right.withColumn("_rk", F.expr(path_sql(v)))
-        else:
-            bridge = left.select(F.expr(path_sql(u)).alias("_rk"), F.expr(prefixes_sql(u)).alias("_tops")).distinct().select("_rk", F.explode("_tops").alias("_top"))
-            r = right.withColumn("_top", F.expr(path_sql(v))).join(bridge, "_top").drop("_top")
-            l = left.withColumn("_lk", F.expr(path_sql(u)))
-    else:
-        l, r = left.withColumn("_lk", F.expr(path_sql(u))), right.withColumn("_rk", F.explode(F.expr(prefixes_sql(v))))
-    return l.join(r, (F.col("_lk") == F.col("_rk")) & exact, how).drop("_lk", "_rk")
+    below = deep_first(predicate)
+    (top, tn), (deep, dn) = ((right, v), (left, u)) if below else ((left, u), (right, v))
+    if not below and how in ("left_semi", "left_anti"):
+        pairs = _sql(prefix_pairs_sql("{top}", tn, "{deep}", dn, strict(predicate)), top, deep)
+        return left.withColumn("_lk", F.expr(digest_sql(u))).join(pairs, F.col("_lk") == F.col("__of"), how).drop("_lk")
+    top = _sql(with_deep_sql("{top}", tn, "{deep}", dn, strict(predicate), "_tk", alone=not below and how == "left"), top, deep)
+    deep = deep.withColumn("_dk", F.expr(digest_sql(dn)))
+    l, r = (deep, top) if below else (top, deep)
+    return l.join(r, F.col("_tk") == F.col("_dk"), how).drop("_tk", "_dk")
+
+
+def _sql(text: str, top: DataFrame, deep: DataFrame) -> DataFrame:
+    return top.sparkSession.sql(f"SELECT * FROM {text}", top=top, deep=deep)
 
 
 def _quoted(df: DataFrame) -> list[Column]:

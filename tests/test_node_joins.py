@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from arbordf.errors import AnalysisError
 from arbordf.functions import nodes as N
+from arbordf.operators import node_joins
 from arbordf.operators.hierarchy import hierarchy
 from arbordf.operators.node_joins import node_join, rank_counts
 from arbordf.session import AnalyticsSession
@@ -82,6 +83,41 @@ def test_no_plan_pairs_all_rows(spark, sides):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_rows_that_repeat_a_node_are_not_multiplied_by_prefixes(spark, sides):
+    s = AnalyticsSession(spark)
+    s.register("nl", sides[0])
+    s.register("nr", sides[1])
+    plans = [s.sql(f"SELECT l.n, r.m FROM nl l {words} nr r ON is_ancestor(r.rn, l.ln)") for words in ("JOIN", "RIGHT JOIN", "LEFT JOIN")]
+    plans += [node_join(sides[0], "ln", sides[1], "rn", "is_descendant", how).select("n", "m") for how in ("inner", "left", "right")]
+    for plan in plans:
+        lines = plan._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        at = [i for i, x in enumerate(lines) if "Generate explode" in x and "slice(" in x]
+        assert at and all(any("Aggregate" in x for x in lines[i + 1 : i + 3]) for i in at), "\n".join(lines)
+        joins = [x for x in lines if "Join " in x]
+        assert joins and not any(".path" in x for x in joins)
+
+
+def test_nodes_with_many_below_are_dealt_to_several_tasks(spark, sides, monkeypatch):
+    monkeypatch.setattr(node_joins, "HEAVY", 1)
+    s = AnalyticsSession(spark)
+    s.register("nl", sides[0])
+    s.register("nr", sides[1])
+    for predicate in ("is_descendant", "is_ancestor_or_self"):
+        for how in KINDS:
+            assert rows(node_join(sides[0], "ln", sides[1], "rn", predicate, how)) == rows(plain(*sides, predicate, how)), (predicate, how)
+        for how in ("left", "right"):
+            assert rows(s.sql(f"SELECT * FROM nl l {SQL_JOIN[how]} nr r ON {predicate}(l.ln, r.rn)")) == rows(plain(*sides, predicate, how).drop("ln", "rn")), (predicate, how)
+
+
+def test_a_predicate_inside_a_case_is_no_demand(spark, sides):
+    s = AnalyticsSession(spark)
+    s.register("nl", sides[0])
+    s.register("nr", sides[1])
+    got = s.sql("SELECT l.n, r.m FROM nl l JOIN nr r ON CASE WHEN l.n > 2 AND is_self(l.ln, r.rn) AND r.m > 0 THEN false ELSE true END")
+    cond = (F.col("n") > 2) & N.call("is_self", F.col("ln"), F.col("rn")) & (F.col("m") > 0)
+    assert rows(got) == rows(sides[0].join(sides[1], F.when(cond, False).otherwise(True)).select("n", "m"))
+
+
 def test_three_relations_and_a_disjunction(spark, sides):
     s = AnalyticsSession(spark)
     s.register("nl", sides[0])
