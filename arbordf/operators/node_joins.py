@@ -90,6 +90,24 @@ def with_deep_sql(top: str, tn: str, deep: str, dn: str, strict: bool, key: str,
     return f"(SELECT __t.* EXCEPT (__own, __salt), __d.__deep AS `{key}` FROM {tops} AS __t JOIN {up} AS __d ON __t.__own = __d.__of AND __t.__salt = __d.__salt)"
 
 
+def any_pairs_sql(predicates: list[tuple[str, bool]], left: str, ln: str, right: str, rn: str) -> str:
+    """SQL of distinct pairs (__l, __r) of the keys of nodes of ``left`` and ``right``, all among them that meet one of ``predicates``:
+    (name, whether its first node is the left one)."""
+    parts = []
+    for name, straight in predicates:
+        (a, an), (b, bn) = ((left, ln), (right, rn)) if straight else ((right, rn), (left, ln))
+        first, second = ("__l", "__r") if straight else ("__r", "__l")
+        if keys := keys_sql(name, "__x", "__y"):
+            x, y = (f"(SELECT DISTINCT named_struct('path', {path_sql(n)}) AS {as_} FROM {rel})" for rel, n, as_ in ((a, an, "__x"), (b, bn, "__y")))
+            pairs = f"(SELECT {digest_sql('__x')} AS {first}, {digest_sql('__y')} AS {second} FROM {x} JOIN {y} ON {keys[0]} = {keys[1]})"
+        else:
+            (top, tn), (deep, dn) = ((b, bn), (a, an)) if deep_first(name) else ((a, an), (b, bn))
+            up, down = (second, first) if deep_first(name) else (first, second)
+            pairs = f"(SELECT __of AS {up}, __deep AS {down} FROM {prefix_pairs_sql(top, tn, deep, dn, strict(name))})"
+        parts.append(f"SELECT __l, __r FROM {pairs}")
+    return f"(SELECT DISTINCT __l, __r FROM ({' UNION ALL '.join(parts)}))"
+
+
 def keys_sql(predicate: str, u: str, v: str) -> tuple[str, str] | None:
     """SQL of two keys, of u and of v, that are equal wherever ``predicate(u, v)`` holds; None for those that need
     prefixes or have no key."""

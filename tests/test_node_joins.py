@@ -83,6 +83,23 @@ def test_no_plan_pairs_all_rows(spark, sides):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_either_of_several_predicates_meets_on_keys(spark, sides):
+    s = AnalyticsSession(spark)
+    s.register("nl", sides[0])
+    s.register("nr", sides[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for p, q in (("is_sibling", "is_child"), ("is_ancestor", "is_self")):
+            for how, words in SQL_JOIN.items():
+                want = rows(sides[0].join(sides[1], N.call(p, F.col("ln"), F.col("rn")) | N.call(q, F.col("rn"), F.col("ln")) & (F.col("n") < 6), how).drop("ln", "rn"))
+                got = s.sql(f"SELECT * FROM nl AS l {words} nr r ON ({p}(l.ln, r.rn) OR (l.n < 6 AND {q}(r.rn, l.ln)))")
+                assert rows(got) == want, (p, q, how)
+                plan = physical(got)
+                assert "Cartesian" not in plan and "NestedLoop" not in plan, (p, q, how)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_rows_that_repeat_a_node_are_not_multiplied_by_prefixes(spark, sides):
     s = AnalyticsSession(spark)
     s.register("nl", sides[0])
