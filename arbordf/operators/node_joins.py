@@ -42,23 +42,32 @@ def path_sql(node: str) -> str:
     return f"CASE WHEN {node} IS NOT NULL THEN {N._path(node)} END"
 
 
-def _digest(elements: str) -> str:
-    return f"unhex(sha2(array_join({elements}, ''), 256))"
+#: SQL of whether a path p needs its elements' lengths, and of the text of one that doesn't.
+ODD = "(size(p) = 0 OR contains(array_join(p, '', '\\u0002'), '\\u0001') OR contains(array_join(p, '', '\\u0002'), '\\u0002'))"
+JOINED = "array_join(p, '\\u0001')"
 
 
-def _elements(path: str) -> str:
-    """SQL of path elements with their lengths, which no concatenation of others equals."""
-    return f"transform({path}, e -> coalesce(concat(octet_length(e), ':', e), '-'))"
+def _digest(path: str) -> str:
+    """SQL of the key of a path: the digest of a text that no other path has. That is its elements, kept apart by a sign that
+    none of them holds; where one does or is null, or there is none, their lengths keep them apart. ``transform`` names the path
+    once, as its own SQL is long."""
+    lengths = "concat('\\u0002', array_join(transform(p, e -> coalesce(concat(octet_length(e), ':', e), '-')), ''))"
+    return f"transform(array({path}), p -> unhex(sha2(CASE WHEN {ODD} THEN {lengths} ELSE {JOINED} END, 256)))[0]"
 
 
 def digest_sql(node: str) -> str:
     """SQL of the key of a node's path; null for a null node."""
-    return _digest(_elements(path_sql(node)))
+    return _digest(path_sql(node))
 
 
 def _prefix_digests(path: str, strict: bool) -> str:
-    """SQL of the keys of all prefixes of a path, itself included unless ``strict``."""
-    return f"if(size({path}) > {int(strict)}, transform(array({_elements(path)}), q -> transform(sequence(1, size(q) - {int(strict)}), n -> {_digest('slice(q, 1, n)')}))[0], array())"
+    """SQL of the keys of all prefixes of a path, itself included unless ``strict``. Where the path's text holds a sign between
+    elements, the beginnings of that text are its prefixes' texts."""
+    many = f"sequence(1, size(p) - {int(strict)})"
+    text = f"transform(array({JOINED}), t -> transform({many}, n -> unhex(sha2(substring_index(t, '\\u0001', n), 256))))[0]"
+    each = f"transform(transform({many}, n -> slice(p, 1, n)), s -> {_digest('s')})"
+    keys = f"CASE WHEN {ODD} THEN {each} ELSE {text} END"
+    return f"if(size({path}) > {int(strict)}, transform(array({path}), p -> {keys})[0], array())"
 
 
 def _halves(top: str, tn: str, deep: str, dn: str, strict: bool, columns: str = "*") -> tuple[str, str]:
@@ -69,7 +78,7 @@ def _halves(top: str, tn: str, deep: str, dn: str, strict: bool, columns: str =
     heavy = f"(SELECT __own AS __h, cast(ceil(max(__n) / {HEAVY}) AS int) AS __s FROM (SELECT {digest_sql(tn)} AS __own, {below} AS __n FROM {top}) WHERE __n > {HEAVY} GROUP BY __own)"
     tops = f"(SELECT {columns}, {digest_sql(tn)} AS __own FROM {top})" if columns else f"(SELECT DISTINCT {digest_sql(tn)} AS __own FROM {top})"
     tops = f"(SELECT /*+ BROADCAST(__w) */ __r.*, explode(sequence(0, coalesce(__w.__s, 1) - 1)) AS __salt FROM {tops} AS __r LEFT JOIN {heavy} AS __w ON __r.__own = __w.__h)"
-    nodes = f"(SELECT __path, {_digest(_elements('__path'))} AS __deep FROM (SELECT DISTINCT {path_sql(dn)} AS __path FROM {deep}))"
+    nodes = f"(SELECT __path, {_digest('__path')} AS __deep FROM (SELECT DISTINCT {path_sql(dn)} AS __path FROM {deep}))"
     up = f"(SELECT __deep, __of FROM {nodes} LATERAL VIEW explode({_prefix_digests('__path', strict)}) __e AS __of)"
     return tops, f"(SELECT /*+ BROADCAST(__w) */ __u.__deep, __u.__of, cast(pmod(xxhash64(__u.__deep), coalesce(__w.__s, 1)) AS int) AS __salt FROM {up} AS __u LEFT JOIN {heavy} AS __w ON __u.__of = __w.__h)"
 

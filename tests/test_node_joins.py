@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 
 import pytest
@@ -126,6 +127,17 @@ def test_nodes_with_many_below_are_dealt_to_several_tasks(spark, sides, monkeypa
             assert rows(s.sql(f"SELECT * FROM nl l {SQL_JOIN[how]} nr r ON {predicate}(l.ln, r.rn)")) == rows(plain(*sides, predicate, how).drop("ln", "rn")), (predicate, how)
 
 
+def test_keys_of_paths_differ_and_are_those_of_prefixes(spark):
+    odd = [[], [""], ["", ""], ["a"], ["a", "b"], ["a\x01b"], ["a", "\x01"], ["\x01", "a"], ["a", None, "c"], [None, "a"], ["\x02"], ["\x02", "1:a"], ["\x021:a"], ["1:a"], ["-", "a"]]
+    df = spark.createDataFrame([(p,) for p in odd], "path array<string>").selectExpr("path", "named_struct('path', path) AS node")
+    got = {tuple(r.path): (r.k, r.up) for r in df.selectExpr("path", f"{node_joins.digest_sql('node')} AS k", f"{node_joins._prefix_digests('path', False)} AS up").collect()}
+    assert len({bytes(k) for k, _ in got.values()}) == len(odd)
+    assert all(not p and not up or up[-1] == k for p, (k, up) in got.items())
+    assert all(up[n - 1] == got[p[:n]][0] for p, (_, up) in got.items() for n in range(1, len(p)) if p[:n] in got)
+    # a plain path's key takes no function of its elements
+    assert got["a", "b"][0] == hashlib.sha256(b"a\x01b").digest()
+
+
 def test_a_predicate_inside_a_case_is_no_demand(spark, sides):
     s = AnalyticsSession(spark)
     s.register("nl", sides[0])
