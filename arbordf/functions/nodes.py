@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 NODE_TYPE = "STRUCT<path: ARRAY<STRING>, dataType: STRING, preRank: INT, postRank: INT, isLeaf: BOOLEAN>"
 #: Metadata key of node columns; the value identifies the hierarchy.
 NODE_KEY = "__node"
+#: Metadata key of the path elements of all nodes of the hierarchy together; more tasks are planned for many.
+CELLS_KEY = "__cells"
 
 
 def _path(u: str) -> str:

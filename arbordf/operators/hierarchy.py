@@ -6,7 +6,7 @@ nothing shows that what is left hangs on a cycle or on nothing; those rows drop
 
 Ranks follow from two orders of the same paths of sibling numbers: depth-first order compares the paths,
 and post-order compares them with a last element above all siblings. Trees and families of many nodes are
-numbered by a range shuffle with offsets per range, small ones by a window.
+numbered by a range shuffle with offsets per range, which gets more ranges the more there is, small ones by a window.
 
 A node carries its path, as its functions demand, so that a hierarchy takes (nodes x mean depth) path elements on
 disk: fine for the trees of organisations, parts or threads at any width, but a chain of n nodes takes n^2 / 2.
@@ -23,8 +23,8 @@ from pyspark.sql.types import DataType
 from pyspark.sql.window import Window
 
 from ..errors import AnalysisError
-from ..functions.nodes import NODE_KEY
-from .tables import dropped, written
+from ..functions.nodes import CELLS_KEY, NODE_KEY
+from .tables import dropped, tasks, written
 
 #: Trees and families up to this many nodes are numbered by a window, larger ones by ranges.
 WINDOW_NODES = 200_000
@@ -55,19 +55,20 @@ def _text(c: Column, t: DataType) -> Column:
     return F.unix_micros(c).cast("string") if t.simpleString() == "timestamp" else c.cast("string")
 
 
-def numbered(rows: DataFrame, group: str, order: list[Column], name: str, largest: int, window_nodes: int = WINDOW_NODES) -> DataFrame:
+def numbered(rows: DataFrame, group: str, order: list[Column], name: str, largest: int, window_nodes: int = WINDOW_NODES, cells: int | None = None) -> DataFrame:
     """``rows`` with their numbers from 1 in each ``group`` by ``order`` (which has no ties) as ``name``. ``largest``:
-    a bound of the largest group's rows."""
+    a bound of the largest group's rows; ``cells``: the path elements of all rows, where they are known."""
     if largest <= window_nodes:
         return rows.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = written(rows.repartitionByRange(n, F.col(group), *order).withColumn("_range", F.spark_partition_id()))
-    counts = dealt.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    n = max(2, tasks(rows.sparkSession, cells))
+    # a range is sorted where it lands, and its rows' ids there follow each other; to meet the offsets they need no order
+    dealt = rows.repartitionByRange(n, F.col(group), *order).sortWithinPartitions(F.col(group), *order)
+    dealt = written(dealt.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    counts = dealt.groupBy(group, "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(F.col(group).alias("_of"), F.col("_range").alias("_in"), before.alias("_before"))
-    at = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
+    counts = counts.select(F.col(group).alias("_of"), F.col("_range").alias("_in"), (before - F.col("_first") + 1).alias("_before"))
     near = (F.col(group) == F.col("_of")) & (F.col("_range") == F.col("_in"))
-    return dealt.withColumn("_at", at).join(counts, near).withColumn(name, (F.col("_at") + F.col("_before")).cast("int")).drop("_at", "_before", "_range", "_of", "_in")
+    return dealt.join(counts, near).withColumn(name, (F.col("_at") + F.col("_before")).cast("int")).drop("_at", "_before", "_range", "_of", "_in")
 
 
 def _largest(rows: DataFrame, group: str) -> int:
@@ -77,13 +78,13 @@ def _largest(rows: DataFrame, group: str) -> int:
     return rows.groupBy(group).count().agg(F.max("count")).first()[0] or 0
 
 
-def ranked(nodes: DataFrame, window_nodes: int = WINDOW_NODES, total: int | None = None) -> DataFrame:
+def ranked(nodes: DataFrame, window_nodes: int = WINDOW_NODES, total: int | None = None, cells: int | None = None) -> DataFrame:
     """nodes: (id, root, path, opath). Adds preRank, postRank, isLeaf; ranks start at 1 in every tree.
-    ``total``: the number of nodes, where it is known already."""
+    ``total``, ``cells``: the number of nodes and of their path elements, where it is known already."""
     nodes = nodes.withColumn("_post", F.concat("opath", F.array(F.lit(2**31 - 1))))
     largest = total if total is not None and total <= window_nodes else nodes.groupBy("root").count().agg(F.max("count")).first()[0] or 0
     for c, rank in (("opath", "preRank"), ("_post", "postRank")):
-        nodes = numbered(nodes, "root", [F.col(c).asc()], rank, largest, window_nodes)
+        nodes = numbered(nodes, "root", [F.col(c).asc()], rank, largest, window_nodes, cells)
     below = F.col("postRank") - F.col("preRank") + F.size("path") - 1
     return nodes.withColumn("isLeaf", below == 0).drop("_post")
 
@@ -125,7 +126,9 @@ def adjacency_nodes(df: DataFrame, pred: str, succ: str, start: str | Column | N
         small = n.cells <= BROADCAST_CELLS
         before, state = state, written(_doubled(_doubled(state, small), small))
         dropped(before)
-    return ranked(state.where("up is null").select("id", F.col("path")[0].alias("root"), "path", "opath"), window_nodes, n.found)
+    out = ranked(state.where("up is null").select("id", F.col("path")[0].alias("root"), "path", "opath"), window_nodes, n.found, n.cells)
+    out._arbordf_cells = n.cells or 0
+    return out
 
 
 def _doubled(state: DataFrame, small: bool) -> DataFrame:
@@ -143,7 +146,7 @@ def hierarchy(df: DataFrame, pred: str, succ: str, start: str | Column | None =
     raises), and all of them get it."""
     nodes = adjacency_nodes(df, pred, succ, start, order, strict)
     # what makes two hierarchies the same is how they are made, not of what
-    tag = _tag("adjacency", pred, succ, str(start), [str(o) for o in order])
+    tag = _tag("adjacency", pred, succ, str(start), [str(o) for o in order]) | {CELLS_KEY: nodes._arbordf_cells}
     kind = _key_type(df.schema[succ].dataType)
     nodes = nodes.select(F.col("id").alias("_node_id"), _node(nodes, kind, node, tag))
     out = df.join(nodes, df[succ] == nodes["_node_id"]).drop("_node_id")
@@ -183,13 +186,14 @@ def level_hierarchy(df: DataFrame, levels: Sequence[str], order: Order = (), sta
     # first-level nodes are roots: they need no order among themselves
     pre = numbered(below, "parent", [*directed, F.expr("path[n - 1]").asc()], "sib", _largest(below, "parent"), window_nodes).unionByName(pre.where("n = 1").withColumn("sib", F.lit(0)))
     pre = written(pre.select("path", "parent", "n", F.col("sib").cast("int").alias("sib")))
+    cells = pre.agg(F.sum("n")).first()[0] or 0
     at = pre.where("n = 1").select("path", F.array("sib").alias("opath"))
     nodes = at
     for i in range(2, len(levels) + 1):
         at = pre.where(F.col("n") == i).join(at.toDF("parent", "o"), "parent").select("path", F.concat("o", F.array("sib")).alias("opath"))
         nodes = nodes.unionByName(at)
-    nodes = ranked(nodes.select(F.col("path").alias("id"), F.col("path")[0].alias("root"), "path", "opath"), window_nodes)
-    tag = _tag("levels", list(levels), [str(o) for o in order], str(start))
+    nodes = ranked(nodes.select(F.col("path").alias("id"), F.col("path")[0].alias("root"), "path", "opath"), window_nodes, cells=cells)
+    tag = _tag("levels", list(levels), [str(o) for o in order], str(start)) | {CELLS_KEY: cells}
     pad = F.concat("path", F.expr(f"array_repeat(cast(null as string), {len(levels)} - size(path))"))
     nodes = nodes.select(F.col("id"), F.struct(pad.alias("path"), F.lit(kind).alias("dataType"), F.col("preRank").cast("int").alias("preRank"), F.col("postRank").cast("int").alias("postRank"), "isLeaf").alias("_node"))
     out = nodes.join(rows.withColumnRenamed("_path", "id"), "id", "left")

@@ -8,7 +8,8 @@ sort-merge joins, for every kind of join, in the Python API and in SQL.
 For the prefix predicates the top side's rows get the keys of the deep side's nodes below them, and meet its rows on
 these. Those keys come from the deep side's distinct nodes, each with the keys of its path's prefixes, so that rows which
 repeat a node are not multiplied by prefixes. A key is the SHA-256 digest of a path, 32 bytes at any depth, and decides
-alone: rows carry no paths. A node with many below it, like a root, is dealt to several tasks by salted keys.
+alone: rows carry no paths. A node with many below it, like a root, is dealt to several tasks by salted keys, and
+a large hierarchy's keys to more tasks than the session's shuffles have.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ..errors import AnalysisError
 from ..functions import nodes as N
-from ..functions.nodes import NODE_KEY
+from ..functions.nodes import CELLS_KEY, NODE_KEY
+from .tables import tasks
 
 #: predicate -> the same with sides swapped
 FLIPPED = {"is_ancestor": "is_descendant", "is_ancestor_or_self": "is_descendant_or_self", "is_child": "is_parent", "is_preceding": "is_following"}
@@ -70,36 +72,44 @@ def _prefix_digests(path: str, strict: bool) -> str:
     return f"if(size({path}) > {int(strict)}, transform(array({path}), p -> {keys})[0], array())"
 
 
-def _halves(top: str, tn: str, deep: str, dn: str, strict: bool, columns: str = "*") -> tuple[str, str]:
+def dealt(df: DataFrame, node: str) -> int | None:
+    """Tasks for the keys of prefixes of ``df``'s nodes; None where the session's shuffles have enough. The hierarchy's path elements
+    are known since it was made, and its distinct nodes have no more prefixes."""
+    n = tasks(df.sparkSession, df.schema[node].metadata.get(CELLS_KEY))
+    return n if n > tasks(df.sparkSession, None) else None
+
+
+def _halves(top: str, tn: str, deep: str, dn: str, strict: bool, n: int | None, columns: str = "*") -> tuple[str, str]:
     """SQL of the rows of ``top`` with their key (__own), and of the distinct nodes of ``deep`` (__deep) with the keys of those
     above them (__of), both with a salt. Ranks tell only how many salts a key gets, which are looked up for both sides in one
-    table of a row for each ``HEAVY`` nodes of a level; it is broadcast."""
+    table of a row for each ``HEAVY`` nodes of a level; it is broadcast. Both meet in ``n`` tasks, if given."""
+    hint = lambda key: f"/*+ BROADCAST(__w){f', REPARTITION({n}, {key}, __salt)' if n else ''} */"
     below = f"{tn}.postRank - {tn}.preRank + size({path_sql(tn)}) - 1"
     heavy = f"(SELECT __own AS __h, cast(ceil(max(__n) / {HEAVY}) AS int) AS __s FROM (SELECT {digest_sql(tn)} AS __own, {below} AS __n FROM {top}) WHERE __n > {HEAVY} GROUP BY __own)"
     tops = f"(SELECT {columns}, {digest_sql(tn)} AS __own FROM {top})" if columns else f"(SELECT DISTINCT {digest_sql(tn)} AS __own FROM {top})"
-    tops = f"(SELECT /*+ BROADCAST(__w) */ __r.*, explode(sequence(0, coalesce(__w.__s, 1) - 1)) AS __salt FROM {tops} AS __r LEFT JOIN {heavy} AS __w ON __r.__own = __w.__h)"
+    tops = f"(SELECT {hint('__own')} __r.*, explode(sequence(0, coalesce(__w.__s, 1) - 1)) AS __salt FROM {tops} AS __r LEFT JOIN {heavy} AS __w ON __r.__own = __w.__h)"
     nodes = f"(SELECT __path, {_digest('__path')} AS __deep FROM (SELECT DISTINCT {path_sql(dn)} AS __path FROM {deep}))"
     up = f"(SELECT __deep, __of FROM {nodes} LATERAL VIEW explode({_prefix_digests('__path', strict)}) __e AS __of)"
-    return tops, f"(SELECT /*+ BROADCAST(__w) */ __u.__deep, __u.__of, cast(pmod(xxhash64(__u.__deep), coalesce(__w.__s, 1)) AS int) AS __salt FROM {up} AS __u LEFT JOIN {heavy} AS __w ON __u.__of = __w.__h)"
+    return tops, f"(SELECT {hint('__of')} __u.__deep, __u.__of, cast(pmod(xxhash64(__u.__deep), coalesce(__w.__s, 1)) AS int) AS __salt FROM {up} AS __u LEFT JOIN {heavy} AS __w ON __u.__of = __w.__h)"
 
 
-def prefix_pairs_sql(top: str, tn: str, deep: str, dn: str, strict: bool) -> str:
-    """SQL of the distinct pairs (__deep, __of) of the keys of a node of ``deep`` and of one of ``top`` above it."""
-    tops, up = _halves(top, tn, deep, dn, strict, "")
+def prefix_pairs_sql(top: str, tn: str, deep: str, dn: str, strict: bool, n: int | None = None) -> str:
+    """SQL of the distinct pairs (__deep, __of) of the keys of a node of ``deep`` and of one of ``top`` above it, found in ``n`` tasks."""
+    tops, up = _halves(top, tn, deep, dn, strict, n, "")
     return f"(SELECT __d.__deep, __d.__of FROM {up} AS __d JOIN {tops} AS __t ON __t.__own = __d.__of AND __t.__salt = __d.__salt)"
 
 
-def with_deep_sql(top: str, tn: str, deep: str, dn: str, strict: bool, key: str, alone: bool = False) -> str:
+def with_deep_sql(top: str, tn: str, deep: str, dn: str, strict: bool, key: str, n: int | None, alone: bool = False) -> str:
     """SQL of the rows of ``top``, each once for every node of ``deep`` below it with that node's ``digest_sql`` as ``key``;
     ``alone``: those with none once, with a null."""
     if alone:
-        pairs = prefix_pairs_sql(top, tn, deep, dn, strict)
+        pairs = prefix_pairs_sql(top, tn, deep, dn, strict, n)
         return f"(SELECT __t.* EXCEPT (__own), __d.__deep AS `{key}` FROM (SELECT *, {digest_sql(tn)} AS __own FROM {top}) AS __t LEFT JOIN {pairs} AS __d ON __t.__own = __d.__of)"
-    tops, up = _halves(top, tn, deep, dn, strict)
+    tops, up = _halves(top, tn, deep, dn, strict, n)
     return f"(SELECT __t.* EXCEPT (__own, __salt), __d.__deep AS `{key}` FROM {tops} AS __t JOIN {up} AS __d ON __t.__own = __d.__of AND __t.__salt = __d.__salt)"
 
 
-def any_pairs_sql(predicates: list[tuple[str, bool]], left: str, ln: str, right: str, rn: str) -> str:
+def any_pairs_sql(predicates: list[tuple[str, bool]], left: str, ln: str, right: str, rn: str, n: int | None = None) -> str:
     """SQL of distinct pairs (__l, __r) of the keys of nodes of ``left`` and ``right``, all among them that meet one of ``predicates``:
     (name, whether its first node is the left one)."""
     parts = []
@@ -112,7 +122,7 @@ def any_pairs_sql(predicates: list[tuple[str, bool]], left: str, ln: str, right:
         else:
             (top, tn), (deep, dn) = ((b, bn), (a, an)) if deep_first(name) else ((a, an), (b, bn))
             up, down = (second, first) if deep_first(name) else (first, second)
-            pairs = f"(SELECT __of AS {up}, __deep AS {down} FROM {prefix_pairs_sql(top, tn, deep, dn, strict(name))})"
+            pairs = f"(SELECT __of AS {up}, __deep AS {down} FROM {prefix_pairs_sql(top, tn, deep, dn, strict(name), n)})"
         parts.append(f"SELECT __l, __r FROM {pairs}")
     return f"(SELECT DISTINCT __l, __r FROM ({' UNION ALL '.join(parts)}))"
 
@@ -173,10 +183,11 @@ def node_join(left: DataFrame, lnode: str, right: DataFrame, rnode: str, predica
         return node_join(left, lnode, right, rnode, predicate, "left").unionByName(alone, allowMissingColumns=True)
     below = deep_first(predicate)
     (top, tn), (deep, dn) = ((right, v), (left, u)) if below else ((left, u), (right, v))
+    n = dealt(deep, lnode if below else rnode)
     if not below and how in ("left_semi", "left_anti"):
-        pairs = _sql(prefix_pairs_sql("{top}", tn, "{deep}", dn, strict(predicate)), top, deep)
+        pairs = _sql(prefix_pairs_sql("{top}", tn, "{deep}", dn, strict(predicate), n), top, deep)
         return left.withColumn("_lk", F.expr(digest_sql(u))).join(pairs, F.col("_lk") == F.col("__of"), how).drop("_lk")
-    top = _sql(with_deep_sql("{top}", tn, "{deep}", dn, strict(predicate), "_tk", alone=not below and how == "left"), top, deep)
+    top = _sql(with_deep_sql("{top}", tn, "{deep}", dn, strict(predicate), "_tk", n, alone=not below and how == "left"), top, deep)
     deep = deep.withColumn("_dk", F.expr(digest_sql(dn)))
     l, r = (deep, top) if below else (top, deep)
     return l.join(r, F.col("_tk") == F.col("_dk"), how).drop("_tk", "_dk")

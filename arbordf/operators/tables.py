@@ -9,6 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import EngineError
 
+#: Path elements, or pairs of a node and one above it, that one task of a shuffle takes where their number is known.
+CELLS = 500_000
+
+
+def tasks(spark: SparkSession, cells: int | None) -> int:
+    """Partitions of a shuffle of ``cells`` path elements: as many as the session says, or more, so that none has many more than ``CELLS``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(cells or 0) // CELLS))
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or, in a local run where that is unset, a temporary folder. A cluster must name one."""

@@ -174,6 +174,20 @@ def test_hot_parents_and_large_trees_are_numbered_by_ranges(spark, monkeypatch):
     assert {(x.a, x.b, x.c): x.node for x in level_hierarchy(levels, ["a", "b", "c"], [F.desc("v")], window_nodes=10).collect()} == plain
 
 
+def test_ranges_of_a_large_tree_follow_its_path_elements(spark, monkeypatch):
+    """A tree of 300 nodes and about 2,200 path elements gets more ranges than the session's 4 partitions, and a range is not gathered anew for its ranks."""
+    import arbordf.operators.tables as T
+
+    edges = [(i, i // 2 if i > 1 else None) for i in range(1, 301)]
+    df = spark.createDataFrame(edges, "k long, p long").repartition(5)
+    want = nodes(hierarchy(df, "p", "k", None, [F.col("k").desc()]))
+    monkeypatch.setattr(T, "CELLS", 100)
+    out = adjacency_nodes(df, "p", "k", None, [F.col("k").desc()], window_nodes=10)
+    assert {x.id: (x.preRank, x.postRank) for x in out.collect()} == {k: v[1:3] for k, v in want.items()}
+    assert len(out.inputFiles()) > 4
+    assert "row_number" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rounds_leave_one_table(spark, tmp_path):
     from arbordf.operators.tables import shared_folder
 

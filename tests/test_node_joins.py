@@ -1,12 +1,13 @@
 import hashlib
 import itertools
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from arbordf.errors import AnalysisError
 from arbordf.functions import nodes as N
-from arbordf.operators import node_joins
+from arbordf.operators import node_joins, tables
 from arbordf.operators.hierarchy import hierarchy
 from arbordf.operators.node_joins import node_join, rank_counts
 from arbordf.session import AnalyticsSession
@@ -127,6 +128,24 @@ def test_nodes_with_many_below_are_dealt_to_several_tasks(spark, sides, monkeypa
             assert rows(s.sql(f"SELECT * FROM nl l {SQL_JOIN[how]} nr r ON {predicate}(l.ln, r.rn)")) == rows(plain(*sides, predicate, how).drop("ln", "rn")), (predicate, how)
 
 
+def test_keys_of_a_large_hierarchy_are_dealt_to_more_tasks(spark, sides, monkeypatch):
+    """By the path elements of all its nodes, 21 here, and in no more than the session's 4 where those do."""
+    s = AnalyticsSession(spark)
+    s.register("nl", sides[0])
+    s.register("nr", sides[1])
+    dealt = lambda df: re.findall(r"RepartitionByExpression \[[^\]]*\], (\d+)", df._jdf.queryExecution().optimizedPlan().toString())
+    text = "SELECT l.n, r.m FROM nl l JOIN nr r ON {}(l.ln, r.rn)"
+    assert not dealt(node_join(sides[0], "ln", sides[1], "rn", "is_descendant")) and not dealt(s.sql(text.format("is_ancestor")))
+    monkeypatch.setattr(tables, "CELLS", 2)
+    for predicate in ("is_descendant", "is_descendant_or_self", "is_ancestor", "is_ancestor_or_self"):
+        outs = [node_join(sides[0], "ln", sides[1], "rn", predicate, how) for how in KINDS]
+        either = s.sql(text.format(f"is_child(r.rn, l.ln) OR {predicate}"))
+        assert all(set(dealt(x)) == {"11"} for x in (*outs, either, s.sql(text.format(predicate)))), predicate
+    for predicate in ("is_descendant", "is_ancestor_or_self"):
+        want = rows(plain(*sides, predicate, "inner").select("n", "m"))
+        assert rows(node_join(sides[0], "ln", sides[1], "rn", predicate).select("n", "m")) == want == rows(s.sql(text.format(predicate)))
+
+
 def test_keys_of_paths_differ_and_are_those_of_prefixes(spark):
     odd = [[], [""], ["", ""], ["a"], ["a", "b"], ["a\x01b"], ["a", "\x01"], ["\x01", "a"], ["a", None, "c"], [None, "a"], ["\x02"], ["\x02", "1:a"], ["\x021:a"], ["1:a"], ["-", "a"]]
     df = spark.createDataFrame([(p,) for p in odd], "path array<string>").selectExpr("path", "named_struct('path', path) AS node")
