@@ -79,6 +79,11 @@ def dealt(df: DataFrame, node: str) -> int | None:
     return n if n > tasks(df.sparkSession, None) else None
 
 
+def in_tasks(rows: str, key: str, n: int | None) -> str:
+    """SQL of ``rows``, dealt to ``n`` tasks by ``key``, if given. For inner joins: others keep rows without a key, which would meet in one."""
+    return f"(SELECT /*+ REPARTITION({n}, `{key}`) */ * FROM {rows})" if n else rows
+
+
 def _halves(top: str, tn: str, deep: str, dn: str, strict: bool, n: int | None, columns: str = "*") -> tuple[str, str]:
     """SQL of the rows of ``top`` with their key (__own), and of the distinct nodes of ``deep`` (__deep) with the keys of those
     above them (__of), both with a salt. Ranks tell only how many salts a key gets, which are looked up for both sides in one
@@ -189,6 +194,8 @@ def node_join(left: DataFrame, lnode: str, right: DataFrame, rnode: str, predica
         return left.withColumn("_lk", F.expr(digest_sql(u))).join(pairs, F.col("_lk") == F.col("__of"), how).drop("_lk")
     top = _sql(with_deep_sql("{top}", tn, "{deep}", dn, strict(predicate), "_tk", n, alone=not below and how == "left"), top, deep)
     deep = deep.withColumn("_dk", F.expr(digest_sql(dn)))
+    if n and how == "inner":
+        top, deep = top.repartition(n, "_tk"), deep.repartition(n, "_dk")
     l, r = (deep, top) if below else (top, deep)
     return l.join(r, F.col("_tk") == F.col("_dk"), how).drop("_tk", "_dk")
 

@@ -146,6 +146,20 @@ def test_keys_of_a_large_hierarchy_are_dealt_to_more_tasks(spark, sides, monkeyp
         assert rows(node_join(sides[0], "ln", sides[1], "rn", predicate).select("n", "m")) == want == rows(s.sql(text.format(predicate)))
 
 
+def test_rows_of_a_large_hierarchy_meet_in_more_tasks(spark, sides, monkeypatch):
+    """Both sides of both joins; rows without a node, which an outer join keeps, are not dealt by their key."""
+    s = AnalyticsSession(spark)
+    s.register("nl", sides[0])
+    s.register("nr", sides[1])
+    monkeypatch.setattr(tables, "CELLS", 2)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    got = s.sql("SELECT name(r.rn) AS a, l.n, r.m FROM nl l JOIN nr r ON is_ancestor(r.rn, l.ln)")
+    for df in (got, node_join(sides[0], "ln", sides[1], "rn", "is_descendant")):
+        assert plan(df).count("RepartitionByExpression") == 4
+    assert plan(s.sql("SELECT l.n, r.m FROM nl l LEFT JOIN nr r ON is_ancestor(r.rn, l.ln)")).count("RepartitionByExpression") == 2
+    assert rows(got.select("n", "m")) == rows(plain(*sides, "is_descendant", "inner").select("n", "m"))
+
+
 def test_keys_of_paths_differ_and_are_those_of_prefixes(spark):
     odd = [[], [""], ["", ""], ["a"], ["a", "b"], ["a\x01b"], ["a", "\x01"], ["\x01", "a"], ["a", None, "c"], [None, "a"], ["\x02"], ["\x02", "1:a"], ["\x021:a"], ["1:a"], ["-", "a"]]
     df = spark.createDataFrame([(p,) for p in odd], "path array<string>").selectExpr("path", "named_struct('path', path) AS node")
